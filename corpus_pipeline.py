@@ -1,4 +1,62 @@
-"""The corpus pipeline: stages that turn ``documents`` into a training mixture."""
+"""The corpus pipeline: stages that turn ``documents`` into a training mixture.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; ``run`` writes each stage's result as
+Parquet in the shared folder and reads it again, so that a lost executor never sends the work back beyond a stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.llm.decontaminate import remove_items
+from sylva.llm.jaccard_join import Rule, keep_one
+from sylva.llm.mixing import MixTarget, mix
+from sylva.llm.quality import fit_quality, quality_udf
+from sylva.llm.toxicity import fit_toxicity, toxicity_udf
+from sylva.runtime import materialize, table
+
+#: Near-duplicates: shingles of five words, similarity of 0.8 or more.
+NEAR = Rule(words=5, num=4, den=5)
+LEAST_QUALITY, MOST_TOXIC = 0.5, 0.3
+TARGET = MixTarget(entropy=0.5, max_repeats=4.0, budget=1.0)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of at least the second lowest grade is 1/2 or more."""
+    score = quality_udf(spark, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return docs.withColumn("__quality", score(F.col("text").cast("binary"))).filter(F.col("__quality.tail_prob") >= LEAST_QUALITY).drop("__quality")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.3."""
+    score = toxicity_udf(spark, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return docs.withColumn("__toxicity", score(F.col("text").cast("binary"))).filter(F.col("__toxicity") < MOST_TOXIC).drop("__toxicity")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return keep_one(docs, NEAR)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their passages of test items; documents that are mostly such passages go."""
+    return remove_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of the sources: a row for each use of a document, with its place in the mixture."""
+    return mix(docs, TARGET, keep=tuple(docs.columns))
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
+
+#: The classifiers' fits can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -84,9 +84,11 @@ def mix(docs: DataFrame, target: MixTarget = MixTarget(), keep: tuple[str, ...]
     the documents in hash order while they fit. A document that doesn't fit in the quota of its source is left out.
 
     Null text: 0 tokens. A null source is the source ''. Documents of 0 tokens go with their block. Rows that share a
-    doc_id are separate documents; ties in hash order are broken by doc_id, then by tokens. Empty input: empty result.
+    doc_id are separate documents; ties in hash order are broken by doc_id, then by tokens. Empty input: empty result. A
+    column to keep that has one of these names gives way.
     """
-    d = docs.select(*[F.col(k).alias(f"keep_{k}") for k in keep], F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), token_count(F.col(text)).alias("tokens"))
+    keep = tuple(k for k in keep if k not in ("mix_source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block"))
+    d = docs.select(*[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep], F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), token_count(F.col(text)).alias("tokens"))
     d = d.withColumn("slot", F.pmod(_hash32(F.lit(seed), F.col("id")), F.lit(SLOTS)))
     slots = materialize(d.groupBy("source", "slot").agg(F.sum("tokens").alias("tokens")), "mix-slots")
     totals = slots.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -117,5 +119,5 @@ def mix(docs: DataFrame, target: MixTarget = MixTarget(), keep: tuple[str, ...]
     inside = Window.partitionBy("source").orderBy(_hash32(F.lit(seed), F.lit("doc"), F.col("epochs").cast("string"), F.col("id")), "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     cut = placed.filter("state = 'cut'").withColumn("so_far", F.sum("tokens").over(inside)).withColumn("uses", F.col("epochs") + F.when(F.col("so_far") <= F.col("spare"), 1).otherwise(0)).drop("so_far")
     used = whole.unionByName(cut).filter("uses > 0")
-    out = used.select(*[F.col(f"keep_{k}").alias(k) for k in keep], F.col("source").alias("mix_source"), F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.explode(F.expr("sequence(0L, uses - 1)")).alias("mix_epoch"), F.col("mix_block").cast("long").alias("mix_block"))
+    out = used.select(*[F.col(f"`keep_{k}`").alias(k) for k in keep], F.col("source").alias("mix_source"), F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.explode(F.expr("sequence(0L, uses - 1)")).alias("mix_epoch"), F.col("mix_block").cast("long").alias("mix_block"))
     return out

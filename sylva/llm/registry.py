@@ -11,6 +11,12 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 LISTED_SITES = [("cheap-pills.example.com", "/"), ("free-bets.example.com", "/"), ("cheap-pills.example.net", "/"), ("free-bets.example.net", "/"), ("cheap-pills.example.org", "/"), ("free-bets.example.org", "/")]
 
 
+def op1_quality_classifier(spark, sf_dir):
+    from sylva.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark, sf_dir):
     from sylva.llm.url_filter import url_filter
 
@@ -24,6 +30,18 @@ def op3_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    from sylva.llm.decontaminate import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
+def op5_toxicity(spark, sf_dir):
+    from sylva.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -38,20 +56,36 @@ def op7_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from sylva.llm.jaccard_join import Rule, jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), Rule(words=3, num=9, den=10))
+
+
+def op9_perplexity_rules(spark, sf_dir):
+    from sylva.llm.perplexity import perplexity_rules
+
+    return perplexity_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark, sf_dir):
     from sylva.llm.warc import warc_round_trip
 
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {
-        "op2_url_filter": op2_url_filter,
-        "op3_source_mixing": op3_source_mixing,
-        "op6_token_counts": op6_token_counts,
-        "op7_html_extraction": op7_html_extraction,
-        "op10_warc": op10_warc,
-    }
+    ops = (
+        op1_quality_classifier, op2_url_filter, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_counts,
+        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():

@@ -51,6 +51,32 @@ FROM r LEFT JOIN m USING (h) JOIN pages USING (page_id)
 """
 
 
+_DECONTAMINATION = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(10, len(w)) AS k FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM bi)),
+dwin AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+occ AS (SELECT DISTINCT doc_id, item_id, i, k FROM dwin JOIN win USING (k, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM occ) GROUP BY 1),
+item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM occ GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+_JACCARD = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, least(3, len(w)) AS k FROM dw WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + k - 1], ' ')) AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM dw UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def _urls(rules, sites) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in rules) + "".join(f", ('{h}', '{p}', 'block', false)" for h, p in sites)
     return rf"""
@@ -65,4 +91,4 @@ SELECT page_id, host, path, CASE WHEN is_rule THEN entry END AS rule, coalesce(v
 
 
 def oracles(rules, sites) -> dict[str, str]:
-    return {"op2_url_filter": _urls(rules, sites), "op3_source_mixing": _MIX, "op10_warc": _WARC}
+    return {"op2_url_filter": _urls(rules, sites), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC}
