@@ -69,8 +69,8 @@ WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 k AS (SELECT doc_id, w, least(3, len(w)) AS k FROM dw WHERE len(w) > 0),
 sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + k - 1], ' ')) AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM dw UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
