@@ -1,15 +1,278 @@
-"""All queries of the engine's own operators, and their SQL."""
+"""Queries of the engine's own operators over the given tables, and their SQL.
+
+All of them work on the order forest: every order is a tree of its lines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sylva.functions import columns as C
+from sylva.functions.trees import tree_graph6
+from sylva.operators import polynomials as P
+from sylva.operators import search as S
+from sylva.operators import store
+from sylva.runtime import materialize, scratch_path, ship_package, table
+from sylva.sources import tables as src
+
+#: Vertices of a tree for which the SQL has a step; orders have fewer lines.
+SQL_STEPS = 24
+FEW_COLOURS = 3
+
+
+def _forest(spark, sf_dir):
+    return src.order_forest(spark, sf_dir)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return digest_groups(spark, sf_dir)
+
+
+# sources and attributes
+
+
+def order_forest_edges(spark, sf_dir):
+    return src.order_forest_edges(table(spark, sf_dir, "lineitem"))
+
+
+def vertex_degree(spark, sf_dir):
+    t = _forest(spark, sf_dir)
+    return t.select("tree_id", F.posexplode(C.degrees(F.col("parent"))).alias("v", "degree"))
+
+
+def tree_attributes(spark, sf_dir):
+    p = F.col("parent")
+    d = C.degree_sequence(p)
+    return _forest(spark, sf_dir).select(
+        "tree_id", F.col("n").cast("long").alias("n"), (F.col("n") - 1).cast("long").alias("m"), C.leaf_count(p).cast("long").alias("leaves"),
+        d[0].cast("long").alias("max_degree"), C.sequence_text(d).alias("degree_sequence"), C.tuple_text(d).alias("degree_tuple"),
+    )
+
+
+def min_color_sum(spark, sf_dir):
+    return P.with_measures(_forest(spark, sf_dir)).select("tree_id", F.col("min_color_sum").cast("long").alias("min_color_sum"))
+
+
+def diameter_radius(spark, sf_dir):
+    return P.with_measures(_forest(spark, sf_dir)).select("tree_id", F.col("diameter").cast("long").alias("diameter"), F.col("radius").cast("long").alias("radius"))
+
+
+def graph6_text(spark, sf_dir):
+    ship_package(spark)
+    return _forest(spark, sf_dir).select("tree_id", tree_graph6("parent").alias("graph6"))
+
+
+def graph6_round_trip(spark, sf_dir):
+    from sylva.functions.trees import graph6_parent, tree_form
+
+    g = _forest(spark, sf_dir).select("tree_id", "n", "parent", tree_graph6.asNondeterministic()("parent").alias("graph6"))
+    back = g.select("tree_id", "n", "parent", graph6_parent.asNondeterministic()("graph6").alias("again"))
+    return back.select("tree_id", F.col("n").cast("long").alias("n"), (F.size("again") - 1).cast("long").alias("m"), (tree_form("parent") == tree_form("again")).alias("same"))
+
+
+def tree_classes(spark, sf_dir):
+    return P.with_form(_forest(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
+
+
+# buckets
+
+
+def _buckets(mode):
+    def query(spark, sf_dir):
+        return S.bucket_counts(S.with_bucket(_forest(spark, sf_dir), mode)).select(F.col("n").cast("long").alias("n"), "bucket", "count")
+
+    return query
+
+
+def bucket_summary(spark, sf_dir):
+    return S.bucket_summary(S.bucket_counts(S.with_bucket(_forest(spark, sf_dir), "leaves+minsum"))).withColumn("n", F.col("n").cast("long"))
+
+
+def nonsingleton_semi_join(spark, sf_dir):
+    return S.keep_multiple(S.with_bucket(_forest(spark, sf_dir), "leaves+minsum")).select("tree_id", "bucket")
+
+
+def bucket_cache(spark, sf_dir):
+    trees = S.with_bucket(_forest(spark, sf_dir), "leaves")
+    path = scratch_path(spark, "bucket-cache")
+    count = lambda: S.bucket_counts(trees, ("bucket",))
+    src.cached_bucket_counts(spark, path, 0, "leaves", count)
+    return src.cached_bucket_counts(spark, path, 0, "leaves", count)  # from the cache
+
+
+# polynomials
+
+
+def _polynomials(spark, sf_dir, colours=None):
+    return P.with_polynomial(_forest(spark, sf_dir), colours)
+
+
+def polynomials(spark, sf_dir):
+    return _polynomials(spark, sf_dir).select("tree_id", C.polynomial_text(F.col("coeffs")).alias("polynomial"))
+
+
+def polynomials_few_colours(spark, sf_dir):
+    return _polynomials(spark, sf_dir, FEW_COLOURS).select("tree_id", C.polynomial_text(F.col("coeffs")).alias("polynomial"))
+
+
+def polynomial_terms(spark, sf_dir):
+    return _polynomials(spark, sf_dir).select("tree_id", C.polynomial_terms(F.col("coeffs")).alias("terms"))
+
+
+def poly_coeffs_long(spark, sf_dir):
+    t = materialize(P.with_form(_forest(spark, sf_dir)), "forest")
+    most = t.agg(F.max("n")).first()[0] or 1
+    classes = materialize(t.groupBy("n", "form").agg(F.min_by(F.struct("tree_id", "parent"), "tree_id").alias("t")).select("n", "form", "t.*"), "classes")
+    long = P.relational_polynomials(classes, most).select(F.col("tree_id").alias("class_id"), F.col("degree").cast("long").alias("degree"), F.col("coefficient").cast("long").alias("coefficient"))
+    ids = classes.select(F.col("tree_id").alias("class_id"), "form").join(t.select("tree_id", "form"), "form").select("tree_id", "class_id")
+    return ids.join(long, "class_id").select("tree_id", "degree", "coefficient")
+
+
+def coefficient_checks(spark, sf_dir):
+    c = F.col("coeffs")
+    total, squares = C.variance_sums(c)
+    return _polynomials(spark, sf_dir).select(
+        "tree_id", C.coefficient_sum(c).cast("long").alias("coefficient_sum"), C.min_exponent(c).cast("long").alias("min_exponent"), F.size(c).cast("long").alias("length"),
+        (total * 0 + squares).cast("decimal(38,0)").cast("string").alias("sum_of_squares"),
+    )
+
+
+def polynomial_arithmetic(spark, sf_dir):
+    """Sum and product of each tree's polynomial in two colours with that of a single vertex in three, 1 + q + q^2."""
+    one = F.array(*[F.lit(1).cast("decimal(38,0)")] * 3)
+    p = _polynomials(spark, sf_dir, 2)
+    return p.select("tree_id", C.polynomial_text(C.add_polynomials(F.col("coeffs"), one)).alias("added"), C.polynomial_text(C.trim_polynomial(C.multiply_polynomials(F.col("coeffs"), one))).alias("multiplied"))
+
+
+def digest_groups(spark, sf_dir):
+    """Trees of equal polynomials, by a digest that SQL has too."""
+    p = _polynomials(spark, sf_dir).select("n", F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("sha"), "tree_id")
+    return p.groupBy(F.col("n").cast("long").alias("n"), F.col("sha").alias("digest")).agg(F.count("*").alias("trees"), F.min("tree_id").alias("first_tree"))
+
+
+def blake_digests(spark, sf_dir):
+    return _polynomials(spark, sf_dir).groupBy(F.col("n").cast("long").alias("n"), F.hex("digest").alias("digest")).agg(F.count("*").alias("trees"), F.min("tree_id").alias("first_tree"))
+
+
+# candidates, pairs, state
+
+
+def _pairs(spark, sf_dir, all_pairs=False):
+    rows = S.scan_forest(_forest(spark, sf_dir), "none", FEW_COLOURS)
+    return S.collisions(rows, "tree_id", all_pairs=all_pairs)
+
+
+def collision_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(F.col("n").cast("long").alias("n"), "tree_index_a", "tree_index_b")
+
+
+def collision_all_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir, True).select(F.col("n").cast("long").alias("n"), "tree_index_a", "tree_index_b")
+
+
+def limit_first_match(spark, sf_dir):
+    return S.first_collision(collision_pairs(spark, sf_dir))
+
+
+def collision_reports(spark, sf_dir):
+    ship_package(spark)
+    trees = materialize(S.with_bucket(_forest(spark, sf_dir), "none").select("tree_id", "n", "parent", "leaves", "min_color_sum", "bucket"), "bucketed")
+    pairs = materialize(S.collisions(P.with_polynomial(trees, FEW_COLOURS), "tree_id"), "pairs")
+    named = trees.withColumn("graph6", tree_graph6("parent"))
+    reports = S.collision_reports(pairs, named, "tree_id")
+    return reports.select("tree_index_a", "tree_index_b", F.to_json(F.struct(*reports.columns)).alias("report"))
+
+
+def keep_first_seen(spark, sf_dir):
+    p = _polynomials(spark, sf_dir).select(F.col("n").cast("long").alias("n"), F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("digest"), "tree_id")
+    return S.keep_first(p, ("n", "digest"), "tree_id").select("n", "digest", "tree_id")
+
+
+def shard_union_merge(spark, sf_dir):
+    """Four shards keep their first trees each; their union keeps the first of all."""
+    p = _polynomials(spark, sf_dir).select(F.col("n").cast("long").alias("n"), F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("digest"), "tree_id")
+    shards = S.keep_first(p.withColumn("shard", F.col("tree_id") % 4), ("n", "digest", "shard"), "tree_id")
+    return shards.groupBy("n", "digest").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("shards"))
+
+
+def resume_anti_join(spark, sf_dir):
+    """Keys that a search taken up after the middle index meets for the first time."""
+    p = materialize(_polynomials(spark, sf_dir).select(F.col("n").cast("long").alias("n"), F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("digest"), "tree_id"), "digests")
+    middle = (p.agg(F.max("tree_id")).first()[0] or 0) // 2
+    known = S.keep_first(p.filter(F.col("tree_id") <= middle), ("n", "digest"), "tree_id")
+    return store.leave_out_known(S.keep_first(p.filter(F.col("tree_id") > middle), ("n", "digest"), "tree_id"), known, ("n", "digest")).select("n", "digest", "tree_id")
+
+
+def stream_first_seen(spark, sf_dir):
+    from sylva.streaming.search import stream_first_seen as run
+
+    p = _polynomials(spark, sf_dir).select(F.col("n").cast("long").alias("n"), F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("digest"), "tree_id")
+    chunks = scratch_path(spark, "chunks")
+    p.repartition(8).write.parquet(chunks)
+    return run(spark, chunks, p.schema).select("n", "digest", "tree_id")
+
+
+def meta_upsert(spark, sf_dir):
+    """The last event of each type for each user, as an upsert of key and value by version."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("version"))
+    return store.upsert(e.filter("version % 2 = 0"), e.filter("version % 2 = 1"))
+
+
+def pair_equal(spark, sf_dir):
+    p = materialize(_polynomials(spark, sf_dir).select("tree_id", "n", "coeffs"), "polynomials")
+    return S.compare_pairs(S.neighbours_of_equal_size(p), p)
+
+
+def variance_groups(spark, sf_dir):
+    """Classes of trees by exact variance of the coefficients: n * sum of squares - square of the sum, over n^2."""
+    p = _polynomials(spark, sf_dir, FEW_COLOURS)
+    total, squares = C.variance_sums(F.col("coeffs"))
+    key = (squares * F.size("coeffs") - total * total).cast("decimal(38,0)")
+    return p.select(F.col("n").cast("long").alias("n"), F.size("coeffs").cast("long").alias("length"), key.cast("string").alias("numerator"), "tree_id").groupBy("n", "length", "numerator").agg(F.count("*").alias("trees"), F.min("tree_id").alias("first_tree"))
+
+
+def dataset_round_trip(spark, sf_dir):
+    """Graph6 and polynomial of the first tree of each parent array, written as CSV and read back."""
+    ship_package(spark)
+    p = _polynomials(spark, sf_dir)
+    rows = p.groupBy("parent").agg(F.min("tree_id").alias("tree_index"), F.min_by("coeffs", "tree_id").alias("coeffs")).select("tree_index", tree_graph6("parent").alias("graph6"), C.polynomial_text(F.col("coeffs")).alias("polynomial"))
+    path = scratch_path(spark, "dataset")
+    src.write_dataset(materialize(rows, "dataset-rows"), path, single=False)
+    return src.read_dataset(spark, path)
+
+
+def text_formats(spark, sf_dir):
+    """Durations and counts as texts, from the prices of orders as seconds."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", C.duration_text(F.col("o_totalprice")).alias("duration"), C.thousands(F.floor("o_totalprice")).alias("count_text"))
+
+
+def enumeration_census(spark, sf_dir, sizes=(4, 5, 6, 7, 8, 9)):
+    """Of all trees of given sizes, with their index and label: how many orders have that form."""
+    from sylva.functions.trees import tree_form
+    from sylva.sources.enumeration import enumerate_trees
+
+    forms = P.with_form(_forest(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("orders"))
+    trees = enumerate_trees(spark, sizes[0])
+    for n in sizes[1:]:
+        trees = trees.unionByName(enumerate_trees(spark, n))
+    named = trees.withColumn("form", tree_form.asNondeterministic()("parent"))
+    return named.join(forms, "form", "left").select(F.col("n").cast("long").alias("n"), "tree_index", "graph6", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 def queries():
-    return {}
+    plain = (
+        order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, tree_classes,
+        bucket_summary, nonsingleton_semi_join, bucket_cache, polynomials, polynomials_few_colours, polynomial_terms, poly_coeffs_long,
+        coefficient_checks, polynomial_arithmetic, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
+        collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, meta_upsert, pair_equal, variance_groups,
+        dataset_round_trip, text_formats, enumeration_census,
+    )
+    modes = {f"bucket_counts_{m.replace('+', '_')}": _buckets(m) for m in C.BUCKET_MODES}
+    return {f.__name__: f for f in plain} | modes
 
 
 def oracle_sql():
-    return {}
+    from sylva import catalog_sql
+
+    return catalog_sql.oracles(SQL_STEPS, FEW_COLOURS)
