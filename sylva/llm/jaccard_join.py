@@ -5,9 +5,10 @@
    agree in some slices entirely; a block is the points that agree in a slice. Unrelated sets are all at distance near 1
    from any pivot, so that pivots alone would copy every point to every region; the blocks keep them apart first.
 2. Points that share blocks, directly or by others, are a space of their own. In a large one pivots create Voronoi
-   regions: a point goes to its nearest pivot and, by the triangle inequality, to each pivot that is nearer than that plus
-   twice the threshold distance. Points within the threshold of a pivot are linked by it and meet only points whose
-   distance to it lets them link. Regions still large are cut again by new pivots, and in the end by pairs of chunks.
+   regions: a point goes to its nearest pivot. Points within the threshold of pivots are linked by them; the largest set
+   that this connects is settled, and no two of its points need to meet again. Each other point goes also to all pivots
+   that are nearer than its nearest one plus twice the threshold: by the triangle inequality it meets there whatever it may
+   be linked with. Regions still large are cut again by new pivots, and in the end by pairs of chunks.
 3. Regions join exactly: pivot windows and slice counts rule pairs out, the rest are compared in full, and pairs already
    connected need not be. Components of the links follow by star contraction.
 """
@@ -28,7 +29,7 @@ from sylva.llm.components import connected_components
 from sylva.runtime import materialize, ship_package
 
 #: A region of so many points and shingles at most is joined in one task.
-LOCAL_POINTS, LOCAL_SHINGLES = 1000, 2_000_000
+LOCAL_POINTS, LOCAL_SHINGLES = 4000, 4_000_000
 #: Pivots of a region that is cut, and how often regions are cut before chunks.
 PIVOTS, DEPTH = 16, 3
 #: Up to so many points (40 bytes each) are broadcast to the documents to fetch their sets; beyond, the two are shuffled.
@@ -190,12 +191,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def join_region(ids: list[int], sets: list[np.ndarray], home: list[bool], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect all linked pairs of a region, but for pairs of which neither is at home there."""
+def join_region(ids: list[int], sets: list[np.ndarray], settled: list[bool], rule: Rule) -> list[tuple[int, int]]:
+    """Links that connect all linked pairs of a region, given that the settled points are connected already."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets, at_home = [ids[i] for i in order], [sets[i] for i in order], np.array([home[i] for i in order], bool)
+    ids, sets, calm = [ids[i] for i in order], [sets[i] for i in order], np.array([settled[i] for i in order], bool)
     n = len(ids)
-    if n < 2:
+    if n < 2 or calm.all():
         return []
     size = np.array([len(u) for u in sets], np.int64)
     wide = size.max() // _SIGNATURE * 4 > 255
@@ -206,13 +207,16 @@ def join_region(ids: list[int], sets: list[np.ndarray], home: list[bool], rule:
     pivots = range(0, n, max(1, n // 4)) if n > 8 else ()
     far = np.array([[1 - (s := _shared(sets[p], u)) / max(1, len(sets[p]) + len(u) - s) for u in sets] for p in pivots]).T if n > 8 else None
     forest, out = _Forest(n), []
+    known = np.flatnonzero(calm)
+    for i in known[1:].tolist():
+        forest.up[i] = int(known[0])
     for i in range(1, n):
         first = int(np.searchsorted(size[:i], -(-rule.num * size[i] // rule.den)))
         if first >= i:
             continue
         near = np.arange(first, i)
-        if not at_home[i]:
-            near = near[at_home[first:i]]
+        if calm[i]:
+            near = near[~calm[first:i]]
         if far is not None and len(near):
             near = near[(np.abs(far[near] - far[i]) <= rule.theta + 1e-9).all(1)]
         if not len(near):
@@ -228,7 +232,7 @@ def join_region(ids: list[int], sets: list[np.ndarray], home: list[bool], rule:
     return out
 
 
-_REGION = "region long, id long, n long, home boolean, body binary"
+_REGION = "region long, id long, n long, settled boolean, body binary"
 
 
 def _fetch_sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -240,8 +244,8 @@ def _fetch_sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             ids, regions, hi, lo = (batch.column(c).to_pylist() for c in ("doc_id", "region", "hi", "lo"))
             for b in blocks(batch.column("text")):
-                rows = [(regions[k], ids[k], len(u), True, u.tobytes()) for k, u in enumerate(shingle_sets(b, rule.words), b.first) if digest(u) == (hi[k], lo[k])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["region", "id", "n", "home", "body"])
+                rows = [(regions[k], ids[k], len(u), False, u.tobytes()) for k, u in enumerate(shingle_sets(b, rule.words), b.first) if digest(u) == (hi[k], lo[k])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["region", "id", "n", "settled", "body"])
 
     return docs.join(members, "doc_id").select("doc_id", "text", "region", "hi", "lo").mapInArrow(make, _REGION)
 
@@ -251,79 +255,105 @@ def _join_small(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            links = join_region(ids, sets, home, rule)
+            links = join_region(ids, sets, settled, rule)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        now, ids, sets, home = None, [], [], []
+        now, ids, sets, settled = None, [], [], []
         for batch in batches:
-            for region, i, h, body in zip(*(batch.column(c).to_pylist() for c in ("region", "id", "home", "body")), strict=True):
+            for region, i, s, body in zip(*(batch.column(c).to_pylist() for c in ("region", "id", "settled", "body")), strict=True):
                 if region != now:
                     if len(ids) > 1:
                         yield flush()
-                    now, ids, sets, home = region, [], [], []
+                    now, ids, sets, settled = region, [], [], []
                 ids.append(i)
                 sets.append(np.frombuffer(body, np.uint64))
-                home.append(h)
+                settled.append(s)
         if len(ids) > 1:
             yield flush()
 
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(join, "a long, b long")
 
 
+def _connected_bits(masks: dict[int, int]) -> int:
+    """Of the groups of bits that masks (with the number of points of each) connect, the one with the most points."""
+    groups: list[int] = []
+    for m in masks:
+        if m:
+            touching = [g for g in groups if g & m]
+            groups = [g for g in groups if not g & m]
+            for g in touching:
+                m |= g
+            groups.append(m)
+    return max(groups, key=lambda g: (sum(n for m, n in masks.items() if m & g), g), default=0)
+
+
 def _cut_by_pivots(rows: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions of each region of ``rows``, and links (a, b) of points to pivots within the threshold."""
+    """Voronoi regions of each region of ``rows``, and links (a, b) that pivots tell of."""
     order = F.xxhash64("id", F.lit(turn))
     pick = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("body").alias("body"))).alias("p"))
-    pivots = materialize(pick.groupBy("region").agg(F.collect_list(F.struct(F.col("p.id").alias("id"), F.col("p.body").alias("body"))).alias("pivots")), "pivots")  # PIVOTS rows a region
+    pivots = materialize(pick.groupBy("region").agg(F.sort_array(F.collect_list(F.struct(F.col("p.id").alias("id"), F.col("p.body").alias("body")))).alias("pivots")), "pivots")  # PIVOTS rows a region
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                u = np.frombuffer(row["body"], np.uint64)
-                far, tied = [], []
-                for p in row["pivots"]:
+                u, far, mask = np.frombuffer(row["body"], np.uint64), [], int(row["settled"]) << PIVOTS
+                for k, p in enumerate(row["pivots"]):
                     v = np.frombuffer(p["body"], np.uint64)
                     s = _shared(u, v)
                     far.append(1 - s / max(1, len(u) + len(v) - s))
-                    tied.append(rule.linked(s, len(u), len(v)))
-                best = int(np.argmin(far))
-                for k, d in enumerate(far):
-                    if k == best or d <= far[best] + 2 * rule.theta + 1e-9:
-                        region = int(mix(np.array([np.int64(row["region"]), np.int64(row["pivots"][k]["id"])], np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-                        out.append((region, row["id"], row["n"], bool(row["home"]) and k == best, row["body"], d, row["pivots"][k]["id"] if tied[k] else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64()))], ["region", "id", "n", "home", "body", "far", "pivot"])
-
-    placed = materialize(rows.join(pivots, "region").mapInArrow(assign, _REGION + ", far double, pivot long"), "voronoi")
-    links = placed.filter("pivot is not null and pivot <> id").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    # points linked to the pivot are connected; they still meet those beyond it whose distance allows a link
-    shell = placed.filter("pivot is null").groupBy("region").agg(F.min("far").alias("nearest"))
-    left = placed.join(shell, "region").filter((F.col("pivot").isNull()) | (F.col("far") >= F.col("nearest") - rule.theta - 1e-9))
-    return left.select("region", "id", "n", "home", "body"), links
+                    mask |= int(rule.linked(s, len(u), len(v))) << k
+                out.append((row["region"], row["id"], row["n"], row["body"], far, mask))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["region", "id", "n", "body", "far", "mask"])
+
+    placed = materialize(rows.join(pivots, "region").mapInArrow(measure, "region long, id long, n long, body binary, far array<double>, mask long"), "voronoi")
+
+    def settle(t: pa.Table) -> pa.Table:
+        """Of one region: the bits of its settled points; t has a row for each different mask."""
+        masks = dict(zip(t.column("mask").to_pylist(), t.column("points").to_pylist(), strict=True))
+        return pa.table({"region": pa.array([t.column("region")[0].as_py()], pa.int64()), "calm": pa.array([_connected_bits(masks)], pa.int64())})
+
+    masks = placed.groupBy("region", "mask").agg(F.count("*").alias("points"))
+    calm = materialize(masks.groupBy("region").applyInArrow(settle, "region long, calm long"), "settled")  # at most 2^(PIVOTS + 1) rows a region
+    names = pivots.select("region", F.transform("pivots", lambda p: p["id"]).alias("names"))
+    tied = placed.filter(F.col("mask").bitwiseAND((1 << PIVOTS) - 1) != 0).select("region", "id", "mask").join(names, "region")
+    tied = tied.withColumn("own", F.expr("filter(names, (x, i) -> (shiftright(mask, i) & 1) = 1)"))
+    # a point is tied to one pivot, and the pivots of each different mask to each other
+    links = tied.select(F.col("id").alias("a"), F.col("own")[0].alias("b")).unionByName(tied.select("own").distinct().select(F.explode("own").alias("a"), F.col("own")[0].alias("b"))).filter("a <> b").distinct()
+
+    rest = placed.join(calm, "region").withColumn("settled", F.col("mask").bitwiseAND(F.col("calm")) != 0).withColumn("best", F.array_min("far"))
+    rest = rest.withColumn("home", F.array_position("far", F.col("best")) - 1)
+    reach = F.when(F.col("settled"), F.array(F.col("home"))).otherwise(F.transform(F.filter(F.transform("far", lambda d, i: F.struct(d.alias("d"), i.cast("long").alias("i"))), lambda x: x["d"] <= F.col("best") + 2 * rule.theta + 1e-9), lambda x: x["i"]))
+    cells = rest.withColumn("cell", F.explode(reach)).withColumn("d", F.get("far", F.col("cell").cast("int")))
+    cells = materialize(cells.select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "id", "n", "settled", "body", "d"), "cells")
+    # a settled point needs to meet only unsettled ones whose distance to the pivot allows a link
+    open_cells = cells.filter("not settled").groupBy("region").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    kept = cells.join(open_cells, "region").filter(~F.col("settled") | F.col("d").between(F.col("least") - rule.theta - 1e-9, F.col("most") + rule.theta + 1e-9))
+    return kept.select("region", "id", "n", "settled", "body"), links
 
 
 def _cut_by_chunks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each pair of chunks of a region as a region of its own, whatever the points' distances."""
+    """Pairs of chunks of a region as regions of their own: each chunk of unsettled points with every chunk."""
     part = F.greatest(F.ceil(F.col("points") / (LOCAL_POINTS // 2)), F.ceil(F.col("shingles") / (LOCAL_SHINGLES // 2))).cast("long")
     cut = rows.join(sizes.select("region", part.alias("parts")), "region").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), "parts"))
     other = cut.withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
     pair = F.xxhash64("region", F.least("chunk", "with"), F.greatest("chunk", "with"))
-    return other.select(pair.alias("region"), "id", "n", "home", "body")
+    return other.select(pair.alias("region"), "id", "n", "settled", "body")
 
 
 def links_of(rows: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: links that connect all linked pairs of each region of ``rows`` (region, id, n, home, body)."""
+    """a, b: links that connect all linked pairs of each region of ``rows`` (region, id, n, settled, body)."""
     found: DataFrame | None = None
     fits = (F.col("points") <= LOCAL_POINTS) & (F.col("shingles") <= LOCAL_SHINGLES)
     for turn in range(DEPTH + 1):
         sizes = materialize(rows.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).filter("points > 1"), "regions")
         large = sizes.filter(~fits)
-        small = rows.join(sizes.filter(fits).select("region"), "region")
-        more = _join_small(small, rule)
+        more = _join_small(rows.join(sizes.filter(fits).select("region"), "region", "left_semi"), rule)
         found = more if found is None else found.unionByName(more)
         if not large.limit(1).count():
             return found
-        rows = materialize(rows.join(large.select("region"), "region"), "large")
+        rows = materialize(rows.join(large.select("region"), "region", "left_semi"), "large")
         if turn == DEPTH:
             return found.unionByName(_join_small(_cut_by_chunks(rows, large), rule))
         rows, links = _cut_by_pivots(rows, rule, turn)
