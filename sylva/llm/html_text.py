@@ -120,7 +120,7 @@ def parse(html: str, templates: frozenset[int] = frozenset()) -> tuple[str, set[
                     break
                 if stack[k].tag in SCOPE and stack[k].tag not in ends:
                     break
-        named = [(a.lower(), next(x for x in v if x or x == v[2])) for a, *v in _ATTR.findall(m[3])] if "=" in m[3] else []
+        named = [(a.lower(), "".join(v)) for a, *v in _ATTR.findall(m[3])] if "=" in m[3] else []
         marked = bool(named)
         drop = tag in DROPPED or tag not in KEPT and any(w in MARKS for _, v in named for w in _MARK.findall(v.lower())) or tag == "article" and any(w in ("comment", "comments", "reply") for _, v in named for w in _MARK.findall(v.lower()))
         if tag in BLOCK:
