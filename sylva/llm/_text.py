@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the working memory of a task whatever the batch holds.
-BLOCK_BYTES = 2 << 20
-_CHUNK = 1 << 20
+BLOCK_BYTES = 512 << 10
+_CHUNK = 256 << 10
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 WHITESPACE = np.zeros(256, bool)
