@@ -380,7 +380,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     spaces = materialize(connected_components(candidate_edges(distinct)), "spaces")
     members = spaces.join(reps, spaces.node == reps.rep).select(F.col("node").alias("id"), F.col("root").alias("region"), "hi", "lo")
     rows = materialize(_fetch_sets(own, materialize(members, "members"), rule), "members-sets")
-    roots = connected_components(links_of(rows, rule))
+    # the texts of a doc_id that has several are one document
+    several = named.groupBy("doc_id").agg(F.min(F.struct("n", "hi", "lo")).alias("x"), F.max(F.struct("n", "hi", "lo")).alias("y")).filter("x <> y").select("doc_id")
+    same = named.join(several, "doc_id", "left_semi").join(reps, ["n", "hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = connected_components(links_of(rows, rule).unionByName(same))
     known = points.select("doc_id", F.col("n").alias("n_shingles"), "n", "hi", "lo").join(reps, ["n", "hi", "lo"], "left")
     out = known.join(roots, known.rep == roots.node, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "rep", "doc_id"))
