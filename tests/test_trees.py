@@ -229,3 +229,18 @@ def test_entry_and_queries_match_sql(spark):
         want = con.execute(sql[name]).fetchall()
         names = [c[0] for c in con.description]
         assert sorted(map(tuple, got.select(*names).collect())) == sorted(want), name
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "sylva"), tmp_path / "sylva", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.catalog.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["True", "True"], out.stderr
