@@ -4,7 +4,8 @@
    window the shingle universe is dealt by hash into ``m`` slices. Linked sets differ in at most ``k < m`` shingles, so they
    agree in some slices entirely; a block is the points that agree in a slice. Unrelated sets are all at distance near 1
    from any pivot, so that pivots alone would copy every point to every region; the blocks keep them apart first.
-2. Points that share blocks, directly or by others, are a space of their own. In a large one pivots create Voronoi
+2. Points that share blocks, directly or by others, are a space of their own. A large one is first cut by what pairs the
+   numbers of their shingles in hashed bins allow to be linked. In what is still large pivots create Voronoi
    regions: a point goes to its nearest pivot. Points within the threshold of pivots are linked by them; the largest set
    that this connects is settled, and no two of its points need to meet again. Each other point goes also to all pivots
    that are nearer than its nearest one plus twice the threshold: by the triangle inequality it meets there whatever it may
@@ -287,27 +288,37 @@ def _connected_bits(masks: dict[int, int]) -> int:
     return max(groups, key=lambda g: (sum(n for m, n in masks.items() if m & g), g), default=0)
 
 
-def _cut_by_pivots(rows: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions of each region of ``rows``, and links (a, b) that pivots tell of."""
+def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi regions of each region of ``rows`` (whose points and shingles ``sizes`` has), and links (a, b) that pivots tell of."""
     order = F.xxhash64("id", F.lit(turn))
     pick = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("body").alias("body"))).alias("p"))
-    pivots = materialize(pick.groupBy("region").agg(F.sort_array(F.collect_list(F.struct(F.col("p.id").alias("id"), F.col("p.body").alias("body")))).alias("pivots")), "pivots")  # PIVOTS rows a region
+    pivots = materialize(pick.select("region", "p.id", "p.body").dropDuplicates(["region", "id"]), "pivots")  # PIVOTS rows a region
+    # a region's points go to as many tasks as they would fill, each after a copy of the pivots
+    parts = sizes.select("region", F.greatest(F.ceil(F.col("points") / LOCAL_POINTS), F.ceil(F.col("shingles") / LOCAL_SHINGLES)).cast("long").alias("parts"))
+    points = rows.join(parts, "region").select("region", F.pmod(F.xxhash64("id", F.lit("part")), "parts").alias("part"), F.lit(1).alias("tag"), "id", "n", "settled", "body")
+    copies = pivots.join(parts, "region").select("region", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("tag"), "id", F.lit(0).cast("long").alias("n"), F.lit(False).alias("settled"), "body")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, []
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                u, far, mask = np.frombuffer(row["body"], np.uint64), [], int(row["settled"]) << PIVOTS
-                for k, p in enumerate(row["pivots"]):
-                    v = np.frombuffer(p["body"], np.uint64)
-                    s = _shared(u, v)
-                    far.append(1 - s / max(1, len(u) + len(v) - s))
-                    mask |= int(rule.linked(s, len(u), len(v))) << k
-                out.append((row["region"], row["id"], row["n"], row["body"], far, mask))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["region", "id", "n", "body", "far", "mask"])
-
-    placed = materialize(rows.join(pivots, "region").mapInArrow(measure, "region long, id long, n long, body binary, far array<double>, mask long"), "voronoi")
+            at, far, mask = [], [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("region", "part", "tag", "settled")), strict=True)
+            for i, (region, part, tag, settled) in enumerate(keys):
+                if (region, part) != now:
+                    now, sets = (region, part), []
+                u = np.frombuffer(batch.column("body")[i].as_py(), np.uint64)
+                if tag == 0:
+                    sets.append(u)
+                    continue
+                both = [_shared(u, v) for v in sets]
+                at.append(i)
+                far.append([1 - s / max(1, len(u) + len(v) - s) for s, v in zip(both, sets, strict=True)])
+                mask.append(sum(1 << k for k, (s, v) in enumerate(zip(both, sets, strict=True)) if rule.linked(s, len(u), len(v))) | int(settled) << PIVOTS)
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("region", "id", "n", "body")), pa.array(far, pa.list_(pa.float64())), pa.array(mask, pa.int64())], ["region", "id", "n", "body", "far", "mask"])
+
+    spread = points.unionByName(copies).repartition("region", "part").sortWithinPartitions("region", "part", "tag", "id")
+    placed = materialize(spread.mapInArrow(measure, "region long, id long, n long, body binary, far array<double>, mask long"), "voronoi")
 
     def settle(t: pa.Table) -> pa.Table:
         """Of one region: the bits of its settled points; t has a row for each different mask."""
@@ -316,7 +327,7 @@ def _cut_by_pivots(rows: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, D
 
     masks = placed.groupBy("region", "mask").agg(F.count("*").alias("points"))
     calm = materialize(masks.groupBy("region").applyInArrow(settle, "region long, calm long"), "settled")  # at most 2^(PIVOTS + 1) rows a region
-    names = pivots.select("region", F.transform("pivots", lambda p: p["id"]).alias("names"))
+    names = pivots.groupBy("region").agg(F.sort_array(F.collect_list("id")).alias("names"))
     tied = placed.filter(F.col("mask").bitwiseAND((1 << PIVOTS) - 1) != 0).select("region", "id", "mask").join(names, "region")
     tied = tied.withColumn("own", F.expr("filter(names, (x, i) -> (shiftright(mask, i) & 1) = 1)"))
     # a point is tied to one pivot, and the pivots of each different mask to each other
@@ -342,10 +353,63 @@ def _cut_by_chunks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return other.select(pair.alias("region"), "id", "n", "settled", "body")
 
 
+def _refine(rows: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """``rows`` with large regions cut into what pairs could be linked by the numbers of shingles in hashed bins.
+
+    Only these numbers travel, a kilobyte a point, in pairs of chunks; a task gives ties that connect its candidates, not
+    all pairs. Every linked pair is a candidate, so that none is lost; points without candidates go.
+    """
+
+    @F.arrow_udf("binary")
+    def bins(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            yield pa.array([np.minimum(np.bincount((np.frombuffer(b.as_py(), np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512), 65535).astype(np.uint16).tobytes() for b in batch], pa.binary())
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            order = np.argsort(size, kind="stable")
+            n, c, name = np.array(size)[order], np.stack([counts[i] for i in order]), [ids[i] for i in order]
+            forest, out = _Forest(len(n)), []
+            for i in range(1, len(n)):
+                first = int(np.searchsorted(n[:i], -(-rule.num * n[i] // rule.den)))
+                most = np.minimum(c[first:i], c[i]).sum(1, dtype=np.int64)
+                if c[i].max() == 65535:
+                    most = n[first:i]
+                for j in (np.flatnonzero(rule.den * most >= rule.num * (n[first:i] + n[i] - most)) + first).tolist():
+                    if forest.find(i) != forest.find(j):
+                        forest.tie(i, j)
+                        out.append((name[i], name[j]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        now, ids, size, counts = None, [], [], []
+        for batch in batches:
+            for pair, i, k, b in zip(*(batch.column(x).to_pylist() for x in ("pair", "id", "n", "bins")), strict=True):
+                if pair != now:
+                    if len(ids) > 1:
+                        yield flush()
+                    now, ids, size, counts = pair, [], [], []
+                ids.append(i)
+                size.append(k)
+                counts.append(np.frombuffer(b, np.uint16))
+        if len(ids) > 1:
+            yield flush()
+
+    parts = sizes.select("region", F.ceil(F.col("points") * 2 / LOCAL_POINTS).cast("long").alias("parts"))
+    points = rows.join(parts, "region").select("region", "parts", "id", "n", bins("body").alias("bins")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("bins")), "parts"))
+    pairs = points.withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)"))).select(F.xxhash64("region", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("pair"), "id", "n", "bins")
+    ties = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(tie, "a long, b long")
+    spaces = materialize(connected_components(ties), "refined")
+    return rows.drop("region").join(spaces, F.col("id") == F.col("node")).select(F.col("root").alias("region"), "id", "n", "settled", "body")
+
+
 def links_of(rows: DataFrame, rule: Rule) -> DataFrame:
     """a, b: links that connect all linked pairs of each region of ``rows`` (region, id, n, settled, body)."""
     found: DataFrame | None = None
     fits = (F.col("points") <= LOCAL_POINTS) & (F.col("shingles") <= LOCAL_SHINGLES)
+    first = materialize(rows.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).filter(~fits), "regions")
+    if first.limit(1).count():  # often tied by shared passages alone
+        near = _refine(rows.join(first.select("region"), "region", "left_semi"), first, rule)
+        rows = materialize(rows.join(first.select("region"), "region", "left_anti").unionByName(near), "refined-sets")
     for turn in range(DEPTH + 1):
         sizes = materialize(rows.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).filter("points > 1"), "regions")
         large = sizes.filter(~fits)
@@ -356,7 +420,7 @@ def links_of(rows: DataFrame, rule: Rule) -> DataFrame:
         rows = materialize(rows.join(large.select("region"), "region", "left_semi"), "large")
         if turn == DEPTH:
             return found.unionByName(_join_small(_cut_by_chunks(rows, large), rule))
-        rows, links = _cut_by_pivots(rows, rule, turn)
+        rows, links = _cut_by_pivots(rows, large, rule, turn)
         rows = materialize(rows, "regions")
         found = found.unionByName(links)
     return found
