@@ -12,7 +12,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest of its neighbours and itself."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))  # an edge each; the other star makes them distinct
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -22,6 +22,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether each node is tied to one root and no root to another; of distinct edges."""
+    left, right = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = left.unionByName(right).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max((F.col("up") + F.col("down") > 1).cast("int")).alias("more")).first().more
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``edges`` (a, b: long). Loops are ignored.
 
@@ -29,12 +36,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the number of nodes.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     for _ in range(rounds):
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == state or not now.n:
+        if _is_forest_of_stars(e):
             break
-        state = now
         e = materialize(_small_star(_large_star(e)), "edges")
     else:
         raise RuntimeError("the components have not settled")
