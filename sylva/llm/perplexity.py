@@ -26,8 +26,6 @@ SYMBOLS, BITS = 64, 6
 BAND, LEAST_BAND = 4.0, 0.5
 #: Documents of fewer characters are too short for a verdict of the model.
 MIN_CHARS = 40
-#: Trigrams that occur so often at most are looked for in the document alone.
-RARE = 64
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 20, 30, 8
 MARKS = b"#*$%&|<>"
@@ -149,14 +147,16 @@ class Models:
 
     def score(self, lang: str, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The log-probability of each character of documents, by trigram and number of the document."""
-        seen = np.flatnonzero(np.bincount(key, minlength=SYMBOLS**3))
+        tally = np.bincount(key, minlength=SYMBOLS**3)
+        seen = np.flatnonzero(tally)
         place = np.zeros(SYMBOLS**3, np.int64)
         place[seen] = np.arange(len(seen))
         pair = (self.own[lang], self.pooled)
         full, count = [m.log_prob(seen) for m in pair], [m.count(seen) for m in pair]
         at = place[key]
         out = (np.logaddexp(*full) - np.log(2))[at]
-        rare = np.flatnonzero((count[0] <= RARE)[at])
+        # no document has more of a trigram than all of these together
+        rare = np.flatnonzero((tally[seen] >= count[0])[at])
         if len(rare):
             _, back, times = np.unique(doc[rare] * np.int64(SYMBOLS**3) + key[rare], return_inverse=True, return_counts=True)
             own, where = times[back], at[rare]

@@ -126,6 +126,17 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert all(got[i] for i, *_ in prose) and not any(got[i] for i, *_ in noise)
 
 
+def test_perplexity_rejects_noise_of_any_length(spark):
+    docs, _ = corpus(300, 5)
+    prose = [(i, re.sub(r"[#%*]", "", t), "en", "s", "x") for i, t, *_ in docs]
+    rng = random.Random(3)
+    for n in (2_000, 100_000, 1_000_000):  # one at a time: two would vouch for each other
+        noise = (1000, " ".join("".join(rng.choices("#*$%&|<>", k=7)) for _ in range(n // 8)), "en", "s", "x")
+        got = {r.doc_id: r for r in perplexity.perplexity_rules(spark.createDataFrame([*prose, noise], DOCS)).collect()}
+        assert not got[1000].base_failed and not got[1000].kept
+        assert all(got[i].kept for i, *_ in prose)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     keys, counts = np.unique(rng.integers(0, 6, 3000) * 4096 + rng.integers(0, 6, 3000) * 64 + rng.integers(0, 6, 3000), return_counts=True)
