@@ -5,7 +5,7 @@ model, kept as sorted arrays of n-gram keys with their log-probabilities and bac
 worker. Counts cover all documents. A language's model is mixed half and half with one of all languages together, so that
 a passage in another language is not taken for noise; and a trigram that no other text has is judged without its own
 count, so that noise doesn't vouch for itself. A document is rejected if its mean log-perplexity is outside the band of
-its language.
+its language, which the spread of the language's own documents sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from sylva.runtime import materialize, ship_package
 
 SYMBOLS, BITS = 64, 6
 #: A band reaches so many interquartile ranges beyond the quartiles of its language, and at least so far (natural logarithm).
-BAND, LEAST_BAND = 4.0, 0.5
+BAND, LEAST_BAND = 2.0, 0.02
 #: Documents of fewer characters are too short for a verdict of the model.
 MIN_CHARS = 40
 #: Base rules.
@@ -265,18 +265,20 @@ def score_documents(docs: DataFrame, models: Models, doc_id: str = "doc_id", lan
 def perplexity_rules(docs: DataFrame, band: float = BAND, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, log_perplexity, lower, upper.
 
-    Bands come from the quartiles of the documents that pass the base rules. Null text has no words and fails the base
+    Bands come from the quartiles of the documents that pass the base rules. A mean over few characters scatters more: for
+    documents shorter than their language's median the band is wider by the root of the ratio. Null text has no words and fails the base
     rules. A null language is language ''; a language in which no document passes has no band and rejects none by it.
     Rows may repeat; ids may be null.
     """
     scored = score_documents(docs, count_model(docs, lang, text), doc_id, lang, text)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = materialize(scored.withColumn("base_failed", failed), "perplexity")
-    quartiles = scored.filter(~F.col("base_failed") & (F.col("n_chars_seen") >= MIN_CHARS)).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    reach = F.greatest(F.lit(LEAST_BAND), band * (F.col("q")[1] - F.col("q")[0]))
-    bands = quartiles.select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    quartiles = scored.filter(~F.col("base_failed") & (F.col("n_chars_seen") >= MIN_CHARS)).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx("n_chars_seen", 0.5, 10_000).alias("middle"))
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.col("middle") / F.greatest("n_chars_seen", F.lit(1))))
+    reach = F.greatest(F.lit(LEAST_BAND), band * (F.col("q")[1] - F.col("q")[0])) * wider
+    judged = scored.join(quartiles, "lang", "left").select(scored["*"], (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
     inside = F.col("lower").isNull() | (F.col("n_chars_seen") < MIN_CHARS) | F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return scored.join(bands, "lang", "left").select(
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity", "lower", "upper",
     )

@@ -126,6 +126,20 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert all(got[i] for i, *_ in prose) and not any(got[i] for i, *_ in noise)
 
 
+def test_perplexity_bands_tell_poor_documents_from_prose(spark):
+    docs, _ = corpus(300, 5)
+    prose = [(i, re.sub(r"[#%*]", "", t), "en", "s", "x") for i, t, *_ in docs]
+    rng = random.Random(4)
+
+    def spoil(w):  # three words of ten with two letters swapped for rarer ones
+        return w if rng.random() > 0.3 else rng.choice("qxzjk") + w[1:-1] + rng.choice("qxzjk")
+
+    poor = [(1000 + i, " ".join(map(spoil, t.split())), *r) for i, t, *r in rng.sample(prose, 15)]
+    got = {r.doc_id: r for r in perplexity.perplexity_rules(spark.createDataFrame(prose + poor, DOCS)).collect()}
+    assert all(got[i].kept for i, *_ in prose) and not any(got[i].kept or got[i].base_failed for i, *_ in poor)
+    assert all(r.lower < r.upper < r.lower + 0.5 for r in got.values())
+
+
 def test_perplexity_rejects_noise_of_any_length(spark):
     docs, _ = corpus(300, 5)
     prose = [(i, re.sub(r"[#%*]", "", t), "en", "s", "x") for i, t, *_ in docs]
