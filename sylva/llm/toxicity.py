@@ -2,15 +2,15 @@
 
 The class is the context: ``p(w | class)`` discounts the word's count in the class and gives the rest to a lower order
 that both classes share, in which a word weighs by the number of documents (contexts) that have it, not by its count.
-A word that is rare in both classes therefore hardly tells them apart. Counts are kept in a sketch of fixed size: two
-rows of hashed cells, of which a word takes the lesser, so that the model is as large for any corpus; Spark sums it.
+A word that is rare in both classes therefore hardly tells them apart. Spark counts each word of all labelled documents
+exactly, by its 64-bit hash, so that the model grows with the corpus's vocabulary; workers get its log-ratios as sorted
+arrays of 12 bytes a word.
 A document's evidence is its length-normalised log-likelihood under the toxic model less that under the ordinary one,
 besides the part of it that toxic expressions give; a logistic link turns it into a score.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm._text import blocks, mix, span_hashes, word_spans
-from sylva.runtime import ship_package
+from sylva.runtime import materialize, ship_package
 
-#: Cells of a row of the sketch, rows, and cells that go to the driver together.
-CELLS, ROWS, CHUNK = 1 << 19, 2, 1 << 14
+#: Words that come to the driver at once.
+RANGE_WORDS = 1 << 20
 DISCOUNT = 0.75
 #: A word is an expression of the toxic class if it is so much likelier there (natural logarithm).
 STRONG = 2.5
@@ -36,33 +36,29 @@ _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    """The cells of each word hash: an array of ROWS columns."""
-    bits = CELLS.bit_length() - 1
-    return np.stack([(h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS], 1)
-
-
 @dataclass
-class ToxicModel:
-    """counts: toxic tokens, ordinary tokens and documents of each cell; link: bias and weights."""
+class WordCounts:
+    """Toxic tokens, ordinary tokens and documents: of all words together, how many words have some, and by sorted hash."""
 
+    tokens: list[int]
+    types: list[int]
+    keys: np.ndarray
     counts: np.ndarray
-    link: np.ndarray
 
     def __post_init__(self):
-        m = self.counts[:, :CELLS].astype(np.float64)
-        self.total = np.maximum(m[:2].sum(1), 1.0)
-        used = [min(np.count_nonzero(m[k]), CELLS - 1) for k in range(3)]
-        types = [-CELLS * math.log1p(-u / CELLS) for u in used]
-        self.gamma = [DISCOUNT * max(types[k], 1.0) / self.total[k] for k in range(2)]
-        self.shared = (m[2].sum() + 0.5 * (types[2] + 1.0), 0.5)
-
-    def ratio(self, h: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """log p(w | toxic) - log p(w | ordinary) of each word; ``own``: what the word's document has in the counts."""
-        c = _cells(h)
-        n = np.minimum(self.counts[:, c[:, 0]], self.counts[:, c[:, 1]]).astype(np.float64)
-        if own is not None:
-            n = np.maximum(n - own, 0)
+        self.total = np.maximum(np.array(self.tokens[:2], np.float64), 1.0)
+        self.gamma = [DISCOUNT * max(self.types[k], 1.0) / self.total[k] for k in range(2)]
+        self.shared = (self.tokens[2] + 0.5 * (self.types[2] + 1.0), 0.5)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The three counts of each word hash, 0 where there is none."""
+        if not len(self.keys):
+            return np.zeros((3, len(h)))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.counts[:, at], 0).astype(np.float64)
+
+    def ratio(self, n: np.ndarray) -> np.ndarray:
+        """log p(w | toxic) - log p(w | ordinary) of words with such counts."""
         low = (n[2] + self.shared[1]) / self.shared[0]
         p = [np.maximum(n[k] - DISCOUNT, 0) / self.total[k] + min(self.gamma[k], 1.0) * low for k in range(2)]
         out = np.log(p[0] / p[1])
@@ -70,6 +66,22 @@ class ToxicModel:
         out[(n[0] <= DISCOUNT) & (n[1] <= DISCOUNT)] = 0.0
         return out
 
+
+@dataclass
+class ToxicModel:
+    """keys: sorted hashes of all words of the counts; ratios: their log-ratios; link: bias and weights."""
+
+    keys: np.ndarray
+    ratios: np.ndarray
+    link: np.ndarray
+
+    def ratio(self, h: np.ndarray) -> np.ndarray:
+        """The log-ratio of each word hash; 0 where no labelled document has the word."""
+        if not len(self.keys):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.ratios[at], 0.0).astype(np.float64)
+
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.link[0] + features @ self.link[1:], -40, 40)))
 
@@ -120,71 +132,84 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_
     return d.join(own, d.doc_id == F.col("label_id")).select("doc_id", "text", "label")
 
 
+def _words(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a block's words, the number of the document of each, and where each document's begin."""
+    s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
+    return span_hashes(b.data, s, e, lower=True), np.repeat(np.arange(b.n), np.diff(first)), first
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """key, n0, n1, n2 of each word of text (binary): its hash as a long, tokens in toxic and other rows, rows that have it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
+            for b in blocks(batch.column("text")):
+                h, of, _ = _words(b)
+                keys, back = np.unique(h, return_inverse=True)
+                each = np.unique(h ^ mix(of.astype(np.uint64)), return_index=True)[1]
+                is_toxic = toxic[b.first : b.first + b.n][of]
+                n = [np.bincount(x, minlength=len(keys)) for x in (back[is_toxic], back[~is_toxic], back[each])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x, pa.int64()) for x in n)], ["key", "n0", "n1", "n2"])
+
+    return rows.mapInArrow(count, "key long, n0 long, n1 long, n2 long").groupBy("key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+
+
+def _sorted_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = t.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.stack([t.column(f"n{k}").to_numpy()[order] for k in range(3)])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
     """Counts over all labelled documents that aren't held out; the link on LINK_ROWS of them, each without its own counts."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = labelled(docs, labels, label, doc_id, text).select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic"))
+    summed = materialize(count_words(rows), "toxicity")
+    sums = summed.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(3)], *[F.count_if(F.col(f"n{k}") > 0) for k in range(3)]).first()
+    tokens, types = list(sums[:3]), list(sums[3:])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, ROWS * CELLS), np.int64)
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
-            for b in blocks(batch.column("text")):
-                s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
-                h = span_hashes(b.data, s, e, lower=True)
-                of = np.repeat(np.arange(b.n), np.diff(first))
-                c, is_toxic = _cells(h), toxic[b.first : b.first + b.n][of]
-                each = h[np.unique(h ^ mix(of.astype(np.uint64)), return_index=True)[1]]
-                for r in range(ROWS):
-                    for k, cells in ((0, c[is_toxic, r]), (1, c[~is_toxic, r]), (2, _cells(each)[:, r])):
-                        np.add.at(sums[k], cells, 1)
-        at = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at], pa.int64()) for k in range(3))], ["cell", "n0", "n1", "n2"])
-
-    summed = rows.mapInArrow(count, "cell long, n0 long, n1 long, n2 long").groupBy("cell").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
-
-    def pack(t: pa.Table) -> pa.Table:
-        cell = t.column("cell").to_numpy()
-        out = np.zeros((3, CHUNK), np.float32)
-        out[:, cell % CHUNK] = [t.column(f"n{k}").to_numpy() for k in range(3)]
-        return pa.table({"chunk": pa.array([int(cell[0] // CHUNK)], pa.int64()), "body": pa.array([out.tobytes()], pa.binary())})
-
-    # a row for each chunk of cells: as much for any corpus
-    counts = np.zeros((3, ROWS * CELLS), np.float32)
-    for r in summed.groupBy(F.expr(f"cell div {CHUNK}").alias("chunk")).applyInArrow(pack, "chunk long, body binary").toLocalIterator():
-        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.body, np.float32).reshape(3, CHUNK)
-    model = ToxicModel(counts, np.zeros(5))
-    shared = spark.sparkContext.broadcast(model)
+    some = labelled(docs, labels, label, doc_id, text).withColumn("order", F.xxhash64("doc_id", F.lit("link")))
+    n = labels.count()
+    if n > LINK_ROWS:  # a hash range that holds about so many
+        some = some.filter(F.pmod("order", F.lit(1_000_000)) < F.lit(int(1_000_000 * LINK_ROWS / n)))
+    some = some.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic"))
+    # the words of these documents only
+    link_counts = summed.join(count_words(some).select("key"), "key", "left_semi")
+    shared = spark.sparkContext.broadcast(WordCounts(tokens, types, *_sorted_counts(link_counts.toArrow())))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
             for b in blocks(batch.column("text")):
-                s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
-                h = span_hashes(b.data, s, e, lower=True)
-                of = np.repeat(np.arange(b.n), np.diff(first))
+                h, of, first = _words(b)
                 t = toxic[b.first : b.first + b.n]
                 _, back, times = np.unique(h ^ mix(of.astype(np.uint64)), return_inverse=True, return_counts=True)
                 n = times[back]
-                x = features(m.ratio(h, np.stack([n * t[of], n * ~t[of], np.ones(len(h))])), first)
+                x = features(m.ratio(np.maximum(m.of(h) - np.stack([n * t[of], n * ~t[of], np.ones(len(h))]), 0)), first)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.float64)), *(pa.array(x[:, k]) for k in range(4))], ["y", "x0", "x1", "x2", "x3"])
 
-    some = labelled(docs, labels, label, doc_id, text).withColumn("order", F.xxhash64("doc_id", F.lit("link")))
-    n = labels.count()
-    if n > LINK_ROWS:  # a hash range that holds about so many
-        some = some.filter(F.pmod("order", F.lit(1_000_000)) < F.lit(int(1_000_000 * LINK_ROWS / n)))
-    some = some.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic"))
     t = some.mapInArrow(measure, "y double, x0 double, x1 double, x2 double, x3 double").toArrow()
     x = np.stack([t.column(f"x{k}").to_numpy() for k in range(4)], 1) if t.num_rows else np.zeros((0, 4))
-    return ToxicModel(counts, fit_link(x, t.column("y").to_numpy()))
+    link = fit_link(x, t.column("y").to_numpy())
+
+    # all words, in ranges of their hash
+    base, bits = WordCounts(tokens, types, np.zeros(0, np.uint64), np.zeros((3, 0))), max(0, types[2] // RANGE_WORDS).bit_length()
+    keys, ratios = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+    for r in range(1 << bits):
+        part = summed.filter(F.shiftrightunsigned("key", 64 - bits) == r) if bits else summed
+        k, c = _sorted_counts(part.toArrow())
+        keys.append(k)
+        ratios.append(base.ratio(c.astype(np.float64)).astype(np.float32))
+    return ToxicModel(np.concatenate(keys), np.concatenate(ratios), link)
 
 
 def toxicity_udf(spark, model: ToxicModel):
     """An Arrow UDF from text (as binary) to its score."""
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    shared = spark.sparkContext.broadcast(model)  # 12 bytes a word
 
     @F.arrow_udf("double")
     def toxicity(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -192,8 +217,8 @@ def toxicity_udf(spark, model: ToxicModel):
         for batch in column:
             out = np.zeros(len(batch))
             for b in blocks(batch):
-                s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
-                out[b.first : b.first + b.n] = m.score(features(m.ratio(span_hashes(b.data, s, e, lower=True)), first))
+                h, _, first = _words(b)
+                out[b.first : b.first + b.n] = m.score(features(m.ratio(h), first))
             yield pa.array(out)
 
     return toxicity.asNondeterministic()  # else a plan that uses the score twice may compute it twice

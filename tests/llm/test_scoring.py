@@ -46,6 +46,21 @@ def test_toxicity_held_out(data):
     assert all(0 <= r.score <= 1 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
+def test_toxicity_counts_every_word_of_a_large_vocabulary(spark):
+    # 900,000 ordinary words and one toxic expression: a sketch of fixed size would mix their counts with others'
+    usual = [(i, " ".join(f"w{i}x{k}" for k in range(3_000)) * 2, 0) for i in range(300)]
+    rude = [(1000 + i, f"moron r{i}", 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in usual + rude], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, x) for i, _, x in usual + rude], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert not model.ratio(np.random.default_rng(1).integers(1, 2**63, 5_000).astype(np.uint64)).any()  # words of no document
+    fitted = [(i, t) for i, t, _ in usual + rude if zlib.crc32(str(i).encode()) % 4 != 2]
+    words = {w for _, t in fitted for w in t.split()}
+    assert len(model.keys) == len(words) and (model.keys[1:] > model.keys[:-1]).all()
+    counts = {r.key: (r.n0, r.n1, r.n2) for r in toxicity.count_words(docs.filter("doc_id < 2 or doc_id >= 1000").select(F.col("text").cast("binary").alias("text"), (F.col("doc_id") >= 1000).alias("toxic"))).collect()}
+    assert sorted(counts.values())[-1] == (40, 0, 40) and len(counts) == 41 + len({w for i, t, _ in usual[:2] for w in t.split()})
+
+
 def test_toxicity_does_not_learn_from_held_out_rows_or_other_columns(data):
     docs, labels = data
     out = toxicity.held_out(F.col("doc_id"))
