@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a fresh local folder is made and set.
+    Only in local mode, where a session names none (tests), a fresh local folder is made and set; on a cluster executors
+    would each write to their own disk, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="spark-sylva-")
     spark.sparkContext.setCheckpointDir(own)
     return f"file://{own}"
@@ -38,7 +41,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sylva_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote; only after all that reads them has been written in turn."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._sylva_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def ship_package(spark: SparkSession) -> None:
