@@ -4,35 +4,40 @@
    window the shingle universe is dealt by hash into ``m`` slices. Linked sets differ in at most ``k < m`` shingles, so they
    agree in some slices entirely; a block is the points that agree in a slice. Unrelated sets are all at distance near 1
    from any pivot, so that pivots alone would copy every point to every region; the blocks keep them apart first.
-2. Points that share blocks, directly or by others, are a space of their own. A large one is first cut by what pairs the
-   numbers of their shingles in hashed bins allow to be linked. In what is still large pivots create Voronoi
-   regions: a point goes to its nearest pivot. Points within the threshold of pivots are linked by them; the largest set
-   that this connects is settled, and no two of its points need to meet again. Each other point goes also to all pivots
-   that are nearer than its nearest one plus twice the threshold: by the triangle inequality it meets there whatever it may
-   be linked with. Regions still large are cut again by new pivots, and in the end by pairs of chunks.
-3. Regions join exactly: pivot windows and slice counts rule pairs out, the rest are compared in full, and pairs already
-   connected need not be. Components of the links follow by star contraction.
+2. Points that share blocks, directly or by others, are a space of their own. Pivots create its Voronoi regions: a point
+   goes to its nearest pivot. Points within the threshold of a pivot are linked by it. A point goes as a guest also to all
+   pivots that are nearer than its nearest one plus twice the threshold: by the triangle inequality it meets there whatever
+   it may be linked with. Regions are cut again by new pivots of their own until all of one is
+   connected or a pivot; those that pivots can't cut are compared: windows of distances to pivots and counts of shingles in slices rule pairs out, the rest is
+   compared in full, and pairs already connected, or guests both, need not be.
+3. A space that fits a task is cut there. A larger one is cut by Spark first, up to ``DEPTH`` times, and in the end by pairs
+   of chunks. Components of the links follow by star contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm._text import Block, blocks, mix, span_hashes, windows, word_spans
 from sylva.llm.components import connected_components
-from sylva.runtime import materialize, ship_package
+from sylva.runtime import discard, fresh_name, materialize, ship_package
 
 #: A region of so many points and shingles at most is joined in one task.
 LOCAL_POINTS, LOCAL_SHINGLES = 4000, 4_000_000
-#: Pivots of a region that is cut, and how often regions are cut before chunks.
+#: Pivots that Spark takes of a region that is cut, and how often regions are cut before chunks.
 PIVOTS, DEPTH = 16, 3
+#: Inside a task: pivots of a region of n points, at most, as a multiple of the root of n; how often regions are cut at most.
+LOCAL_PIVOTS, LOCAL_DEPTH = 4.0, 24
+#: Pivots are taken until each point is nearer to one than this, less than which a point reaches no unrelated pivot.
+_CLEAR = 0.1
 #: Up to so many points (40 bytes each) are broadcast to the documents to fetch their sets; beyond, the two are shuffled.
 BROADCAST_POINTS = 1_000_000
 #: Blocks of more points than this are needed only by points with many of them.
@@ -123,11 +128,9 @@ def block_keys(u: np.ndarray, rule: Rule) -> tuple[np.ndarray, list[int], list[i
         dropped = int(light.sum())
         if dropped <= spare:
             key = key[~light]
-        else:
-            dropped = 0
         keys.append((key & ~np.uint64(63)) | np.uint64(q))
         names.append(q)
-        slack.append(spare - dropped)
+        slack.append(max(0, spare - dropped))  # also of a set that keeps its light slices: its partner may give up the same ones
     return (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64), names, slack
 
 
@@ -153,32 +156,19 @@ def _points(docs: DataFrame, rule: Rule) -> DataFrame:
 def candidate_edges(points: DataFrame) -> DataFrame:
     """a, b: ties of the points (id, keys, names, slack) of a block to its smallest; every linked pair is tied by some block."""
     keyed = points.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(shared, "key").withColumn("window", F.col("key").bitwiseAND(63).cast("int"))
-    rows = materialize(rows.withColumn("hot", (F.col("n") > HOT_BLOCK).cast("long")).select("id", "key", "window", "hot"), "blocks")
+    inside = Window.partitionBy("key").orderBy("id")
+    # a block has more rows than HOT_BLOCK if and only if so many lie around each of its rows
+    near = F.count("*").over(inside.rowsBetween(-HOT_BLOCK, HOT_BLOCK))
+    rows = keyed.select("id", "key", F.first("id").over(inside).alias("least"), near.alias("n")).filter("n > 1")
+    rows = materialize(rows.select("id", "key", "least", F.col("key").bitwiseAND(63).cast("int").alias("window"), (F.col("n") > HOT_BLOCK).cast("long").alias("hot")), "blocks")
     # a linked pair agrees in more blocks of a window than a point has to spare, so if it has no more hot ones than that,
     # one of those blocks isn't hot
     spare = points.select("id", F.explode(F.arrays_zip("names", "slack")).alias("z")).select("id", F.col("z.names").alias("window"), F.col("z.slack").alias("slack"))
-    needs = rows.groupBy("id", "window").agg(F.sum("hot").alias("n_hot")).filter("n_hot > 0").join(spare, ["id", "window"]).filter("n_hot > slack").select("id", "window").distinct()
-    kept = rows.filter("hot = 0").select("id", "key").unionByName(rows.filter("hot = 1").join(needs, ["id", "window"], "left_semi").select("id", "key"))
-    least = kept.groupBy("key").agg(F.min("id").alias("b"))
-    return kept.join(least, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def tie(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        self.up[max(a, b)] = min(a, b)
+    needs = rows.filter("hot = 1").groupBy("id", "window").agg(F.count("*").alias("n_hot")).join(spare, ["id", "window"]).filter("n_hot > slack").select("id", "window")
+    hot = rows.filter("hot = 1").join(needs, ["id", "window"], "left_semi").select("id", "key")
+    least = hot.groupBy("key").agg(F.min("id").alias("b"))
+    ties = rows.filter("hot = 0").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return ties.unionByName(hot.join(least, "key").select(F.col("id").alias("a"), "b")).filter("a <> b")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,45 +182,112 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+class _Space:
+    """The points of a region, smaller sets first, and what of them is connected so far."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], settled: list[bool], rule: Rule):
+        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        self.ids, self.sets, self.rule = [ids[i] for i in order], [sets[i] for i in order], rule
+        self.size = np.array([len(u) for u in self.sets], np.int64)
+        self.root = np.arange(len(ids))
+        calm = np.flatnonzero([settled[i] for i in order])
+        if len(calm):
+            self.root[calm] = calm[0]
+        self.links: list[tuple[int, int]] = []
+        self.tally = {"regions": 0, "guests": 0, "depth": 0, "near pivots": 0, "compared": 0}
+
+    def tie(self, i: int, j: int) -> None:
+        a, b = int(self.root[i]), int(self.root[j])
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
+            self.links.append((self.ids[i], self.ids[j]))
+
+    def join(self) -> list[tuple[int, int]]:
+        if len(self.ids) > 1:
+            self.cut(np.arange(len(self.ids)), np.zeros(len(self.ids), bool), 0)
+        return self.links
+
+    def cut(self, at: np.ndarray, guest: np.ndarray, depth: int) -> None:
+        """Links of the region of points ``at`` that aren't between two guests."""
+        root = self.root[at]
+        if (root == root[0]).all() or guest.all():
+            return  # nothing left to tell
+        self.tally["depth"] = max(self.tally["depth"], depth)
+        if depth >= LOCAL_DEPTH:
+            self.compare(at, guest, None)
+            return
+        rule, size = self.rule, self.size[at]
+        values = np.concatenate([self.sets[i] for i in at.tolist()])
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        far, nearest, pivot = [], np.full(len(at), 2.0), len(at) // 2
+        for _ in range(math.ceil(LOCAL_PIVOTS * math.sqrt(len(at)))):  # each pivot is the point farthest from those before
+            u = self.sets[int(at[pivot])]
+            place = np.minimum(np.searchsorted(u, values), len(u) - 1)
+            both = np.add.reduceat((u[place] == values).astype(np.int64), starts)
+            union = len(u) + size - both
+            close = at[rule.den * both >= rule.num * union]
+            self.tally["near pivots"] += len(close) - 1
+            for j in close.tolist():
+                self.tie(int(at[pivot]), j)
+            far.append(1 - both / union)
+            nearest = np.minimum(nearest, far[-1])
+            pivot = int(nearest.argmax())
+            if nearest[pivot] < 1 - 2 * rule.theta - _CLEAR:
+                break
+        far = np.stack(far)
+        home = far.argmin(0)
+        reach = far <= nearest + 2 * rule.theta + 1e-9
+        held = reach.sum(1)
+        if held.max() > 0.9 * len(at) or held.sum() > 4 * len(at):
+            self.compare(at, guest, far)
+            return
+        for c in range(len(far)):
+            visits = guest | (home != c)
+            own = reach[c] & ~visits
+            if own.any():
+                d = far[c]
+                inside = reach[c] & (d >= d[own].min() - rule.theta - 1e-9) & (d <= d[own].max() + rule.theta + 1e-9)
+                self.tally["regions"] += 1
+                self.tally["guests"] += int((inside & visits).sum())
+                self.cut(at[inside], visits[inside], depth + 1)
+
+    @cached_property
+    def signature(self) -> np.ndarray:
+        """Numbers of shingles in hashed bins; 255 and more are counted whole where the sets are that large."""
+        kind = np.int32 if self.size.max() // _SIGNATURE * 4 > 255 else np.uint8
+        out = np.zeros((len(self.sets), _SIGNATURE), kind)
+        for i, u in enumerate(self.sets):
+            c = np.bincount((u >> np.uint64(57)).astype(np.int64), minlength=_SIGNATURE)
+            out[i] = c if kind is np.int32 else np.minimum(c, 255)
+        return out
+
+    def compare(self, at: np.ndarray, guest: np.ndarray, far: np.ndarray | None) -> None:
+        rule, size = self.rule, self.size[at]
+        counts = self.signature[at] if len(at) > 8 else None
+        for i in range(1, len(at)):
+            near = np.arange(int(np.searchsorted(size[:i], -(-rule.num * size[i] // rule.den))), i)
+            near = near[self.root[at[near]] != self.root[at[i]]]
+            if guest[i]:
+                near = near[~guest[near]]
+            if far is not None and len(near):
+                near = near[(np.abs(far[:, near] - far[:, [i]]) <= rule.theta + 1e-9).all(0)]
+            if not len(near):
+                continue
+            if counts is not None:
+                most = np.minimum(counts[near], counts[i]).sum(1, dtype=np.int64)
+                if counts.dtype == np.uint8:  # bins of 255 may hold more
+                    most = np.where(counts[near].max(1) == 255, size[near], most) if counts[i].max() < 255 else np.minimum(size[near], size[i])
+                near = near[rule.den * most >= rule.num * (size[near] + size[i] - most)]
+            self.tally["compared"] += len(near)
+            for j in near[::-1].tolist():
+                x, y = int(at[i]), int(at[j])
+                if self.root[x] != self.root[y] and rule.linked(_shared(self.sets[x], self.sets[y]), int(size[i]), int(size[j])):
+                    self.tie(x, y)
+
+
 def join_region(ids: list[int], sets: list[np.ndarray], settled: list[bool], rule: Rule) -> list[tuple[int, int]]:
     """Links that connect all linked pairs of a region, given that the settled points are connected already."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets, calm = [ids[i] for i in order], [sets[i] for i in order], np.array([settled[i] for i in order], bool)
-    n = len(ids)
-    if n < 2 or calm.all():
-        return []
-    size = np.array([len(u) for u in sets], np.int64)
-    wide = size.max() // _SIGNATURE * 4 > 255
-    signature = np.zeros((n, _SIGNATURE), np.int32 if wide else np.uint8)
-    for i, u in enumerate(sets):
-        c = np.bincount((u >> np.uint64(57)).astype(np.int64), minlength=_SIGNATURE)
-        signature[i] = c if wide else np.minimum(c, 255)
-    pivots = range(0, n, max(1, n // 4)) if n > 8 else ()
-    far = np.array([[1 - (s := _shared(sets[p], u)) / max(1, len(sets[p]) + len(u) - s) for u in sets] for p in pivots]).T if n > 8 else None
-    forest, out = _Forest(n), []
-    known = np.flatnonzero(calm)
-    for i in known[1:].tolist():
-        forest.up[i] = int(known[0])
-    for i in range(1, n):
-        first = int(np.searchsorted(size[:i], -(-rule.num * size[i] // rule.den)))
-        if first >= i:
-            continue
-        near = np.arange(first, i)
-        if calm[i]:
-            near = near[~calm[first:i]]
-        if far is not None and len(near):
-            near = near[(np.abs(far[near] - far[i]) <= rule.theta + 1e-9).all(1)]
-        if not len(near):
-            continue
-        most = np.minimum(signature[near], signature[i]).sum(1, dtype=np.int64)
-        if not wide:
-            most = np.where(signature[near].max(1) == 255, size[near], most) if signature[i].max() < 255 else np.full(len(near), size[i])
-        near = near[rule.den * most >= rule.num * (size[near] + size[i] - most)]
-        for j in near[::-1].tolist():
-            if forest.find(i) != forest.find(j) and rule.linked(_shared(sets[i], sets[j]), int(size[i]), int(size[j])):
-                forest.tie(i, j)
-                out.append((ids[i], ids[j]))
-    return out
+    return _Space(ids, sets, settled, rule).join()
 
 
 _REGION = "region long, id long, n long, settled boolean, body binary"
@@ -353,63 +410,10 @@ def _cut_by_chunks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return other.select(pair.alias("region"), "id", "n", "settled", "body")
 
 
-def _refine(rows: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """``rows`` with large regions cut into what pairs could be linked by the numbers of shingles in hashed bins.
-
-    Only these numbers travel, a kilobyte a point, in pairs of chunks; a task gives ties that connect its candidates, not
-    all pairs. Every linked pair is a candidate, so that none is lost; points without candidates go.
-    """
-
-    @F.arrow_udf("binary")
-    def bins(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in column:
-            yield pa.array([np.minimum(np.bincount((np.frombuffer(b.as_py(), np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512), 65535).astype(np.uint16).tobytes() for b in batch], pa.binary())
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            order = np.argsort(size, kind="stable")
-            n, c, name = np.array(size)[order], np.stack([counts[i] for i in order]), [ids[i] for i in order]
-            forest, out = _Forest(len(n)), []
-            for i in range(1, len(n)):
-                first = int(np.searchsorted(n[:i], -(-rule.num * n[i] // rule.den)))
-                most = np.minimum(c[first:i], c[i]).sum(1, dtype=np.int64)
-                if c[i].max() == 65535:
-                    most = n[first:i]
-                for j in (np.flatnonzero(rule.den * most >= rule.num * (n[first:i] + n[i] - most)) + first).tolist():
-                    if forest.find(i) != forest.find(j):
-                        forest.tie(i, j)
-                        out.append((name[i], name[j]))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        now, ids, size, counts = None, [], [], []
-        for batch in batches:
-            for pair, i, k, b in zip(*(batch.column(x).to_pylist() for x in ("pair", "id", "n", "bins")), strict=True):
-                if pair != now:
-                    if len(ids) > 1:
-                        yield flush()
-                    now, ids, size, counts = pair, [], [], []
-                ids.append(i)
-                size.append(k)
-                counts.append(np.frombuffer(b, np.uint16))
-        if len(ids) > 1:
-            yield flush()
-
-    parts = sizes.select("region", F.ceil(F.col("points") * 2 / LOCAL_POINTS).cast("long").alias("parts"))
-    points = rows.join(parts, "region").select("region", "parts", "id", "n", bins("body").alias("bins")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("bins")), "parts"))
-    pairs = points.withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)"))).select(F.xxhash64("region", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("pair"), "id", "n", "bins")
-    ties = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(tie, "a long, b long")
-    spaces = materialize(connected_components(ties), "refined")
-    return rows.drop("region").join(spaces, F.col("id") == F.col("node")).select(F.col("root").alias("region"), "id", "n", "settled", "body")
-
-
 def links_of(rows: DataFrame, rule: Rule) -> DataFrame:
     """a, b: links that connect all linked pairs of each region of ``rows`` (region, id, n, settled, body)."""
     found: DataFrame | None = None
     fits = (F.col("points") <= LOCAL_POINTS) & (F.col("shingles") <= LOCAL_SHINGLES)
-    first = materialize(rows.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).filter(~fits), "regions")
-    if first.limit(1).count():  # often tied by shared passages alone
-        near = _refine(rows.join(first.select("region"), "region", "left_semi"), first, rule)
-        rows = materialize(rows.join(first.select("region"), "region", "left_anti").unionByName(near), "refined-sets")
     for turn in range(DEPTH + 1):
         sizes = materialize(rows.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).filter("points > 1"), "regions")
         large = sizes.filter(~fits)
@@ -430,25 +434,29 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of each row, exactly.
 
     Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts have empty sets and are linked with
-    nothing. Rows that share a doc_id are one document for links. A null doc_id takes no part; its component is null.
+    nothing. Rows that share a doc_id are one document for links. A null doc_id takes no part; its component is null. A doc_id that
+    is no whole number is refused by the cast to long. Other columns of the input are not looked at.
     Equal sets are linked whatever the number of copies, and copies are never paired one by one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     points = materialize(_points(own, rule), "points")
-    named = points.filter("n > 0 and doc_id is not null").select("doc_id", "n", "hi", "lo")
+    sizes = materialize(points.select("doc_id", "n", "hi", "lo"), "sizes")
+    named = sizes.filter("n > 0 and doc_id is not null")
     reps = materialize(named.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep")), "sets")
     r = reps.select(F.col("rep").alias("doc_id"), "n", "hi", "lo")
     distinct = points.join(r, ["doc_id", "n", "hi", "lo"]).select(F.col("doc_id").alias("id"), "keys", "names", "slack")
     spaces = materialize(connected_components(candidate_edges(distinct)), "spaces")
+    discard(points)
     members = spaces.join(reps, spaces.node == reps.rep).select(F.col("node").alias("id"), F.col("root").alias("region"), "hi", "lo")
     rows = materialize(_fetch_sets(own, materialize(members, "members"), rule), "members-sets")
     # the texts of a doc_id that has several are one document
     several = named.groupBy("doc_id").agg(F.min(F.struct("n", "hi", "lo")).alias("x"), F.max(F.struct("n", "hi", "lo")).alias("y")).filter("x <> y").select("doc_id")
     same = named.join(several, "doc_id", "left_semi").join(reps, ["n", "hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = connected_components(links_of(rows, rule).unionByName(same))
-    known = points.select("doc_id", F.col("n").alias("n_shingles"), "n", "hi", "lo").join(reps, ["n", "hi", "lo"], "left")
+    roots = materialize(connected_components(links_of(rows, rule).unionByName(same)), "components")
+    discard(rows, spaces)
+    known = sizes.select("doc_id", F.col("n").alias("n_shingles"), "n", "hi", "lo").join(reps, ["n", "hi", "lo"], "left")
     out = known.join(roots, known.rep == roots.node, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -460,5 +468,6 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text:
     Rows that share that doc_id stay together.
     """
     found = jaccard_components(docs, rule, doc_id, text)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
