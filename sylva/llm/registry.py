@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sylva.llm import sql
 from sylva.runtime import table
 
 #: URL rules of the ``op2`` query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Sites that the ``op2`` query lists besides the rules, as canonical URLs.
-LISTED_SITES = [("cheap-pills.example.com", "/"), ("free-bets.example.com", "/"), ("cheap-pills.example.net", "/"), ("free-bets.example.net", "/"), ("cheap-pills.example.org", "/"), ("free-bets.example.org", "/")]
+#: Words of which sites to block are named, two with a hyphen between, under the given ends: all pairs of different words
+#: make the list of the ``op2`` query, as canonical URLs with the path /.
+SITE_WORDS = "best bets bingo bonus buy casino cheap cialis dating deals diet escort free hot loans lotto lucky online pills poker porn replica slots viagra win xxx".split()
+SITE_ENDS = ["com", "net", "org", "example.com", "example.net", "example.org"]
+
+
+def listed_urls(spark):
+    """host, path, verdict, is_rule: the rules, and the sites to block."""
+    words, ends = (F.array(*[F.lit(w) for w in x]) for x in (SITE_WORDS, SITE_ENDS))
+    sites = spark.range(1).select(F.explode(words).alias("a")).select("a", F.explode(words).alias("b")).filter("a <> b").select("a", "b", F.explode(ends).alias("c"))
+    sites = sites.select(F.concat("a", F.lit("-"), "b", F.lit("."), "c").alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
+    return spark.createDataFrame([(*r, True) for r in URL_RULES], "host string, path string, verdict string, is_rule boolean").unionByName(sites)
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -20,8 +32,7 @@ def op1_quality_classifier(spark, sf_dir):
 def op2_url_filter(spark, sf_dir):
     from sylva.llm.url_filter import url_filter
 
-    listed = spark.createDataFrame([(*r, True) for r in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_SITES], "host string, path string, verdict string, is_rule boolean")
-    return url_filter(table(spark, sf_dir, "pages"), listed)
+    return url_filter(table(spark, sf_dir, "pages"), listed_urls(spark))
 
 
 def op3_source_mixing(spark, sf_dir):
@@ -89,4 +100,4 @@ def queries():
 
 
 def oracle_sql():
-    return sql.oracles(URL_RULES, LISTED_SITES)
+    return sql.oracles(URL_RULES, SITE_WORDS, SITE_ENDS)

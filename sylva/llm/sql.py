@@ -77,18 +77,21 @@ SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other)::BI
 """
 
 
-def _urls(rules, sites) -> str:
-    values = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in rules) + "".join(f", ('{h}', '{p}', 'block', false)" for h, p in sites)
+def _urls(rules, words, ends) -> str:
+    values = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in rules)
+    w, c = ([f"'{x}'" for x in y] for y in (words, ends))
     return rf"""
-WITH e(eh, ep, verdict, is_rule) AS (VALUES {values}),
+WITH w(a) AS (SELECT unnest([{', '.join(w)}])), c(c) AS (SELECT unnest([{', '.join(c)}])),
+e(eh, ep, verdict, is_rule) AS (SELECT * FROM (VALUES {values}) UNION ALL SELECT x.a || '-' || y.a || '.' || c, '/', 'block', false FROM w x, w y, c WHERE x.a <> y.a),
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-hit AS (SELECT page_id, host, path, eh || ep AS entry, e.verdict, is_rule, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(eh || ep) DESC NULLS LAST, length(eh) DESC) AS k
-        FROM hp LEFT JOIN e ON (host = eh OR ends_with(host, '.' || eh)) AND starts_with(path, ep))
-SELECT page_id, host, path, CASE WHEN is_rule THEN entry END AS rule, coalesce(verdict, 'allow') AS verdict, entry AS listed FROM hit WHERE k = 1
+best AS (SELECT is_rule, page_id, eh || ep AS entry, verdict, row_number() OVER (PARTITION BY page_id, is_rule ORDER BY length(eh || ep) DESC, length(eh) DESC) AS k
+         FROM hp JOIN e ON (host = eh OR ends_with(host, '.' || eh)) AND starts_with(path, ep))
+SELECT page_id, host, path, r.entry AS rule, coalesce(r.verdict, s.verdict, 'allow') AS verdict, CASE WHEN r.entry IS NULL THEN s.entry END AS listed
+FROM hp LEFT JOIN (SELECT * FROM best WHERE k = 1 AND is_rule) r USING (page_id) LEFT JOIN (SELECT * FROM best WHERE k = 1 AND NOT is_rule) s USING (page_id)
 """
 
 
-def oracles(rules, sites) -> dict[str, str]:
-    return {"op2_url_filter": _urls(rules, sites), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC}
+def oracles(rules, words, ends) -> dict[str, str]:
+    return {"op2_url_filter": _urls(rules, words, ends), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC}

@@ -1,14 +1,16 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact hash join.
 
-Listed entries are canonical URLs, host plus path, each with a verdict. A page's URL has few keys that could be listed:
-the ends of its host by as many labels, and the starts of its path by as many characters, as some entry has. The keys
-probe the filter first; the few that pass meet the listed entries in an exact equi-join, which removes false positives.
-All of it is DataFrame operations.
+Listed entries are canonical URLs, host plus path, each with a verdict. The filter holds them, and their hosts alone. The
+ends of a page's host, by as many labels as some entry has, probe it first; those that pass meet the listed hosts in an
+exact equi-join, which removes false positives and tells how long the listed paths of the host are. The starts of the
+page's path of these lengths make canonical URLs, which probe the filter again; those that pass meet the entries in an
+exact equi-join. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 BITS_PER_ENTRY, PROBES, WORDS = 12, 8, 4
 #: A filter of more bytes than this is joined by a shuffle on its block number instead of being broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Up to so many listed hosts, or entries (about 100 bytes each), are broadcast to the keys that passed.
+BROADCAST_ROWS = 200_000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -47,48 +51,63 @@ def _masks(key: Column) -> list[Column]:
     return words
 
 
-def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """The filter of column ``key`` as a table: one row for each block that has bits, its words ``w0`` ..."""
-    masks = [m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("key")))]
-    return keys.select(_block(F.col("key"), n_blocks).alias("block"), *masks).groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)])
+@dataclass(frozen=True)
+class BlockedBloom:
+    """The filter as a table: a row for each block that has bits, its words ``w0`` ..."""
+
+    blocks: DataFrame
+    n_blocks: int
+
+    @staticmethod
+    def of(keys: DataFrame, n: int) -> BlockedBloom:
+        """The filter of column ``key``, of about ``n`` different keys."""
+        n_blocks = max(1, math.ceil(n * BITS_PER_ENTRY / (64 * WORDS)))
+        masks = [m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("key")))]
+        blocks = keys.select(_block(F.col("key"), n_blocks).alias("block"), *masks).groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)])
+        return BlockedBloom(F.broadcast(blocks) if n_blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES else blocks, n_blocks)
+
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose ``key`` may be in the filter: all that are, and a few others."""
+        probes = rows.select("*", _block(F.col("key"), self.n_blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("key")))])
+        hit = F.lit(True)
+        for i in range(WORDS):
+            hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
+        return probes.join(self.blocks, "block").filter(hit).select(*rows.columns)
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Verdict of each row's URL: ``keep`` columns, host, path, rule, verdict, listed.
 
     ``listed``: host, path, verdict (allow or block), is_rule. An entry fits its host and all subdomains of it where the
-    URL's path starts with the entry's; the longest fitting entry wins (by characters; of equal ones, the longer host).
-    ``rule`` is the entry's text if it is a rule, else null; ``listed`` is the entry's text in any case. No entry: allow.
+    URL's path starts with the entry's. The longest fitting rule decides (by characters; of equal ones, the longer host), and
+    ``rule`` is its text; only where no rule fits, the longest fitting other entry decides, and ``listed`` is its text. None
+    fits: allow. An entry given twice with both verdicts blocks.
 
     Null URLs and texts without ``://`` have empty host and path and are allowed; repeated rows are judged alike; an empty
     list allows all; other columns of the input are not looked at.
     """
-    entries = listed.select("host", "path", "verdict", "is_rule").dropDuplicates(["host", "path"]).withColumn("key", F.concat("host", "path"))
-    shape = entries.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
-    counted = shape.groupBy("labels", "chars").count().collect()  # a row for each shape of entry: at most labels x path lengths
+    entries = listed.groupBy("host", "path", "is_rule").agg(F.max("verdict").alias("verdict")).withColumn("key", F.concat("host", "path"))
+    hosts = entries.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))  # a number for each length of a host's paths
+    labels = [r[0] for r in hosts.select(F.size(F.split("host", r"\."))).distinct().collect()]  # numbers of labels that occur
     h, p = host_and_path(F.col(url))
     rows = pages.select(*keep, h.alias("host"), p.alias("path"))
-    if not counted:
+    if not labels:
         return rows.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("listed"))
-    n_blocks = max(1, math.ceil(sum(r["count"] for r in counted) * BITS_PER_ENTRY / (64 * WORDS)))
-    bloom = bloom_blocks(entries.select("key"), n_blocks)
-    if n_blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
+    n_hosts, n_entries = hosts.count(), entries.count()
+    bloom = BlockedBloom.of(entries.select("key").unionByName(hosts.select(F.col("host").alias("key"))), n_hosts + n_entries)
 
     # each (host, path) is judged once, however many pages have it
     urls = rows.filter("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one"))
-    shapes = F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["chars"]).alias("chars")) for r in counted])
-    keys = F.expr("array_distinct(transform(filter(shapes, s -> s.chars <= length(path)), s -> concat(substring_index(host, '.', -s.labels), substring(path, 1, s.chars))))")
-    keyed = urls.withColumn("shapes", shapes).select("host", "path", F.explode(keys).alias("key"))
-    probes = keyed.select("*", _block(F.col("key"), n_blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("key")))])
-    hit = F.lit(True)
-    for i in range(WORDS):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    possible = probes.join(bloom, "block").filter(hit).select(F.col("host").alias("url_host"), F.col("path").alias("url_path"), "key")
-    exact = possible.join(entries.select("key", F.length("key").alias("chars"), F.length("host").alias("host_chars"), "verdict", "is_rule"), "key")
-    best = exact.groupBy("url_host", "url_path").agg(F.max(F.struct("chars", "host_chars", "key", "verdict", "is_rule")).alias("best"))
-    out = rows.join(best, (rows.host == best.url_host) & (rows.path == best.url_path), "left")
+    ends = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in sorted(labels)]))
+    by_host = bloom.passing(urls.select(F.col("host").alias("url_host"), F.col("path").alias("url_path"), F.explode(ends).alias("key")))
+    found = by_host.join(F.broadcast(hosts) if n_hosts <= BROADCAST_ROWS else hosts, by_host.key == hosts.host).select("url_host", "url_path", "host", "lengths")
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.length("url_path")), lambda n: F.substring("url_path", F.lit(1), n))
+    by_url = found.select("url_host", "url_path", "host", F.explode(starts).alias("path")).withColumn("key", F.concat("host", "path"))
+    exact = bloom.passing(by_url).drop("key").join(F.broadcast(entries) if n_entries <= BROADCAST_ROWS else entries, ["host", "path"])
+    best = F.struct(F.length("key").alias("chars"), F.length("host").alias("host_chars"), "key", "verdict")
+    judged = exact.groupBy("url_host", "url_path").agg(F.max(F.when(F.col("is_rule"), best)).alias("r"), F.max(F.when(~F.col("is_rule"), best)).alias("s"))
+    out = rows.join(judged, (rows.host == judged.url_host) & (rows.path == judged.url_path), "left")
     return out.select(
-        *keep, "host", "path", F.when(F.col("best.is_rule"), F.col("best.key")).alias("rule"),
-        F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.col("best.key").alias("listed"),
+        *keep, rows.host, rows.path, F.col("r.key").alias("rule"), F.coalesce("r.verdict", "s.verdict", F.lit("allow")).alias("verdict"),
+        F.when(F.col("r.key").isNull(), F.col("s.key")).alias("listed"),
     )

@@ -8,16 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylva.llm import decontaminate, jaccard_join
+from sylva.llm import url_filter as url_filter_module
 from sylva.llm.components import connected_components
-from sylva.llm.registry import LISTED_SITES, URL_RULES
+from sylva.llm.registry import SITE_ENDS, SITE_WORDS, URL_RULES, listed_urls
 from sylva.llm.token_count import RankMerger, count_tokens
 from sylva.llm.url_filter import url_filter
 
 LISTED = "host string, path string, verdict string, is_rule boolean"
 
 
-def listed(spark):
-    return spark.createDataFrame([(*r, True) for r in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_SITES], LISTED)
+ENTRIES = [(*r, True) for r in URL_RULES] + [(f"{a}-{b}.{c}", "/", "block", False) for a in SITE_WORDS for b in SITE_WORDS if a != b for c in SITE_ENDS]
 
 
 def brute_url(url, entries):
@@ -25,8 +25,8 @@ def brute_url(url, entries):
     m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
     host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
     fits = [e for e in entries if host and (host == e[0] or host.endswith("." + e[0])) and path.startswith(e[1])]
-    best = max(fits, key=lambda e: (len(e[0] + e[1]), len(e[0])), default=None)
-    return host, path, best[0] + best[1] if best and best[3] else None, best[2] if best else "allow"
+    rule, site = (max((e for e in fits if e[3] is kind), key=lambda e: (len(e[0] + e[1]), len(e[0])), default=None) for kind in (True, False))
+    return host, path, rule and rule[0] + rule[1], (rule or site or (0, 0, "allow"))[2], site[0] + site[1] if site and not rule else None
 
 
 URLS = [
@@ -35,25 +35,49 @@ URLS = [
 ]
 
 
+LISTED_UNDER_RULES = [
+    ("http://www.cheap-pills.example.com/en/450?x=1", "example.com/en/", "block"), ("https://www.cheap-pills.example.com/fr/176/", "com/", "allow"),
+    ("https://m.free-bets.example.net/fr/31", "net/fr/", "block"), ("http://www.example.com/en/free-bets.example.org/", "www.example.com/en/", "allow"),
+    ("http://free-bets.example.net/en/1", None, "block"), ("http://x.casino-win.org/", None, "block"), ("http://x.casino-casino.org/", None, "allow"),
+]
+
+
+def judged(pages, entries):
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict, r.listed) for r in url_filter(pages, entries).collect()}
+
+
 def test_url_filter(spark):
-    entries = [(*r, True) for r in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_SITES]
-    rows = [(i, u, "x", "y") for i, u in enumerate(URLS * 2)]
+    rows = [(i, u, "x", "y") for i, u in enumerate(URLS * 2 + [u for u, *_ in LISTED_UNDER_RULES])]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, listed(spark)).collect()}
-    assert got == {i: brute_url(u, entries) for i, u, *_ in rows}
+    got = judged(pages, listed_urls(spark))
+    assert got == {i: brute_url(u, ENTRIES) for i, u, *_ in rows}
+    assert [got[i][2:4] for i in range(2 * len(URLS), len(rows))] == [(rule, verdict) for _, rule, verdict in LISTED_UNDER_RULES]
+
+
+def test_url_filter_removes_false_positives(spark, monkeypatch):
+    monkeypatch.setattr(url_filter_module, "BITS_PER_ENTRY", 2)
+    monkeypatch.setattr(url_filter_module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(url_filter_module, "BROADCAST_BYTES", 0)
+    entries = listed_urls(spark)
+    keys = entries.select(F.concat("host", "path").alias("key"))
+    bloom = url_filter_module.BlockedBloom.of(keys, keys.count())
+    names = [f"http://{a}{b}.example.org/{i}" for i, (a, b) in enumerate((a, b) for a in SITE_WORDS for b in SITE_WORDS)] + ["http://best-bets.org/"]
+    probes = spark.createDataFrame([(u.split("/")[2] + "/",) for u in names], "key string")
+    passed, truly = bloom.passing(probes).count(), probes.join(keys, "key", "left_semi").count()
+    assert bloom.n_blocks > 20 and passed > truly + 20 and truly == 1
+    assert judged(spark.createDataFrame(list(enumerate(names)), "page_id long, url string"), entries) == {i: brute_url(u, ENTRIES) for i, u in enumerate(names)}
 
 
 def test_url_filter_random_entries_and_empty_tables(spark):
     rng = random.Random(1)
     part = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
     way = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 4)))
-    entries = list({(h, p): (h, p, rng.choice(["allow", "block"]), rng.random() < 0.7) for h, p in ((part(), way()) for _ in range(60))}.values())
-    urls = [(i, f"http://{part()}{way()}") for i in range(400)]
+    entries = list({(h, p, k): (h, p, rng.choice(["allow", "block"]), k) for h, p, k in ((part(), way(), rng.random() < 0.6) for _ in range(80))}.values())
+    urls = [(i, f"http://{part()}{way()}") for i in range(400)] + [(400, "http://" + "a." * 200 + "a/" + "x" * 100_000)]
     pages = spark.createDataFrame(urls, "page_id long, url string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, spark.createDataFrame(entries, LISTED)).collect()}
-    assert got == {i: brute_url(u, entries) for i, u in urls}
+    assert judged(pages, spark.createDataFrame(entries, LISTED)) == {i: brute_url(u, entries) for i, u in urls}
     assert {r.verdict for r in url_filter(pages, spark.createDataFrame([], LISTED)).collect()} == {"allow"}
-    assert url_filter(pages.limit(0), listed(spark)).count() == 0
+    assert url_filter(pages.limit(0), listed_urls(spark)).count() == 0
 
 
 def words(t):
