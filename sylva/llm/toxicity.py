@@ -1,12 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney word models with a shared backoff.
-
-The class is the context: ``p(w | class)`` discounts the word's count in the class and gives the rest to a lower order
-that both classes share, in which a word weighs by the number of documents (contexts) that have it, not by its count.
-A word that is rare in both classes therefore hardly tells them apart. Spark counts each word of all labelled documents
-exactly, by its 64-bit hash, so that the model grows with the corpus's vocabulary; workers get its log-ratios as sorted
-arrays of 12 bytes a word.
-A document's evidence is its length-normalised log-likelihood under the toxic model less that under the ordinary one,
-besides the part of it that toxic expressions give; a logistic link turns it into a score.
+"""Toxicity by class-conditional Kneser-Ney models of words and word pairs with a shared backoff.
+
+The class is the outermost context, and the orders below count contexts instead of occurrences, so that copies of one
+document weigh no more than the document:
+
+- ``p(w | class)`` discounts the number of different words before ``w`` in the class and gives the rest to an order that
+  both classes share, the number of different words before ``w`` in either;
+- ``p(w | v, class)`` discounts the number of different words before the pair ``v w`` in the class and gives the rest of
+  what follows ``v`` to ``p(w | class)``.
+
+Both classes keep the same words and pairs above the shared order: those that the toxic class has in more contexts than the
+discount takes. All else is a rare expression and is smoothed by the shared counts alone, by which both classes give it the
+same odds. Spark counts over all labelled documents; workers get the log-ratios as sorted hash arrays, or, of a model too
+large for that, each document's part by a join. A document's evidence is the log-likelihood under the toxic model less
+that under the ordinary one, what each word has of it beyond a margin, over the root of its number of words; a logistic
+link of this one feature gives the score.
 """
 
 from __future__ import annotations
@@ -19,96 +26,203 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm._text import blocks, mix, span_hashes, word_spans
-from sylva.runtime import materialize, ship_package
+from sylva.llm._text import Block, blocks, mix, span_hashes, word_spans
+from sylva.runtime import fresh_name, materialize, ship_package
 
-#: Words that come to the driver at once.
-RANGE_WORDS = 1 << 20
-DISCOUNT = 0.75
-#: A word is an expression of the toxic class if it is so much likelier there (natural logarithm).
-STRONG = 2.5
+#: Contexts that the discount takes from a word and from a pair.
+WORD_DISCOUNT, PAIR_DISCOUNT = 2.0, 4.0
+#: Log-ratio (natural) of a word up to which it is no evidence, and what one word can tell at most.
+MARGIN, MOST = 0.5, 8.0
 #: Labelled documents on which the link is fitted, at most; the counts cover all of them.
 LINK_ROWS = 20_000
 #: Up to so many labels (20 bytes each) are broadcast to the documents; beyond, the two are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
+#: A model of up to so many words and pairs (24 bytes each) is broadcast; beyond, documents are joined to it.
+BROADCAST_ENTRIES = 4_000_000
+#: Words that a task holds before it sends their contexts on.
+HELD_WORDS = 1 << 20
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from fitting: crc32 of its id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, label of the labelled documents that aren't held out."""
+    own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).alias("label"))
+    own = own.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
+    own = F.broadcast(own) if labels.count() <= BROADCAST_LABELS else own
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return d.join(own, d.doc_id == F.col("label_id")).select("doc_id", "text", "label")
 
 
 @dataclass
-class WordCounts:
-    """Toxic tokens, ordinary tokens and documents: of all words together, how many words have some, and by sorted hash."""
-
-    tokens: list[int]
-    types: list[int]
-    keys: np.ndarray
-    counts: np.ndarray
-
-    def __post_init__(self):
-        self.total = np.maximum(np.array(self.tokens[:2], np.float64), 1.0)
-        self.gamma = [DISCOUNT * max(self.types[k], 1.0) / self.total[k] for k in range(2)]
-        self.shared = (self.tokens[2] + 0.5 * (self.types[2] + 1.0), 0.5)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """The three counts of each word hash, 0 where there is none."""
-        if not len(self.keys):
-            return np.zeros((3, len(h)))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.counts[:, at], 0).astype(np.float64)
-
-    def ratio(self, n: np.ndarray) -> np.ndarray:
-        """log p(w | toxic) - log p(w | ordinary) of words with such counts."""
-        low = (n[2] + self.shared[1]) / self.shared[0]
-        p = [np.maximum(n[k] - DISCOUNT, 0) / self.total[k] + min(self.gamma[k], 1.0) * low for k in range(2)]
-        out = np.log(p[0] / p[1])
-        # words that neither class has beyond the discount tell nothing: what the shared order gives them is the same
-        out[(n[0] <= DISCOUNT) & (n[1] <= DISCOUNT)] = 0.0
-        return out
+class Words:
+    """The words of a block: hashes, the words before them (1 at a text's first), pairs of both, and where texts begin."""
+
+    w: np.ndarray
+    v: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    follows: np.ndarray
+
+    @staticmethod
+    def of(b: Block) -> Words:
+        s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
+        w = span_hashes(b.data, s, e, lower=True)
+        place = np.arange(len(w)) - np.repeat(first[:-1], np.diff(first))
+        v, before = np.ones_like(w), np.ones_like(w)
+        v[1:], before[2:] = w[:-1], w[:-2]
+        v[place == 0] = 1
+        before[place < 2] = 1
+        return Words(w, v, mix(v * _PAIR + w), before, first, place > 0)
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32).view(np.int32)
+
+
+def word_contexts(rows: DataFrame) -> DataFrame:
+    """key, n0, n1, c0, c1, c of each word of ``rows`` (text, toxic): occurrences in toxic and in ordinary rows, and the
+    number of different words before it in toxic rows, in ordinary ones and in all. A text's first word follows the start."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            w, v, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, at, back = np.unique(mix(v * _PAIR + w), return_index=True, return_inverse=True)
+            n = [np.bincount(back[m], minlength=len(at)) for m in (toxic, ~toxic)]
+            return pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(_low(v[at])), *(pa.array(x.astype(np.int32)) for x in n)], ["key", "before", "n0", "n1"])
+
+        for batch in batches:
+            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
+            for b in blocks(batch.column("text")):
+                x = Words.of(b)
+                held.append((x.w, x.v, np.repeat(toxic[b.first : b.first + b.n], np.diff(x.first))))
+                if sum(len(h[0]) for h in held) >= HELD_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    pairs = rows.mapInArrow(count, "key long, before int, n0 int, n1 int").groupBy("key", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return pairs.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"), F.count("*").alias("c"))
+
+
+def pair_contexts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """pair, key, before, c of each pair of words of ``rows`` (text), only of those ``known`` if given: its second and first
+    word, and the number of different words before it."""
+    shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            pair, w, v, before = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            at = np.unique(mix(before * _PAIR + pair), return_index=True)[1]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (pair, w, v)), pa.array(_low(before[at]))], ["pair", "key", "before", "context"])
+
+        for batch in batches:
+            for b in blocks(batch.column("text")):
+                x = Words.of(b)
+                m = x.follows
+                if shared is not None:
+                    m = m & _has(shared.value, x.pair)
+                held.append((x.pair[m], x.w[m], x.v[m], x.before[m]))
+                if sum(len(h[0]) for h in held) >= HELD_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    found = rows.select("text").mapInArrow(count, "pair long, key long, before long, context int").distinct()
+    return found.groupBy("pair", "key", "before").agg(F.count("*").alias("c"))
+
+
+def _has(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, q), len(keys) - 1)] == q if len(keys) else np.zeros(len(q), bool)
+
+
+def _value(keys: np.ndarray, values: np.ndarray, q: np.ndarray, other: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(q), other)
+    at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+    return np.where(keys[at] == q, values[at], other)
+
+
+@dataclass
+class Ratios:
+    """Sorted hashes of words with the log-ratio of each (``u``) and what it adds as the word before (``g``); sorted hashes
+    of pairs with the log-ratio of their second word (``d``); ``rare``: the log-ratio of all other words."""
+
+    words: np.ndarray
+    u: np.ndarray
+    g: np.ndarray
+    pairs: np.ndarray
+    d: np.ndarray
+    rare: float
+
+    @staticmethod
+    def of(key: np.ndarray, kind: np.ndarray, a: np.ndarray, g: np.ndarray, rare: float) -> Ratios:
+        """From rows of words (kind 0) and pairs (kind 1)."""
+        key = key.view(np.uint64)
+        order = np.lexsort((key, kind))
+        n = int((kind == 0).sum())
+        w, p = order[:n], order[n:]
+        return Ratios(key[w], a[w], g[w], key[p], a[p], rare)
+
+    def evidence(self, x: Words) -> np.ndarray:
+        """log p(w | toxic) - log p(w | ordinary) of each word of a block."""
+        alone = _value(self.words, self.u, x.w, self.rare) + np.where(x.follows, _value(self.words, self.g, x.v, 0.0), 0.0)
+        if not len(self.pairs):
+            return alone
+        at = np.minimum(np.searchsorted(self.pairs, x.pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == x.pair) & x.follows, self.d[at], alone)
+
+    def feature(self, x: Words) -> np.ndarray:
+        """Of each text: its words' evidence beyond the margin, over the root of their number; 0 without words."""
+        c = np.concatenate([[0.0], np.cumsum(np.maximum(np.minimum(self.evidence(x), MOST) - MARGIN, 0.0))])
+        return (c[x.first[1:]] - c[x.first[:-1]]) / np.sqrt(np.maximum(np.diff(x.first), 1))
 
 
 @dataclass
 class ToxicModel:
-    """keys: sorted hashes of all words of the counts; ratios: their log-ratios; link: bias and weights."""
+    """table: key, kind (0: word, 1: pair), a, g of all entries; rare: the log-ratio of other words; link: bias and weight."""
 
-    keys: np.ndarray
-    ratios: np.ndarray
+    table: DataFrame
+    entries: int
+    rare: float
     link: np.ndarray
 
-    def ratio(self, h: np.ndarray) -> np.ndarray:
-        """The log-ratio of each word hash; 0 where no labelled document has the word."""
-        if not len(self.keys):
-            return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ratios[at], 0.0).astype(np.float64)
-
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.link[0] + features @ self.link[1:], -40, 40)))
+    @property
+    def local(self) -> bool:
+        return self.entries <= BROADCAST_ENTRIES
 
+    def ratios(self) -> Ratios:
+        t = self.table.toArrow()
+        return Ratios.of(*(t.column(c).to_numpy() for c in ("key", "kind", "a", "g")), self.rare)
 
-def features(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each document, from its words' ratios and where its words begin: the mean ratio, the number and the part (per
-    hundred words, in logarithms) of toxic expressions, and their evidence."""
-    n = np.diff(first).astype(np.float64)
+    def score(self, feature: np.ndarray) -> np.ndarray:
+        return logistic(self.link, feature)
 
-    def total(x: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0.0], np.cumsum(x)])
-        return c[first[1:]] - c[first[:-1]]
 
-    strong = ratio > STRONG
-    many = total(strong.astype(np.float64))
-    size = np.maximum(n, 1)
-    return np.stack([np.clip(total(np.clip(ratio, -2, 2)) / size, -1, 1) * 10, np.log1p(many), np.log1p(100 * many / size), np.log1p(total(np.where(strong, ratio, 0.0)))], 1)
+def logistic(link: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(link[0] + link[1] * x, -40, 40)))
 
 
 def fit_link(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Bias and weights of a logistic link by Newton's method with a small ridge. One class only: a constant score."""
+    """Bias and weight of a logistic link by Newton's method with a small ridge. One class only: a constant score."""
     if len(y) == 0 or y.min() == y.max():
-        w = np.zeros(x.shape[1] + 1)
-        w[0] = 8.0 if len(y) and y[0] else -8.0
-        return w
-    a = np.concatenate([np.ones((len(x), 1)), x], 1)
-    w, ridge = np.zeros(a.shape[1]), 0.1 * np.eye(a.shape[1])
+        return np.array([8.0 if len(y) and y[0] else -8.0, 0.0])
+    a = np.stack([np.ones(len(x)), x], 1)
+    w, ridge = np.zeros(2), 0.1 * np.eye(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
@@ -118,110 +232,99 @@ def fit_link(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def held_out(doc_id: Column) -> Column:
-    """Whether a document is kept from fitting: crc32 of its id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+def class_models(rows: DataFrame) -> tuple[DataFrame, float]:
+    """The entries (key, kind, a, g) and the log-ratio of other words from ``rows`` (text: binary, toxic: boolean)."""
+    words = materialize(word_contexts(rows), "toxic-words")
+    kept = [F.when(F.col("c0") > WORD_DISCOUNT, F.greatest(F.col(f"c{k}") - WORD_DISCOUNT, F.lit(0.0))).otherwise(0.0) for k in (0, 1)]
+    s = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("c0", "c1", "c")], *[F.coalesce(F.sum(k), F.lit(0.0)).alias(f"k{i}") for i, k in enumerate(kept)]).first()
+    total = [max(s.c0, 1.0), max(s.c1, 1.0)]
+    gamma = [(n - k) / n if n else 1.0 for n, k in ((s.c0, s.k0), (s.c1, s.k1))]
+    rare = float(np.log(gamma[0] / gamma[1]))
+    prob = [k / F.lit(total[i]) + F.lit(gamma[i]) * F.col("c") / F.lit(max(s.c, 1.0)) for i, k in enumerate(kept)]
+    known = words.filter(F.col("c0") > WORD_DISCOUNT).select("key", "n0", "n1", prob[0].alias("p0"), prob[1].alias("p1"))
+
+    toxic = pair_contexts(rows.filter("toxic"))
+    toxic = materialize(toxic.filter(F.col("c") > PAIR_DISCOUNT), "toxic-pairs")
+    small = toxic.count() <= BROADCAST_ENTRIES
+    listed = np.sort(toxic.select("pair").toArrow().column("pair").to_numpy().view(np.uint64)) if small else None
+    usual = pair_contexts(rows.filter("not toxic"), listed).select("pair", F.col("c").alias("c1"))
+    pairs = toxic.select("pair", "key", "before", F.col("c").alias("c0")).join(usual, "pair", "left").withColumn("c1", F.coalesce("c1", F.lit(0)))
+    pairs = materialize(pairs.select("pair", "key", "before", *[F.greatest(F.col(f"c{k}") - PAIR_DISCOUNT, F.lit(0.0)).alias(f"k{k}") for k in (0, 1)]), "toxic-pair-counts")
+
+    # what follows a word in the pairs, and what is left of its occurrences
+    after = pairs.groupBy("before").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"))
+    left = [F.when(F.col(f"n{k}") > 0, F.coalesce((F.col(f"n{k}") - F.col(f"s{k}")) / F.col(f"n{k}"), F.lit(1.0))).otherwise(1.0) for k in (0, 1)]
+    known = materialize(known.join(after.withColumnRenamed("before", "key"), "key", "left").select("key", "n0", "n1", "p0", "p1", left[0].alias("g0"), left[1].alias("g1")), "toxic-known")
+    second, first = known.select("key", "p0", "p1"), known.select(F.col("key").alias("before"), "n0", "n1", "g0", "g1")
+    both = pairs.join(second, "key").join(first, "before")
+    high = [F.when(F.col(f"n{k}") > 0, F.col(f"k{k}") / F.col(f"n{k}")).otherwise(0.0) + F.col(f"g{k}") * F.col(f"p{k}") for k in (0, 1)]
+    table = known.select("key", F.lit(0).alias("kind"), F.log(F.col("p0") / F.col("p1")).alias("a"), F.log(F.col("g0") / F.col("g1")).alias("g"))
+    table = table.unionByName(both.select(F.col("pair").alias("key"), F.lit(1).alias("kind"), F.log(high[0] / high[1]).alias("a"), F.lit(0.0).alias("g")))
+    return materialize(table, "toxic-model"), rare
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, label of the labelled documents that aren't held out."""
-    own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).alias("label"))
-    own = own.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
-    own = F.broadcast(own) if labels.count() <= BROADCAST_LABELS else own
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.join(own, d.doc_id == F.col("label_id")).select("doc_id", "text", "label")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
+    """Counts over all labelled documents that aren't held out; the link on about LINK_ROWS of them."""
+    ship_package(docs.sparkSession)
+    rows = labelled(docs, labels, label, doc_id, text)
+    table, rare = class_models(rows.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic")))
+    model = ToxicModel(table, table.count(), rare, np.zeros(2))
+    n = labels.count()
+    if n > LINK_ROWS:  # a hash range that holds about so many
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("link")), F.lit(1_000_000)) < F.lit(int(1_000_000 * LINK_ROWS / n)))
+    some = rows.select((F.col("label") > 0).cast("double").alias("y"), F.col("text").cast("binary").alias("text"))
+    t = _with_feature(some, model, "text", "x").select("y", "x").toArrow()
+    model.link = fit_link(t.column("x").to_numpy(), t.column("y").to_numpy())
+    return model
 
 
-def _words(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of a block's words, the number of the document of each, and where each document's begin."""
-    s, e, first = word_spans(b.data, b.offsets, _SEPARATOR)
-    return span_hashes(b.data, s, e, lower=True), np.repeat(np.arange(b.n), np.diff(first)), first
+def _with_feature(docs: DataFrame, model: ToxicModel, text: str, name: str) -> DataFrame:
+    """``docs`` with the feature of each text: from the model in every worker, or from each text's own part of it by a join."""
+    if model.local:
+        shared = docs.sparkSession.sparkContext.broadcast(model.ratios())  # BROADCAST_ENTRIES bounds it
 
+        @F.arrow_udf("double")
+        def feature(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            m = shared.value
+            for batch in column:
+                yield pa.array(np.concatenate([np.zeros(0), *(m.feature(Words.of(b)) for b in blocks(batch))]))
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """key, n0, n1, n2 of each word of text (binary): its hash as a long, tokens in toxic and other rows, rows that have it."""
+        # without the mark a plan that uses the result twice may compute it twice
+        return docs.withColumn(name, feature.asNondeterministic()(F.col(text).cast("binary")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row, found, rare = fresh_name(docs, "row"), fresh_name(docs, "entries"), model.rare
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "toxic-rows")  # so that the numbers stay
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
+            ids = batch.column("row").to_numpy()
             for b in blocks(batch.column("text")):
-                h, of, _ = _words(b)
-                keys, back = np.unique(h, return_inverse=True)
-                each = np.unique(h ^ mix(of.astype(np.uint64)), return_index=True)[1]
-                is_toxic = toxic[b.first : b.first + b.n][of]
-                n = [np.bincount(x, minlength=len(keys)) for x in (back[is_toxic], back[~is_toxic], back[each])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x, pa.int64()) for x in n)], ["key", "n0", "n1", "n2"])
-
-    return rows.mapInArrow(count, "key long, n0 long, n1 long, n2 long").groupBy("key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
-
+                x = Words.of(b)
+                of = np.repeat(ids[b.first : b.first + b.n], np.diff(x.first))
+                for kind, k, m in ((0, x.w, slice(None)), (1, x.pair, x.follows)):
+                    at = np.unique(mix(k[m] ^ mix(of[m].astype(np.uint64))), return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(of[m][at]), pa.array(np.full(len(at), kind, np.int32)), pa.array(k[m][at].view(np.int64))], ["row", "kind", "key"])
 
-def _sorted_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = t.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([t.column(f"n{k}").to_numpy()[order] for k in range(3)])
+    own = base.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).mapInArrow(keys, "row long, kind int, key long")
+    parts = own.join(model.table, ["kind", "key"]).groupBy("row").agg(F.collect_list(F.struct("key", "kind", "a", "g")).alias(found)).withColumnRenamed("row", row)
 
+    @F.arrow_udf("double")
+    def joined(text: pa.Array, entries: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(text)):
+            e = entries[i].values
+            part = [e.field(c).to_numpy() for c in ("key", "kind", "a", "g")] if e is not None else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)]
+            out.append(Ratios.of(*part, rare).feature(Words.of(next(iter(blocks(text.slice(i, 1))))))[0])
+        return pa.array(out, pa.float64())
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
-    """Counts over all labelled documents that aren't held out; the link on LINK_ROWS of them, each without its own counts."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = labelled(docs, labels, label, doc_id, text).select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic"))
-    summed = materialize(count_words(rows), "toxicity")
-    sums = summed.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(3)], *[F.count_if(F.col(f"n{k}") > 0) for k in range(3)]).first()
-    tokens, types = list(sums[:3]), list(sums[3:])
-
-    some = labelled(docs, labels, label, doc_id, text).withColumn("order", F.xxhash64("doc_id", F.lit("link")))
-    n = labels.count()
-    if n > LINK_ROWS:  # a hash range that holds about so many
-        some = some.filter(F.pmod("order", F.lit(1_000_000)) < F.lit(int(1_000_000 * LINK_ROWS / n)))
-    some = some.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).alias("toxic"))
-    # the words of these documents only
-    link_counts = summed.join(count_words(some).select("key"), "key", "left_semi")
-    shared = spark.sparkContext.broadcast(WordCounts(tokens, types, *_sorted_counts(link_counts.toArrow())))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), bool)
-            for b in blocks(batch.column("text")):
-                h, of, first = _words(b)
-                t = toxic[b.first : b.first + b.n]
-                _, back, times = np.unique(h ^ mix(of.astype(np.uint64)), return_inverse=True, return_counts=True)
-                n = times[back]
-                x = features(m.ratio(np.maximum(m.of(h) - np.stack([n * t[of], n * ~t[of], np.ones(len(h))]), 0)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.float64)), *(pa.array(x[:, k]) for k in range(4))], ["y", "x0", "x1", "x2", "x3"])
-
-    t = some.mapInArrow(measure, "y double, x0 double, x1 double, x2 double, x3 double").toArrow()
-    x = np.stack([t.column(f"x{k}").to_numpy() for k in range(4)], 1) if t.num_rows else np.zeros((0, 4))
-    link = fit_link(x, t.column("y").to_numpy())
-
-    # all words, in ranges of their hash
-    base, bits = WordCounts(tokens, types, np.zeros(0, np.uint64), np.zeros((3, 0))), max(0, types[2] // RANGE_WORDS).bit_length()
-    keys, ratios = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
-    for r in range(1 << bits):
-        part = summed.filter(F.shiftrightunsigned("key", 64 - bits) == r) if bits else summed
-        k, c = _sorted_counts(part.toArrow())
-        keys.append(k)
-        ratios.append(base.ratio(c.astype(np.float64)).astype(np.float32))
-    return ToxicModel(np.concatenate(keys), np.concatenate(ratios), link)
-
-
-def toxicity_udf(spark, model: ToxicModel):
-    """An Arrow UDF from text (as binary) to its score."""
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)  # 12 bytes a word
+    return base.join(parts, row, "left").withColumn(name, joined.asNondeterministic()(F.col(text).cast("binary"), F.col(found))).drop(row, found)
 
-    @F.arrow_udf("double")
-    def toxicity(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
-        for batch in column:
-            out = np.zeros(len(batch))
-            for b in blocks(batch):
-                h, _, first = _words(b)
-                out[b.first : b.first + b.n] = m.score(features(m.ratio(h), first))
-            yield pa.array(out)
 
-    return toxicity.asNondeterministic()  # else a plan that uses the score twice may compute it twice
+def with_score(docs: DataFrame, model: ToxicModel, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score (0 to 1) of each text as column ``name``."""
+    bias, weight = (F.lit(float(x)) for x in model.link)
+    z = F.least(F.greatest(bias + weight * F.col(name), F.lit(-40.0)), F.lit(40.0))
+    return _with_feature(docs, model, text, name).withColumn(name, 1 / (1 + F.exp(-z)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,8 +332,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, d
 
     Null and empty texts have no words and get the link's score for no evidence. Null ids are not held out. Repeated labels
     of a document count as the largest; labels of unknown documents and null labels are not used. No label, or labels of
-    one class: a constant score. Rows may repeat.
+    one class: a constant score. Rows may repeat. Other columns of the input are not looked at.
     """
-    toxicity = toxicity_udf(docs.sparkSession, fit_toxicity(docs, labels, doc_id=doc_id, text=text))
-    out = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), toxicity(F.col(text).cast("binary")).alias("score"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    out = with_score(rows, fit_toxicity(docs, labels, doc_id=doc_id, text=text), name="score").drop("text")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -46,19 +46,73 @@ def test_toxicity_held_out(data):
     assert all(0 <= r.score <= 1 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
-def test_toxicity_counts_every_word_of_a_large_vocabulary(spark):
-    # 900,000 ordinary words and one toxic expression: a sketch of fixed size would mix their counts with others'
-    usual = [(i, " ".join(f"w{i}x{k}" for k in range(3_000)) * 2, 0) for i in range(300)]
-    rude = [(1000 + i, f"moron r{i}", 1) for i in range(40)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in usual + rude], "doc_id long, text string").repartition(8)
-    labels = spark.createDataFrame([(i, x) for i, _, x in usual + rude], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(docs, labels)
-    assert not model.ratio(np.random.default_rng(1).integers(1, 2**63, 5_000).astype(np.uint64)).any()  # words of no document
-    fitted = [(i, t) for i, t, _ in usual + rude if zlib.crc32(str(i).encode()) % 4 != 2]
-    words = {w for _, t in fitted for w in t.split()}
-    assert len(model.keys) == len(words) and (model.keys[1:] > model.keys[:-1]).all()
-    counts = {r.key: (r.n0, r.n1, r.n2) for r in toxicity.count_words(docs.filter("doc_id < 2 or doc_id >= 1000").select(F.col("text").cast("binary").alias("text"), (F.col("doc_id") >= 1000).alias("toxic"))).collect()}
-    assert sorted(counts.values())[-1] == (40, 0, 40) and len(counts) == 41 + len({w for i, t, _ in usual[:2] for w in t.split()})
+def brute_evidence(rows, texts):
+    """log p(w | toxic) - log p(w | ordinary) of each word of ``texts`` after the definition, from (text, is toxic) rows."""
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    d1, d2 = toxicity.WORD_DISCOUNT, toxicity.PAIR_DISCOUNT
+    before, around, tokens = [{}, {}], [{}, {}], [Counter(), Counter()]
+    for t, toxic in rows:
+        w, k = split(t), 0 if toxic else 1
+        for i, x in enumerate(w):
+            tokens[k][x] += 1
+            before[k].setdefault(x, set()).add(w[i - 1] if i else None)
+            if i:
+                around[k].setdefault((w[i - 1], x), set()).add(w[i - 2] if i > 1 else None)
+    n = lambda k, x: len(before[k].get(x, ()))
+    every = {x: len(before[0].get(x, set()) | before[1].get(x, set())) for x in {*before[0], *before[1]}}
+    known = {x for x in every if n(0, x) > d1}
+    total = [sum(map(len, b.values())) for b in before]
+    gamma = [1 - sum(max(n(k, x) - d1, 0) for x in known) / total[k] for k in (0, 1)]
+    low = lambda k, x: max(n(k, x) - d1, 0) / total[k] + gamma[k] * every[x] / sum(every.values())
+    pairs = {v for v, c in around[0].items() if len(c) > d2}
+    m = lambda k, v: max(len(around[k].get(v, ())) - d2, 0)
+    rest = lambda k, v: 1 - sum(m(k, q) for q in pairs if q[0] == v) / tokens[k][v] if tokens[k][v] else 1.0
+    out = []
+    for t in texts:
+        w = split(t)
+        for i, x in enumerate(w):
+            if i and (v := (w[i - 1], x)) in pairs:
+                p = [(m(k, v) / tokens[k][v[0]] if tokens[k][v[0]] else 0.0) + rest(k, v[0]) * low(k, x) for k in (0, 1)]
+                out.append(np.log(p[0] / p[1]))
+            else:
+                word = np.log(low(0, x) / low(1, x)) if x in known else np.log(gamma[0] / gamma[1])
+                out.append(word + (np.log(rest(0, w[i - 1]) / rest(1, w[i - 1])) if i and w[i - 1] in known else 0.0))
+    return np.array(out)
+
+
+def test_class_models_against_brute_force(spark):
+    rng = random.Random(6)
+    v = [f"w{k}" for k in range(40)] + ["Ünd", "you", "moron"]
+    say = lambda toxic: " ".join(rng.choice(v[:-2]) if not toxic or rng.random() < 0.7 else rng.choice(["you moron", "moron", "you"]) for _ in range(rng.randint(0, 60)))
+    rows = [(say(toxic), toxic) for toxic in [rng.random() < 0.4 for _ in range(120)]] + [(None, True), ("", False)]
+    table, rare = toxicity.class_models(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3).select(F.col("text").cast("binary").alias("text"), "toxic"))
+    t = table.toArrow()
+    ratios = toxicity.Ratios.of(*(t.column(c).to_numpy() for c in ("key", "kind", "a", "g")), rare)
+    texts = ["you moron, w1 W2 never seen moron", "", *(say(True) for _ in range(20)), *(say(False) for _ in range(20))]
+    import pyarrow as pa
+
+    got = np.concatenate([ratios.evidence(toxicity.Words.of(b)) for b in toxicity.blocks(pa.array(texts).cast(pa.binary()))])
+    want = brute_evidence([(x or "", k) for x, k in rows], texts)
+    assert len(ratios.pairs) > 3 and len(got) == len(want) and np.abs(got - want).max() < 1e-9
+    assert got.max() > 1  # "moron" tells the classes apart
+
+
+def test_toxicity_of_a_model_too_large_to_broadcast(spark, data, monkeypatch):
+    docs, labels = data
+    odd = docs.unionByName(spark.createDataFrame([(None, None, "en", "s", "x"), (3, "", "en", "s", "x"), (3, "moron " * 900, "en", "s", "x")], DOCS))
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, round(r.score, 9), r.held_out, r.predicted)
+    usual = sorted(map(key, toxicity.score_toxicity(odd, labels).collect()))
+    monkeypatch.setattr(toxicity, "BROADCAST_ENTRIES", 0)
+    assert sorted(map(key, toxicity.score_toxicity(odd, labels).collect())) == usual
+
+
+def test_toxic_copies_of_one_document_tell_little(spark):
+    """A word of one toxic document and its copies stands after the same words in all of them: it isn't an expression."""
+    docs, labels = corpus(300, 9)
+    copies = [(5000 + i, docs[0][1] + " somename", "en", "s", "x") for i in range(50)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs + copies, DOCS), spark.createDataFrame([*labels, *((i, 0, 1) for i, *_ in copies)], "doc_id long, quality int, toxic int"))
+    names = [toxicity.Words.of(next(iter(toxicity.blocks(toxicity.pa.array([w.encode()]))))) for w in ("somename", "idiot")]
+    assert model.ratios().evidence(names[0])[0] == pytest.approx(model.rare) and model.ratios().evidence(names[1])[0] > 2
 
 
 def test_toxicity_does_not_learn_from_held_out_rows_or_other_columns(data):
