@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm._text import Block, blocks, mix, span_hashes, word_spans
-from sylva.runtime import fresh_name, materialize, ship_package
+from sylva.llm.lookup import entries_of, with_entries
+from sylva.runtime import materialize, ship_package
 
 #: Contexts that the discount takes from a word and from a pair.
 WORD_DISCOUNT, PAIR_DISCOUNT = 2.0, 4.0
@@ -258,8 +259,8 @@ def class_models(rows: DataFrame) -> tuple[DataFrame, float]:
     second, first = known.select("key", "p0", "p1"), known.select(F.col("key").alias("before"), "n0", "n1", "g0", "g1")
     both = pairs.join(second, "key").join(first, "before")
     high = [F.when(F.col(f"n{k}") > 0, F.col(f"k{k}") / F.col(f"n{k}")).otherwise(0.0) + F.col(f"g{k}") * F.col(f"p{k}") for k in (0, 1)]
-    table = known.select("key", F.lit(0).alias("kind"), F.log(F.col("p0") / F.col("p1")).alias("a"), F.log(F.col("g0") / F.col("g1")).alias("g"))
-    table = table.unionByName(both.select(F.col("pair").alias("key"), F.lit(1).alias("kind"), F.log(high[0] / high[1]).alias("a"), F.lit(0.0).alias("g")))
+    table = known.select("key", F.lit(0).cast("long").alias("kind"), F.log(F.col("p0") / F.col("p1")).alias("a"), F.log(F.col("g0") / F.col("g1")).alias("g"))
+    table = table.unionByName(both.select(F.col("pair").alias("key"), F.lit(1).cast("long").alias("kind"), F.log(high[0] / high[1]).alias("a"), F.lit(0.0).alias("g")))
     return materialize(table, "toxic-model"), rare
 
 
@@ -292,32 +293,22 @@ def _with_feature(docs: DataFrame, model: ToxicModel, text: str, name: str) -> D
         # without the mark a plan that uses the result twice may compute it twice
         return docs.withColumn(name, feature.asNondeterministic()(F.col(text).cast("binary")))
 
-    row, found, rare = fresh_name(docs, "row"), fresh_name(docs, "entries"), model.rare
-    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "toxic-rows")  # so that the numbers stay
+    def keys(b: Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        x = Words.of(b)
+        of = np.repeat(np.arange(b.n), np.diff(x.first))
+        key, kind, of = np.concatenate([x.w, x.pair[x.follows]]), np.repeat([0, 1], [len(x.w), int(x.follows.sum())]), np.concatenate([of, of[x.follows]])
+        at = np.unique(mix(mix(key + kind.astype(np.uint64)) ^ of.astype(np.uint64)), return_index=True)[1]
+        return of[at], {"key": key[at].view(np.int64), "kind": kind[at]}
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("row").to_numpy()
-            for b in blocks(batch.column("text")):
-                x = Words.of(b)
-                of = np.repeat(ids[b.first : b.first + b.n], np.diff(x.first))
-                for kind, k, m in ((0, x.w, slice(None)), (1, x.pair, x.follows)):
-                    at = np.unique(mix(k[m] ^ mix(of[m].astype(np.uint64))), return_index=True)[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(of[m][at]), pa.array(np.full(len(at), kind, np.int32)), pa.array(k[m][at].view(np.int64))], ["row", "kind", "key"])
-
-    own = base.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).mapInArrow(keys, "row long, kind int, key long")
-    parts = own.join(model.table, ["kind", "key"]).groupBy("row").agg(F.collect_list(F.struct("key", "kind", "a", "g")).alias(found)).withColumnRenamed("row", row)
+    rare = model.rare
+    rows, row, found = with_entries(docs, text, model.table, ["key", "kind"], keys)
 
     @F.arrow_udf("double")
     def joined(text: pa.Array, entries: pa.Array) -> pa.Array:
-        out = []
-        for i in range(len(text)):
-            e = entries[i].values
-            part = [e.field(c).to_numpy() for c in ("key", "kind", "a", "g")] if e is not None else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)]
-            out.append(Ratios.of(*part, rare).feature(Words.of(next(iter(blocks(text.slice(i, 1))))))[0])
-        return pa.array(out, pa.float64())
-
-    return base.join(parts, row, "left").withColumn(name, joined.asNondeterministic()(F.col(text).cast("binary"), F.col(found))).drop(row, found)
+        parts = (Ratios.of(*entries_of(entries, i, ["key", "kind", "a", "g"]), rare) for i in range(len(text)))
+        return pa.array([float(m.feature(Words.of(next(blocks(text.slice(i, 1)))))[0]) for i, m in enumerate(parts)], pa.float64())
+
+    return rows.withColumn(name, joined.asNondeterministic()(F.col(text).cast("binary"), F.col(found))).drop(row, found)
 
 
 def with_score(docs: DataFrame, model: ToxicModel, text: str = "text", name: str = "toxicity") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def test_class_models_against_brute_force(spark):
     t = table.toArrow()
     ratios = toxicity.Ratios.of(*(t.column(c).to_numpy() for c in ("key", "kind", "a", "g")), rare)
     texts = ["you moron, w1 W2 never seen moron", "", *(say(True) for _ in range(20)), *(say(False) for _ in range(20))]
-    import pyarrow as pa
-
     got = np.concatenate([ratios.evidence(toxicity.Words.of(b)) for b in toxicity.blocks(pa.array(texts).cast(pa.binary()))])
     want = brute_evidence([(x or "", k) for x, k in rows], texts)
     assert len(ratios.pairs) > 3 and len(got) == len(want) and np.abs(got - want).max() < 1e-9
@@ -111,7 +110,7 @@ def test_toxic_copies_of_one_document_tell_little(spark):
     docs, labels = corpus(300, 9)
     copies = [(5000 + i, docs[0][1] + " somename", "en", "s", "x") for i in range(50)]
     model = toxicity.fit_toxicity(spark.createDataFrame(docs + copies, DOCS), spark.createDataFrame([*labels, *((i, 0, 1) for i, *_ in copies)], "doc_id long, quality int, toxic int"))
-    names = [toxicity.Words.of(next(iter(toxicity.blocks(toxicity.pa.array([w.encode()]))))) for w in ("somename", "idiot")]
+    names = [toxicity.Words.of(next(iter(toxicity.blocks(pa.array([w.encode()]))))) for w in ("somename", "idiot")]
     assert model.ratios().evidence(names[0])[0] == pytest.approx(model.rare) and model.ratios().evidence(names[1])[0] > 2
 
 
@@ -220,15 +219,78 @@ def test_perplexity_rejects_noise_of_any_length(spark):
         assert all(got[i].kept for i, *_ in prose)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(3)
-    keys, counts = np.unique(rng.integers(0, 6, 3000) * 4096 + rng.integers(0, 6, 3000) * 64 + rng.integers(0, 6, 3000), return_counts=True)
-    m = perplexity.KneserNey.of(keys, counts)
-    for context in ((1, 2), (5, 5), (9, 1), (40, 50)):
-        p = np.exp(m.log_prob(np.arange(64) + context[0] * 4096 + context[1] * 64))
-        assert p.sum() == pytest.approx(1, abs=0.02) and (p > 0).all()
-    low, high = (m.log_prob(np.array([k])) for k in (keys[counts.argmin()], keys[counts.argmax()]))
-    assert np.isfinite(low).all() and np.isfinite(high).all()
+def brute_perplexity(texts):
+    """Mean log-perplexity of each text after the definition, and the probability of each character after each known context."""
+    fold = lambda t: "".join(c.lower() if c.isascii() and c.isalpha() else "0" if c in "0123456789" else " " if c in "\t\n\x0b\x0c\r" else c for c in t)
+    grams = [[("    " + f)[i : i + 5] for i in range(len(f))] for f in map(fold, texts)]
+    raw = [Counter(g[-k:] for d in grams for g in d) for k in range(1, 6)]
+    n = [Counter(g[1:] for g in raw[k]) for k in range(1, 5)] + [raw[4]]
+    cut = [perplexity.discounts(*(sum(x == j for x in m.values()) for j in (1, 2, 3, 4))) for m in n]
+    off = lambda k, x: cut[k - 1][min(x, 3) - 1]
+    total, gamma = [None], [None]
+    for k in range(2, 6):
+        t, g = Counter(), Counter()
+        for x, c in n[k - 1].items():
+            t[x[:-1]] += c
+            g[x[:-1]] += off(k, c)
+        total.append(t)
+        gamma.append({x: g[x] / t[x] for x in t})
+    size = sum(n[0].values()) + 0.5 * (len(n[0]) + 1)
+
+    def p(x):
+        k = len(x)
+        return (n[0][x] + 0.5) / size if k == 1 else (n[k - 1][x] - off(k, n[k - 1][x])) / total[k - 1][x[:-1]] + gamma[k - 1][x[:-1]] * p(x[1:])
+
+    def log_prob(x, own):
+        k = len(x)
+        if raw[k - 1][x] > own[k - 1][x]:
+            return np.log(p(x))
+        return np.log(gamma[k - 1][x[:-1]]) + log_prob(x[1:], own) if k > 1 else np.log(0.5 / size)
+
+    out = []
+    for d in grams:
+        own = [Counter(g[-k:] for g in d) for k in range(1, 6)]
+        out.append(-sum(log_prob(g, own) for g in d) / max(len(d), 1))
+    sums = {x: sum(p(x + c) for c in n[0] if x + c in n[k - 1]) for k in range(2, 6) for x in total[k - 1]}
+    return out, sums
+
+
+def test_perplexity_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    v = ["the", "Theme", "ab12", "é", "漢字", "🙂x", "qq"]
+    texts = ["".join(rng.choice(v) + rng.choice([" ", "\n", ", "]) for _ in range(rng.randint(0, 40))) for _ in range(50)] + ["", "zyzzyva zyzzyva zyzzyva", "x", "zyz"]
+    texts += [texts[0], " ".join("".join(rng.choices("!?;:", k=5)) for _ in range(50))]
+    want, sums = brute_perplexity(texts)
+    assert all(x <= 1 + 1e-12 for x in sums.values())
+    rows = [(i, t, rng.choice(["en", "de"]), "s", "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    score = lambda: {r.doc_id: r.log_perplexity for r in perplexity.score_documents(docs).collect()}
+    usual = score()
+    assert max(abs(usual[i] - w) for i, w in enumerate(want)) < 1e-9
+    monkeypatch.setattr(perplexity, "BROADCAST_ENTRIES", 0)
+    assert score() == pytest.approx(usual, abs=1e-9)
+    monkeypatch.undo()
+    table, floor = perplexity.kneser_ney(perplexity.count_ngrams(docs))
+    model = perplexity.KneserNey.of(*(table.toArrow().column(c).to_numpy() for c in ("kind", "hi", "lo", "a", "raw")), floor)
+    monkeypatch.setattr(perplexity, "PIECE", 64)
+    for i, t in enumerate(texts):  # in pieces
+        assert -model.total(next(perplexity.blocks(pa.array([t.encode()]))))[0] / max(len(t), 1) == pytest.approx(usual[i], abs=1e-9)
+
+
+def test_perplexity_of_long_texts_many_languages_and_clashing_names(spark):
+    docs, _ = corpus(120, 5)
+    rows = [(i, t, f"l{i}" if i % 3 else "en", "s", "x", 5.0, "y") for i, t, *_ in docs] + [(999, " ".join(docs[0][1].split() * 30_000), "en", "s", "x", 5.0, "y")]
+    d = spark.createDataFrame(rows, DOCS + ", log_perplexity double, lower string")
+    got = {r.doc_id: r for r in perplexity.perplexity_rules(d).collect()}
+    assert len(got) == 121 and got[999].base_failed and got[999].n_words == 30_000 * len(docs[0][1].split()) and got[999].log_perplexity < 1
+    assert all(r.lower < r.log_perplexity < r.upper for i, r in got.items() if i % 3)  # alone in their languages
+
+
+def test_perplexity_bands_reject_on_both_sides_of_the_given_tables(spark):
+    rows = perplexity.perplexity_rules(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("not base_failed").collect()
+    low, high = (sum(f(r) for r in rows) for f in (lambda r: r.log_perplexity < r.lower, lambda r: r.log_perplexity > r.upper))
+    assert low > 20 and high > 20 and low + high < 0.05 * len(rows)
+    assert all(r.kept == (r.lower <= r.log_perplexity <= r.upper) for r in rows if r.lower is not None)
 
 
 def test_mixing(spark):
