@@ -337,12 +337,66 @@ def test_templates_go_and_text_stays(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_templates_decide_on_the_given_pages(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    key = lambda df: {r.page_id: r.text for r in df.collect()}
+    usual, without = key(html_text.extract_text(pages)), key(html_text.extract_text(pages, template_share=0, main_share=-1))
+    articles = {r.page_id: html_text.parse(r.html).text for r in pages.collect()}
+    assert usual == articles and sum(usual[i] != without[i] for i in usual) > 120
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    assert key(html_text.extract_text(pages)) == usual
+
+
+def test_subtree_counts_against_brute_force(spark):
+    """Shapes of whole pages, by a walk over the pages' nested tags, and how many different pages of a host have each."""
+    rng = random.Random(3)
+    body = lambda d: "".join(f"<{t}>{body(d - 1) if d else rng.choice(['x', 'y', ''])}</{t}>" for t in rng.choices(["div", "section", "p", "ul"], k=rng.randint(0, 3)))
+    rows = [(i, f"http://h{i % 3}.com/{i}", f"<body>{body(3)}</body>") for i in range(60)] + [(60, "http://h0.com/again", "<body><div>x</div></body>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.subtrees(pages.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "html", F.xxhash64("html").alias("html_key")))
+    got = Counter((r.host, r.subtree) for r in found.select("host", "subtree", "page").distinct().filter("subtree <> 0").collect())
+
+    def walk(html):  # whole subtrees of div and section, as text
+        out, stack = set(), []
+        for m in re.finditer(r"<(/?)(\w+)>", html):
+            if not m[1]:
+                stack.append((m[2], m.start()))
+            else:
+                tag, at = stack.pop()
+                if tag in ("div", "section"):
+                    out.add(html[at : m.end()])
+        return out
+
+    want: dict[tuple, set] = {}
+    for _, url, html in rows:
+        for x in walk(html):
+            want.setdefault((url.split("/")[2], x), set()).add(html_text.parse(html).text)
+    whole = Counter((r.host, r.subtree) for r in found.filter("not shape and subtree <> 0").select("host", "subtree", "page").distinct().collect())
+    assert sorted(n for (h, _), n in whole.items()) == sorted(len(x) for x in want.values()) and sum(got.values()) > sum(whole.values())
+    judged = {(r.host, r.subtree) for r in html_text.judge_subtrees(found, min_pages=4).filter("template").collect()}
+    assert {k for k, n in whole.items() if n >= 4} <= judged
+
+
+def test_parser_takes_linear_time():
+    import time
+
+    broken = ["<a " * 330_000, "<a '" * 250_000, "<a '" * 250_001 + ">", "<div>" * 60_000 + "</b>" * 100_000, "<p><div>" + "<b>" * 30_000 + "<h2></h2>" * 30_000, "<article>" * 30_000, "<script>" * 100_000, "<!--" * 250_000, "</" * 500_000 + ">"]
+    for html in broken:
+        began = time.process_time()
+        html_text.parse(html)
+        assert time.process_time() - began < 4
+
+
 def test_parser():
-    assert html_text.parse("<nav>x</nav><article><h1>A</h1><p>b<br>c<p>d<div class='ad box'>y</div><script>'</p>'</script></article><footer>z</footer>")[0] == "A b c d"
-    assert html_text.parse("a<!-- <p> -->b<i>c</i> &lt;&nbsp;d &#233;")[0] == "abc < d é"
-    assert html_text.parse("<main><p>m</main><p>out")[0] == "m"
-    assert html_text.parse("<article>x<article class=comment>no</article></article>")[0] == "x"
-    assert html_text.parse("<div " + "<div>" * 3000 + "deep")[0] == "deep"
+    text = lambda html: html_text.parse(html).text
+    assert text("<nav>x</nav><article><h1>A</h1><p>b<br>c<p>d<div class='ad box'>y</div><script>'</p>'</script></article><footer>z</footer>") == "A b c d"
+    assert text("a<!-- <p> -->b<i>c</i> &lt;&nbsp;d &#233;") == "abc < d é"
+    assert text("<main><p>m</main><p>out") == "m"
+    assert text("<article>x<article class=comment>no</article></article>") == "x"
+    assert text("<div " + "<div>" * 3000 + "deep") == "deep"
+    assert text("<p title='a > b'>c<a href=\">\">d</a> 1 < 2 <3 <b") == "cd 1 < 2 <3 <b"
+    assert text("<!doctype html><body>x<textarea><p>no</textarea>y</div></body>z") == "xyz"
+    assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == "a b c d e f g"
 
 
 def test_warc_round_trip(spark):
