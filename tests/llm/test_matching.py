@@ -117,6 +117,25 @@ def test_find_items(spark, seed):
     assert untouched <= {(r.doc_id, r.text) for r in clean.collect()}
 
 
+def test_items_of_several_parts(spark, monkeypatch):
+    """Items that fill several automata, one of them longer than an automaton, give what one automaton gives."""
+    rng = random.Random(11)
+    say = lambda n, k=400: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    items = [(i, say(rng.choice([1, 4, 10, 15, 40]), 200_000 if i % 2 else 400)) for i in range(20)] + [(50, say(300))]
+    inner = items[-1][1].split()
+    # cutting the passage of one item out of these joins a window of another
+    docs = [(i, f"{say(8)} {items[i % 20][1]} {say(5)}") for i in range(40)] + [(90, " ".join(inner[20:26] + inner[100:120] + inner[26:40])), (91, None), (91, ""), (92, say(20_000))]
+    d, b = spark.createDataFrame([(*x, "x", 7) for x in docs], "doc_id long, text string, cut string, row int"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
+    found, cleaned = key(decontaminate.find_items(d, b).drop("longest")), [key(decontaminate.remove_items(d, b, max_coverage=c)) for c in (0.5, 1.0)]
+    assert found == sorted(tuple(str(x) for x in (i, *brute_items(t, items), brute_items(t, items)[1] > 0)) for i, t in docs)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "WINDOW_HASHES", 200)
+    assert decontaminate.item_parts(b)[1] > 5
+    assert key(decontaminate.find_items(d, b).drop("longest")) == found
+    assert [key(decontaminate.remove_items(d, b, max_coverage=c)) for c in (0.5, 1.0)] == cleaned and len(cleaned[0]) < len(cleaned[1])
+
+
 def test_remove_items_limits_and_empty_tables(spark):
     item = " ".join(f"w{k}" for k in range(12))
     rows = [(1, f"Before. {item}! After all of this there is more text, and more, and more of it.", 5), (2, item, 5), (3, None, None), (4, "Clean\ttext ", 11)]

@@ -395,7 +395,7 @@ def test_parser():
     assert text("<article>x<article class=comment>no</article></article>") == "x"
     assert text("<div " + "<div>" * 3000 + "deep") == "deep"
     assert text("<p title='a > b'>c<a href=\">\">d</a> 1 < 2 <3 <b") == "cd 1 < 2 <3 <b"
-    assert text("<!doctype html><body>x<textarea><p>no</textarea>y</div></body>z") == "xyz"
+    assert text("<!doctype html><body>x<textarea><p>no</textarea>y</div></body>z") == "xy z"
     assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == "a b c d e f g"
 
 
