@@ -9,6 +9,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
@@ -65,9 +69,12 @@ def fresh_name(df: DataFrame, name: str) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the Python workers once per application.
 
-    Workers that already have it on their path lose nothing; a cluster without it installed needs this.
+    Workers that already have it on their path lose nothing; a cluster without it installed needs this. Where the session
+    leaves the rows of an Arrow batch at Spark's default, they become fewer: rows are whole texts.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_sylva_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
