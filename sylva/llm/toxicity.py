@@ -41,7 +41,7 @@ BROADCAST_LABELS = 4_000_000
 #: A model of up to so many words and pairs (24 bytes each) is broadcast; beyond, documents are joined to it.
 BROADCAST_ENTRIES = 4_000_000
 #: Words that a task holds before it sends their contexts on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 18
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
