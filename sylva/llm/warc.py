@@ -84,13 +84,16 @@ class _Framed:
     def __init__(self, source: Iterator[bytes]):
         self.source, self.held = source, b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > most or not (more := next(self.source, b"")):
+    def until(self, mark: bytes) -> bytes:
+        """All up to the mark, however long: a header is as long as the URL in it."""
+        held, seen = bytearray(self.held), 0
+        while (at := held.find(mark, seen)) < 0:
+            if not (more := next(self.source, b"")):
                 raise WarcError("a header doesn't end")
-            self.held += more
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
-        return out
+            seen = max(0, len(held) - len(mark) + 1)
+            held += more
+        self.held = bytes(held[at + len(mark) :])
+        return bytes(held[:at])
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
@@ -226,7 +229,11 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a record for each row of ``pages`` and read the archives back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, target_uri. An empty table gives no archive and no rows."""
+    record_type, refers_to, target_uri. An empty table gives no archive and no rows.
+
+    Null html is an empty payload, a null url gives a record without one. URLs and payloads of any length are read back;
+    white space and control characters of a URL come back percent-encoded. Rows may repeat, and page_ids may be null.
+    """
     spark = pages.sparkSession
     manifest = write_archives(plan_records(pages), folder or scratch_path(spark, "warc"))
     return read_archives(manifest).drop("payload")

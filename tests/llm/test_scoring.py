@@ -401,12 +401,13 @@ def test_parser():
 
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 600
-    rows = [(1, "http://a/ b\r\nX: y", big, "x"), (5, "http://b", big, "x"), (3, None, big, "x"), (2, "u", None, "x"), (4, "u", "", "x"), (6, "v", "small", "x"), (7, "v", "small", "x"), (None, "w", big, "x"), (8, "z", "x" * 3_000_000, "x")]
+    rows = [(1, "http://a/ b\r\nX: y", big, "x"), (5, "http://b", big, "x"), (3, None, big, "x"), (2, "u", None, "x"), (4, "u", "", "x"), (6, "v", "small", "x"), (7, "v", "small", "x"), (None, "w", big, "x"), (8, "z", "x" * 3_000_000, "x"), (9, "http://long/" + "é\n" * 600_000, "y", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     got = warc.warc_round_trip(pages).collect()
     by = {r.page_id: r for r in got}
     assert len(got) == len(rows)
-    assert {i: (by[i].record_type, by[i].refers_to) for i in by} == {1: ("revisit", 5), 3: ("revisit", 5), None: ("revisit", 5), 5: ("response", None), 2: ("response", None), 4: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("response", None)}
+    assert {i: (by[i].record_type, by[i].refers_to) for i in by} == {1: ("revisit", 5), 3: ("revisit", 5), None: ("revisit", 5), 5: ("response", None), 2: ("response", None), 4: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("response", None), 9: ("response", None)}
+    assert by[9].target_uri == "http://long/" + "é%0A" * 600_000
     import hashlib
 
     for i, _, h, _ in rows:
