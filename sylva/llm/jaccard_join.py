@@ -10,8 +10,10 @@
    it may be linked with. Regions are cut again by new pivots of their own until all of one is
    connected or a pivot; those that pivots can't cut are compared: windows of distances to pivots and counts of shingles in slices rule pairs out, the rest is
    compared in full, and pairs already connected, or guests both, need not be.
-3. A space that fits a task is cut there. A larger one is cut by Spark first, up to ``DEPTH`` times, and in the end by pairs
-   of chunks. Components of the links follow by star contraction.
+3. A space that fits a task is cut there. A larger one is cut by Spark first, up to ``DEPTH`` times. Where pivots would copy
+   points to most regions, as in a space that a passage of all its points holds together, its points are tied instead by
+   the rarest of their shingles, one of which any two linked sets share. What is large in the end is joined by pairs of
+   chunks. Components of the links follow by star contraction.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from sylva.runtime import discard, fresh_name, materialize, ship_package
 LOCAL_POINTS, LOCAL_SHINGLES = 4000, 4_000_000
 #: Pivots that Spark takes of a region that is cut, and how often regions are cut before chunks.
 PIVOTS, DEPTH = 16, 3
+#: Pivots don't cut a region if they would make more copies of its points than this on average.
+MOST_COPIES = 3
 #: Inside a task: pivots of a region of n points, at most, as a multiple of the root of n; how often regions are cut at most.
 LOCAL_PIVOTS, LOCAL_DEPTH = 4.0, 24
 #: Pivots are taken until each point is nearer to one than this, less than which a point reaches no unrelated pivot.
@@ -345,8 +349,9 @@ def _connected_bits(masks: dict[int, int]) -> int:
     return max(groups, key=lambda g: (sum(n for m, n in masks.items() if m & g), g), default=0)
 
 
-def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions of each region of ``rows`` (whose points and shingles ``sizes`` has), and links (a, b) that pivots tell of."""
+def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi regions of each region of ``rows`` (whose points and shingles ``sizes`` has), links (a, b) that pivots tell of,
+    and the regions that they don't cut."""
     order = F.xxhash64("id", F.lit(turn))
     pick = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("body").alias("body"))).alias("p"))
     pivots = materialize(pick.select("region", "p.id", "p.body").dropDuplicates(["region", "id"]), "pivots")  # PIVOTS rows a region
@@ -393,12 +398,39 @@ def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) ->
     rest = placed.join(calm, "region").withColumn("settled", F.col("mask").bitwiseAND(F.col("calm")) != 0).withColumn("best", F.array_min("far"))
     rest = rest.withColumn("home", F.array_position("far", F.col("best")) - 1)
     reach = F.when(F.col("settled"), F.array(F.col("home"))).otherwise(F.transform(F.filter(F.transform("far", lambda d, i: F.struct(d.alias("d"), i.cast("long").alias("i"))), lambda x: x["d"] <= F.col("best") + 2 * rule.theta + 1e-9), lambda x: x["i"]))
-    cells = rest.withColumn("cell", F.explode(reach)).withColumn("d", F.get("far", F.col("cell").cast("int")))
+    rest = rest.withColumn("reach", reach)
+    whole = materialize(rest.groupBy("region").agg((F.sum(F.size("reach")) > MOST_COPIES * F.count("*")).alias("uncut")).filter("uncut").select("region"), "uncut")
+    cells = rest.join(whole, "region", "left_anti").withColumn("cell", F.explode("reach")).withColumn("d", F.get("far", F.col("cell").cast("int")))
     cells = materialize(cells.select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "id", "n", "settled", "body", "d"), "cells")
     # a settled point needs to meet only unsettled ones whose distance to the pivot allows a link
     open_cells = cells.filter("not settled").groupBy("region").agg(F.min("d").alias("least"), F.max("d").alias("most"))
     kept = cells.join(open_cells, "region").filter(~F.col("settled") | F.col("d").between(F.col("least") - rule.theta - 1e-9, F.col("most") + rule.theta + 1e-9))
-    return kept.select("region", "id", "n", "settled", "body"), links
+    return kept.select("region", "id", "n", "settled", "body"), links, whole
+
+
+def _cut_by_rare_shingles(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Regions of points of ``rows`` that share one of their rarest shingles, directly or by others; points that don't go.
+
+    A set of n shingles that is linked with another shares at least n * num / den of them with it. So of the order from the
+    rarest shingle of the region on, each of the two has a shared one among its first n - ceil(n * num / den) + 1.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, i, body in zip(*(batch.column(c).to_pylist() for c in ("region", "id", "body")), strict=True):
+                u = np.frombuffer(body, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), region)), pa.array(np.full(len(u), i)), pa.array(u)], ["region", "id", "shingle"])
+
+    every = materialize(rows.mapInArrow(spread, "region long, id long, shingle long"), "shingles")
+    often = every.groupBy("region", "shingle").agg(F.count("*").alias("points"))
+    own = every.join(often, ["region", "shingle"]).groupBy("region", "id").agg(F.sort_array(F.collect_list(F.struct("points", "shingle"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * rule.num / rule.den) + 1).cast("int"))
+    rare = materialize(own.select("region", "id", F.explode(first).alias("x")).filter("x.points > 1").select("region", F.xxhash64("region", "id").alias("node"), F.col("x.shingle").alias("shingle")), "rare-shingles")
+    least = rare.groupBy("region", "shingle").agg(F.min("node").alias("b"))
+    spaces = connected_components(rare.join(least, ["region", "shingle"]).select(F.col("node").alias("a"), "b"))
+    out = materialize(rows.withColumn("node", F.xxhash64("region", "id")).join(spaces, "node").select(F.col("root").alias("region"), "id", "n", "settled", "body"), "refined")
+    discard(every, rare)
+    return out
 
 
 def _cut_by_chunks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -424,9 +456,11 @@ def links_of(rows: DataFrame, rule: Rule) -> DataFrame:
         rows = materialize(rows.join(large.select("region"), "region", "left_semi"), "large")
         if turn == DEPTH:
             return found.unionByName(_join_small(_cut_by_chunks(rows, large), rule))
-        rows, links = _cut_by_pivots(rows, large, rule, turn)
-        rows = materialize(rows, "regions")
-        found = found.unionByName(links)
+        cells, links, whole = _cut_by_pivots(rows, large, rule, turn)
+        cells, found = materialize(cells, "regions"), found.unionByName(links)
+        if whole.limit(1).count():
+            cells = cells.unionByName(_cut_by_rare_shingles(rows.join(whole, "region", "left_semi"), rule))
+        rows = cells
     return found
 
 

@@ -170,9 +170,10 @@ def brute_components(rows, rule):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("rule", "local"), [(jaccard_join.Rule(3, 9, 10), 4000), (jaccard_join.Rule(5, 4, 5), 8)])
-def test_jaccard_components(spark, rule, local, monkeypatch):
+@pytest.mark.parametrize(("rule", "local", "copies"), [(jaccard_join.Rule(3, 9, 10), 4000, 3), (jaccard_join.Rule(5, 4, 5), 8, 3), (jaccard_join.Rule(5, 4, 5), 8, 100), (jaccard_join.Rule(3, 9, 10), 8, 0)])
+def test_jaccard_components(spark, rule, local, copies, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LOCAL_POINTS", local)
+    monkeypatch.setattr(jaccard_join, "MOST_COPIES", copies)
     rng = random.Random(2)
     v = [f"w{k}" for k in range(300)]
     base = [[rng.choice(v) for _ in range(rng.choice([1, 2, 3, 9, 11, 40, 120, 300]))] for _ in range(15)]
@@ -212,6 +213,76 @@ def test_region_join_with_settled_points():
     assert jaccard_join._connected_bits({0b011: 3, 0b110: 1, 0b1000: 3, 0: 9}) == 0b111
 
 
+def test_pivots_make_regions_of_the_given_tables(spark, monkeypatch):
+    """What joins the spaces of the given documents are pivots' regions: guests, cuts of cuts, and hardly any comparison."""
+    import numpy as np
+
+    rule, rows = jaccard_join.Rule(5, 4, 5), []
+    links_of = jaccard_join.links_of
+    monkeypatch.setattr(jaccard_join, "links_of", lambda r, rule: (rows.extend(r.collect()), links_of(r, rule))[1])
+    jaccard_join.jaccard_components(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), rule).count()
+    spaces = {}
+    for r in rows:
+        spaces.setdefault(r.region, []).append(r)
+    total = {"regions": 0, "guests": 0, "depth": 0, "near pivots": 0, "compared": 0}
+    for own in spaces.values():
+        space = jaccard_join._Space([r.id for r in own], [np.frombuffer(r.body, np.uint64) for r in own], [False] * len(own), rule)
+        links = space.join()
+        for k, n in space.tally.items():
+            total[k] = max(total[k], n) if k == "depth" else total[k] + n
+        # what pivots tell is what a comparison of all pairs tells
+        near = {(a, b) for a in range(len(own)) for b in range(a) if rule.linked(jaccard_join._shared(space.sets[a], space.sets[b]), len(space.sets[a]), len(space.sets[b]))}
+        assert bool(near) == bool(links) and all(space.root[a] == space.root[b] for a, b in near)
+    pairs = sum(len(x) * (len(x) - 1) // 2 for x in spaces.values())
+    assert total["regions"] > 1000 and total["guests"] > 5 and total["depth"] >= 1 and total["near pivots"] > 20 and total["compared"] < pairs / 20
+
+
+def test_local_regions_of_clusters_that_touch():
+    """Clusters in chains: points between pivots are guests, and regions are cut again."""
+    import numpy as np
+
+    rng, rule = random.Random(8), jaccard_join.Rule(5, 4, 5)
+    sets, seen = [], {"guests": 0, "depth": 0}
+    for c in range(30):
+        base = list(range(c * 10_000, c * 10_000 + 60))
+        for k in range(rng.randint(1, 25)):  # each step changes a few shingles, so that ends of a chain are far apart
+            for _ in range(rng.randint(1, 5)):
+                base[rng.randrange(60)] = c * 10_000 + 100 + rng.randrange(5_000)
+            sets.append(np.unique(np.array(base, np.uint64)))
+    ids = list(range(len(sets)))
+    rng.shuffle(ids)
+    space = jaccard_join._Space(ids, sets, [False] * len(sets), rule)
+    space.join()
+    for a in range(len(sets)):
+        for b in range(a):
+            if rule.linked(jaccard_join._shared(space.sets[a], space.sets[b]), len(space.sets[a]), len(space.sets[b])):
+                assert space.root[a] == space.root[b]
+    assert len(set(space.root.tolist())) >= 30 and space.tally["guests"] > 30 and space.tally["depth"] > 1
+
+
+def test_components_in_many_tasks(spark, monkeypatch):
+    from sylva.llm import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", 40)
+    monkeypatch.setattr(components, "HOT_LEAST", 20)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(100)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            p, q = find(a), find(b)
+            up[max(p, q)] = min(p, q)
+    rows = connected_components(edges).collect()
+    assert {r.node: r.root for r in rows} == {x: find(x) for x in up} and len(rows) == len(up)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (9, 9)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
