@@ -203,13 +203,22 @@ def resume_anti_join(spark, sf_dir):
     return store.leave_out_known(S.keep_first(p.filter(F.col("tree_id") > middle), ("n", "digest"), "tree_id"), known, ("n", "digest")).select("n", "digest", "tree_id")
 
 
-def stream_first_seen(spark, sf_dir):
-    from sylva.streaming.search import stream_first_seen as run
+def _stream(spark, sf_dir):
+    from sylva.streaming.search import stream_collisions
 
     p = _polynomials(spark, sf_dir).select(F.col("n").cast("long").alias("n"), F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("digest"), "tree_id")
     chunks = scratch_path(spark, "chunks")
     p.repartition(8).write.parquet(chunks)
-    return run(spark, chunks, p.schema).select("n", "digest", "tree_id")
+    return stream_collisions(spark, chunks, p.schema)
+
+
+def stream_first_seen(spark, sf_dir):
+    return _stream(spark, sf_dir)[0].select("n", "digest", "tree_id")
+
+
+def stream_pairs(spark, sf_dir):
+    """Trees that arrive with a polynomial that an earlier one had, with the first tree of that polynomial."""
+    return _stream(spark, sf_dir)[1].select("n", "digest", "tree_id_a", "tree_id_b")
 
 
 def meta_upsert(spark, sf_dir):
@@ -231,14 +240,31 @@ def variance_groups(spark, sf_dir):
     return p.select(F.col("n").cast("long").alias("n"), F.size("coeffs").cast("long").alias("length"), key.cast("string").alias("numerator"), "tree_id").groupBy("n", "length", "numerator").agg(F.count("*").alias("trees"), F.min("tree_id").alias("first_tree"))
 
 
-def dataset_round_trip(spark, sf_dir):
-    """Graph6 and polynomial of the first tree of each parent array, written as CSV and read back."""
+def coefficient_moments(spark, sf_dir):
+    """Mean and variance of each tree's coefficients in few colours, as doubles."""
+    mean, variance = C.mean_and_variance(F.col("coeffs"))
+    return _polynomials(spark, sf_dir, FEW_COLOURS).select("tree_id", mean.alias("mean"), variance.alias("variance"))
+
+
+def _dataset(spark, sf_dir):
+    """Graph6 and polynomial of the first tree of each parent array, written as CSV."""
     ship_package(spark)
     p = _polynomials(spark, sf_dir)
     rows = p.groupBy("parent").agg(F.min("tree_id").alias("tree_index"), F.min_by("coeffs", "tree_id").alias("coeffs")).select("tree_index", tree_graph6("parent").alias("graph6"), C.polynomial_text(F.col("coeffs")).alias("polynomial"))
     path = scratch_path(spark, "dataset")
     src.write_dataset(materialize(rows, "dataset-rows"), path, single=False)
-    return src.read_dataset(spark, path)
+    return path
+
+
+def dataset_round_trip(spark, sf_dir):
+    return src.read_dataset(spark, _dataset(spark, sf_dir))
+
+
+def dataset_decode(spark, sf_dir):
+    """The data set read back and decoded: vertices, edges and leaves of each label, and the sum of its polynomial's coefficients."""
+    t = src.read_trees(spark, _dataset(spark, sf_dir))
+    total = F.aggregate(C.polynomial_parse(F.col("polynomial")), F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    return t.select("graph6", F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), C.leaf_count(F.col("parent")).cast("long").alias("leaves"), total.cast("long").alias("coefficient_sum"))
 
 
 def text_formats(spark, sf_dir):
@@ -247,17 +273,27 @@ def text_formats(spark, sf_dir):
     return o.select("o_orderkey", C.duration_text(F.col("o_totalprice")).alias("duration"), C.thousands(F.floor("o_totalprice")).alias("count_text"))
 
 
-def enumeration_census(spark, sf_dir, sizes=(4, 5, 6, 7, 8, 9)):
-    """Of all trees of given sizes, with their index and label: how many orders have that form."""
+def _census(spark, sf_dir):
+    """Of all trees of each size from 2 to the forest's largest, with index and label: how many orders have that form."""
     from sylva.functions.trees import tree_form
     from sylva.sources.enumeration import enumerate_trees
 
-    forms = P.with_form(_forest(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("orders"))
-    trees = enumerate_trees(spark, sizes[0])
-    for n in sizes[1:]:
+    forest = materialize(P.with_form(_forest(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("orders")), "forms")
+    largest = forest.agg(F.max("n")).first()[0] or 0
+    trees = enumerate_trees(spark, 2)
+    for n in range(3, largest + 1):
         trees = trees.unionByName(enumerate_trees(spark, n))
     named = trees.withColumn("form", tree_form.asNondeterministic()("parent"))
-    return named.join(forms, "form", "left").select(F.col("n").cast("long").alias("n"), "tree_index", "graph6", F.coalesce("orders", F.lit(0)).alias("orders"))
+    return named.join(forest.drop("n"), "form", "left").select(F.col("n").cast("long").alias("n"), "tree_index", "graph6", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+def enumeration_census(spark, sf_dir):
+    return _census(spark, sf_dir)
+
+
+def enumeration_sizes(spark, sf_dir):
+    """Of each size: all trees, those that are the form of some order, and the orders."""
+    return _census(spark, sf_dir).groupBy("n").agg(F.count("*").alias("trees"), F.count_if(F.col("orders") > 0).alias("classes"), F.sum("orders").alias("orders"))
 
 
 def queries():
@@ -265,8 +301,8 @@ def queries():
         order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, tree_classes,
         bucket_summary, nonsingleton_semi_join, bucket_cache, polynomials, polynomials_few_colours, polynomial_terms, poly_coeffs_long,
         coefficient_checks, polynomial_arithmetic, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
-        collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, meta_upsert, pair_equal, variance_groups,
-        dataset_round_trip, text_formats, enumeration_census,
+        collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, stream_pairs, meta_upsert, pair_equal,
+        variance_groups, coefficient_moments, dataset_round_trip, dataset_decode, text_formats, enumeration_census, enumeration_sizes,
     )
     modes = {f"bucket_counts_{m.replace('+', '_')}": _buckets(m) for m in C.BUCKET_MODES}
     return {f.__name__: f for f in plain} | modes

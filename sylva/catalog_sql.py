@@ -53,6 +53,17 @@ ecc AS (SELECT id, v, max(d) AS e FROM dist GROUP BY 1, 2)
 """
 
 
+_LABELS = """
+slot AS (SELECT id, n, u, v, row_number() OVER (PARTITION BY id ORDER BY v, u) - 1 AS k FROM (SELECT id, n, v, unnest(range(0, v)) AS u FROM arc)),
+bits AS (SELECT s.id, s.n, s.k, CASE WHEN a.parent = s.u THEN 1 ELSE 0 END AS b FROM slot s JOIN arc a ON a.id = s.id AND a.v = s.v),
+six AS (SELECT id, k // 6 AS g, sum(b << (5 - k % 6))::INT AS x FROM bits GROUP BY 1, 2),
+tail AS (SELECT id, string_agg(chr(63 + x), '' ORDER BY g) AS t FROM six GROUP BY 1),
+label AS MATERIALIZED (SELECT id, n, chr(n + 63) || coalesce(t, '') AS graph6 FROM shapes LEFT JOIN tail USING (id))
+"""
+#: Free trees of 1, 2, ... vertices.
+_FREE_TREES = [1, 1, 1, 2, 3, 6, 11, 23, 47, 106, 235, 551, 1301, 3159, 7741, 19320]
+
+
 def oracles(steps: int, few: int) -> dict[str, str]:
     edges, recursive = f"WITH {_EDGES}", f"WITH RECURSIVE {_EDGES}"
     full, some, low = f"{edges},\n{_fold(steps, 'n')}\n", f"{edges},\n{_fold(steps, str(few))}\n", f"{edges},\n{_cheapest(steps)}\n"
@@ -66,6 +77,13 @@ cls AS MATERIALIZED (SELECT a.n, a.polynomial AS full_text, b.polynomial AS few_
 rep AS (SELECT n, few_text, min(i) AS tree_index_a FROM cls GROUP BY 1, 2 HAVING count(*) > 1)
 """
     pairs = f"{classes} SELECT n::BIGINT AS n, tree_index_a, i AS tree_index_b FROM cls JOIN rep USING (n, few_text) WHERE i <> tree_index_a"
+    side = lambda x: f"""
+side_{x} AS (SELECT tree_id AS tree_index_{x}, graph6 AS graph6_{x}, '[' || string_agg(degree::VARCHAR, ',' ORDER BY degree DESC) || ']' AS degree_sequence_{x}, any_value(leaves) AS leaf_count_{x}, any_value(m) AS min_color_sum_{x}
+  FROM degree JOIN leaf USING (tree_id) JOIN low USING (tree_id) JOIN tree USING (tree_id) JOIN shapes USING (shape) JOIN label USING (id) GROUP BY 1, 2)"""
+    quoted = lambda c: f"""'"' || replace({c}, '{chr(92)}', '{chr(92) * 2}') || '"'"""
+    fields = [("n", "n"), ("bucket", """'"all"'"""), ("tree_index_a", "tree_index_a"), ("tree_index_b", "tree_index_b"), ("graph6_a", quoted("graph6_a")), ("graph6_b", quoted("graph6_b"))]
+    fields += [(f"{c}_{x}", f"{c}_{x}") for c in ("degree_sequence", "leaf_count", "min_color_sum") for x in "ab"] + [("coefficients", "'[' || few_text || ']'")]
+    report = " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields)
     return {
         "order_forest_edges": f"{edges} SELECT * FROM forest",
         "vertex_degree": f"{edges} SELECT * FROM degree",
@@ -73,11 +91,7 @@ rep AS (SELECT n, few_text, min(i) AS tree_index_a FROM cls GROUP BY 1, 2 HAVING
             string_agg(degree::VARCHAR, ',' ORDER BY degree DESC) AS degree_sequence, '(' || string_agg(degree::VARCHAR, ', ' ORDER BY degree DESC) || ')' AS degree_tuple FROM degree JOIN leaf USING (tree_id) GROUP BY tree_id""",
         "min_color_sum": f"{low} SELECT tree_id, m AS min_color_sum FROM low",
         "diameter_radius": f"{recursive}, {_DISTANCES} SELECT tree_id, diameter, radius FROM tree JOIN shapes USING (shape) JOIN (SELECT id, max(e)::BIGINT AS diameter, min(e)::BIGINT AS radius FROM ecc GROUP BY 1) USING (id)",
-        "graph6_text": f"""{edges}, slot AS (SELECT id, n, u, v, row_number() OVER (PARTITION BY id ORDER BY v, u) - 1 AS k FROM (SELECT id, n, v, unnest(range(0, v)) AS u FROM arc)),
-            bits AS (SELECT s.id, s.n, s.k, CASE WHEN a.parent = s.u THEN 1 ELSE 0 END AS b FROM slot s JOIN arc a ON a.id = s.id AND a.v = s.v),
-            six AS (SELECT id, k // 6 AS g, sum(b << (5 - k % 6))::INT AS x FROM bits GROUP BY 1, 2),
-            tail AS (SELECT id, string_agg(chr(63 + x), '' ORDER BY g) AS t FROM six GROUP BY 1)
-            SELECT tree_id, chr(tree.n + 63) || coalesce(t, '') AS graph6 FROM tree JOIN shapes USING (shape) LEFT JOIN tail USING (id)""",
+        "graph6_text": f"{edges}, {_LABELS} SELECT tree_id, graph6 FROM tree JOIN shapes USING (shape) JOIN label USING (id)",
         "graph6_round_trip": f"{edges} SELECT tree_id, n::BIGINT AS n, n::BIGINT - 1 AS m, true AS same FROM tree",
         "tree_classes": f"{full} SELECT n::BIGINT AS n, count(DISTINCT polynomial) AS classes, count(*)::BIGINT AS trees FROM named GROUP BY 1",
         "bucket_counts_leaves_minsum": count("lm"),
@@ -98,11 +112,33 @@ rep AS (SELECT n, few_text, min(i) AS tree_index_a FROM cls GROUP BY 1, 2 HAVING
         "limit_first_match": f"SELECT * FROM ({pairs}) ORDER BY tree_index_b, tree_index_a LIMIT 1",
         "keep_first_seen": f"{full} SELECT n, digest, min(tree_id) AS tree_id FROM ({sha}) GROUP BY 1, 2",
         "stream_first_seen": f"{full} SELECT n, digest, min(tree_id) AS tree_id FROM ({sha}) GROUP BY 1, 2",
+        "stream_pairs": f"{full}, d AS ({sha}) SELECT n, digest, f AS tree_id_a, tree_id AS tree_id_b FROM (SELECT *, min(tree_id) OVER (PARTITION BY n, digest) AS f FROM d) WHERE tree_id <> f",
+        "polynomial_arithmetic": f"""{edges},
+{_fold(steps, '2')},
+size AS (SELECT id, max(d) AS top FROM dense GROUP BY 1),
+one AS (SELECT unnest([0, 1, 2]) AS e),
+terms AS (SELECT id, d, x, 0 AS y FROM dense UNION ALL SELECT id, e, 0, 1 FROM size, one),
+summed AS (SELECT id, d, sum(x + y)::HUGEINT AS x FROM terms GROUP BY 1, 2),
+added AS (SELECT id, string_agg(x::VARCHAR, ',' ORDER BY d) AS added FROM summed GROUP BY 1),
+prod AS (SELECT id, d + e AS d, sum(x)::HUGEINT AS x FROM dense, one GROUP BY 1, 2),
+multiplied AS (SELECT id, string_agg(x::VARCHAR, ',' ORDER BY d) AS multiplied FROM prod GROUP BY 1)
+SELECT tree_id, added, multiplied FROM tree JOIN shapes USING (shape) JOIN added USING (id) JOIN multiplied USING (id)""",
+        "dataset_round_trip": f"{full}, {_LABELS} SELECT graph6, polynomial FROM label JOIN texts USING (id)",
+        "dataset_decode": f"""{full}, {_LABELS}, total AS (SELECT id, sum(x)::BIGINT AS coefficient_sum FROM dense GROUP BY 1), leaves AS (SELECT id, leaves FROM tree JOIN shapes USING (shape) JOIN leaf ON leaf.tree_id = shapes.id WHERE tree.tree_id = shapes.id)
+SELECT graph6, n::BIGINT AS n, n::BIGINT - 1 AS m, leaves::BIGINT AS leaves, coefficient_sum FROM label JOIN total USING (id) JOIN leaves USING (id)""",
+        "collision_reports": f"""{classes},
+{_cheapest(steps)}, {_LABELS}, {side("a")}, {side("b")},
+pair AS (SELECT n, tree_index_a, i AS tree_index_b, few_text FROM cls JOIN rep USING (n, few_text) WHERE i <> tree_index_a)
+SELECT tree_index_a, tree_index_b, '{{' || {report} || '}}' AS report FROM pair JOIN side_a USING (tree_index_a) JOIN side_b USING (tree_index_b)""",
+        "enumeration_sizes": f"""{full}, free AS (SELECT unnest(range(1, {len(_FREE_TREES) + 1})) AS n, unnest({_FREE_TREES}) AS trees),
+met AS (SELECT n, count(DISTINCT polynomial) AS classes, count(*) AS orders FROM named GROUP BY 1)
+SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT AS classes, coalesce(orders, 0)::BIGINT AS orders FROM free LEFT JOIN met USING (n) WHERE free.n BETWEEN 2 AND (SELECT max(n) FROM tree)""",
         "shard_union_merge": f"{full} SELECT n, digest, min(tree_id) AS tree_id, count(DISTINCT tree_id % 4) AS shards FROM ({sha}) GROUP BY 1, 2",
         "resume_anti_join": f"{full} SELECT n, digest, min(tree_id) AS tree_id FROM ({sha}) GROUP BY 1, 2 HAVING min(tree_id) > (SELECT max(tree_id) // 2 FROM tree)",
         "meta_upsert": "SELECT user_id || '/' || event_type AS key, max(event_id) AS version, max(event_id)::VARCHAR AS value FROM events GROUP BY 1",
         "pair_equal": f"{full}, p AS (SELECT tree_id AS a, polynomial, lead(tree_id) OVER w AS b, lead(polynomial) OVER w AS q FROM named WINDOW w AS (PARTITION BY n, tree_id // 1024 ORDER BY tree_id)) SELECT a, b, polynomial = q AS equal, CASE WHEN polynomial = q THEN 'The special functions are equal.' ELSE 'The special functions are different.' END AS verdict FROM p WHERE b IS NOT NULL",
         "variance_groups": f"{some} SELECT n::BIGINT AS n, length, numerator, count(*) AS trees, min(tree_id) AS first_tree FROM named JOIN (SELECT id, count(*) AS length, (count(*) * sum(x * x) - sum(x) * sum(x))::HUGEINT::VARCHAR AS numerator FROM dense GROUP BY 1) USING (id) GROUP BY 1, 2, 3",
+        "coefficient_moments": f"{some} SELECT tree_id, mean, variance FROM named JOIN (SELECT id, sum(x)::DOUBLE / count(*) AS mean, (count(*) * sum(x * x) - sum(x) * sum(x))::HUGEINT::DOUBLE / (count(*) * count(*)) AS variance FROM dense GROUP BY 1) USING (id)",
         "text_formats": """SELECT o_orderkey, CASE WHEN s >= 86400 THEN printf('%dd %02dh %02dm', s // 86400, s % 86400 // 3600, s % 3600 // 60)
             WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%dm %02ds', s // 60, s % 60) END AS duration, format('{:,}', s) AS count_text
             FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS s FROM orders)""",

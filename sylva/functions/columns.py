@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of modes, and the form of keys.
 BUCKET_MODES = ("leaves+minsum", "leaves", "known", "none")
 
 
@@ -93,6 +94,14 @@ def variance_sums(coeffs: Column) -> tuple[Column, Column]:
     return coefficient_sum(coeffs), F.aggregate(coeffs, zero, lambda a, x: (a + (x * x).cast("decimal(38,0)")).cast("decimal(38,0)"))
 
 
+def mean_and_variance(coeffs: Column) -> tuple[Column, Column]:
+    """Mean and variance of the coefficients as doubles, for display; equality is told by ``variance_sums``."""
+    total, squares = variance_sums(coeffs)
+    n = F.size(coeffs)
+    top = (squares * n - total * total).cast("decimal(38,0)")
+    return total.cast("double") / n, top.cast("double") / (n * n)
+
+
 def duration_text(seconds: Column) -> Column:
     """``1d 02h 03m``, ``1h 02m 03s``, ``2m 03s``; ``?`` for null, NaN and infinite values; below zero counts as zero."""
     s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")

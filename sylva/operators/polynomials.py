@@ -8,6 +8,7 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylva.functions.trees import digest, packed_polynomial, tree_form, tree_measures, unpack
 from sylva.runtime import materialize, ship_package
@@ -15,6 +16,7 @@ from sylva.runtime import materialize, ship_package
 #: With as many colours as vertices, coefficients fit DECIMAL(38,0) up to this size.
 MAX_VERTICES = 26
 _COEFFS = pa.list_(pa.decimal128(38, 0))
+_COMPUTED = T.StructType([T.StructField("coeffs", T.ArrayType(T.DecimalType(38, 0))), T.StructField("digest", T.BinaryType())])
 
 
 def with_form(trees: DataFrame) -> DataFrame:
@@ -24,28 +26,33 @@ def with_form(trees: DataFrame) -> DataFrame:
     return trees.join(shapes, F.col("parent") == F.col("shape")).drop("shape")
 
 
-def class_polynomials(classes: DataFrame, colours: int | None = None) -> DataFrame:
-    """form, coeffs, digest of each row of ``classes`` (form, parent); ``colours`` defaults to the number of vertices.
+def tree_polynomials(trees: DataFrame, colours: int | None = None) -> DataFrame:
+    """Adds coeffs and digest to each row of ``trees`` (parent); for tables with a row for each class of trees.
 
-    mapInArrow is opaque to the optimizer: no later filter makes the polynomials be computed twice. A coefficient beyond
-    38 digits is an error.
+    ``colours`` defaults to the number of vertices. mapInArrow is opaque to the optimizer: no later filter makes the
+    polynomials be computed twice. A coefficient beyond 38 digits is an error.
     """
-    ship_package(classes.sparkSession)
+    ship_package(trees.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parents = batch.column("parent").to_pylist()
             packed = [packed_polynomial(p, colours or len(p)) for p in parents]
             coeffs = [[Decimal(x) for x in unpack(v, len(p), colours or len(p))] for v, p in zip(packed, parents, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("form"), pa.array(coeffs, _COEFFS), pa.array([digest(v) for v in packed], pa.binary())], ["form", "coeffs", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coeffs, _COEFFS), pa.array([digest(v) for v in packed], pa.binary())], [*batch.schema.names, "coeffs", "digest"])
+
+    return trees.mapInArrow(compute, T.StructType([*trees.schema.fields, *_COMPUTED.fields]))
 
-    return classes.select("form", "parent").mapInArrow(compute, "form string, coeffs array<decimal(38,0)>, digest binary")
+
+def class_polynomials(classes: DataFrame, colours: int | None = None) -> DataFrame:
+    """form, coeffs, digest of each row of ``classes`` (form, parent)."""
+    return tree_polynomials(classes.select("form", "parent"), colours).drop("parent")
 
 
 def with_polynomial(trees: DataFrame, colours: int | None = None) -> DataFrame:
     """Adds form, coeffs and digest. Classes are few next to trees: they are found by partial aggregation, spread again for
     the costly step, and joined back; the join is broadcast only if the classes turn out small at run time."""
-    named = with_form(trees)
+    named = materialize(with_form(trees), "forms")  # read twice
     classes = named.groupBy("form").agg(F.min("parent").alias("parent"))
     known = class_polynomials(classes.repartition("form"), colours)
     return named.join(known, "form")

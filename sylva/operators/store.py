@@ -11,6 +11,7 @@ from sylva.operators.search import keep_first
 VERSION = "1"
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("version", T.LongType())])
 SEEN = "bucket string, digest binary, graph6 string, tree_index long, form string, coeffs array<decimal(38,0)>"
+FIRSTS = "bucket string, digest binary, coeffs array<decimal(38,0)>, tree_index long, graph6 string, form string"
 COLLISIONS = "bucket string, digest binary, graph6_a string, graph6_b string, tree_index_a long, tree_index_b long, created_at timestamp"
 
 
@@ -36,6 +37,7 @@ class SearchStore:
 
     def __init__(self, spark: SparkSession, path: str, **settings):
         self.spark, self.path = spark, path.rstrip("/")
+        """Without settings: a store that is there already, with the settings it was made with."""
         settings = {"program_version": VERSION, **{k: str(v) for k, v in settings.items()}}
         have = self._read("meta", META)
         stored = {r.key: r.value for r in have.collect()} if have is not None else {}
@@ -43,8 +45,15 @@ class SearchStore:
         if other:
             raise SettingsMismatch(f"{path} was made with other settings: {other}")
         if not stored:
+            if "n" not in settings:
+                raise SettingsMismatch(f"{path} is no stored search")
             spark.createDataFrame([(k, v, 0) for k, v in settings.items()], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
-        self.settings = settings
+        self.settings = stored | settings
+
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/meta")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
     def _read(self, name: str, schema) -> DataFrame | None:
         jvm = self.spark._jvm
@@ -57,6 +66,11 @@ class SearchStore:
         got = self._read("seen", SEEN + ", upto long")
         return got.drop("upto") if got is not None else self.spark.createDataFrame([], SEEN)
 
+    def firsts(self) -> DataFrame:
+        """The first tree of each key of all ranges that are done; ranges come in the order of their trees."""
+        got = self._read("firsts", FIRSTS + ", upto long")
+        return got.drop("upto") if got is not None else self.spark.createDataFrame([], FIRSTS)
+
     def found(self) -> DataFrame:
         """Collisions, each pair once however often a range ran."""
         got = self._read("collisions", COLLISIONS + ", upto long")
@@ -69,13 +83,28 @@ class SearchStore:
         last = got.agg(F.max("upto")).first()[0] if got is not None else None
         return -1 if last is None else last
 
-    def commit(self, seen: DataFrame, pairs: DataFrame, upto: int) -> None:
+    def commit(self, seen: DataFrame, firsts: DataFrame, pairs: DataFrame, upto: int) -> None:
         """Write a range's rows, and last its mark."""
+        firsts.write.mode("overwrite").parquet(f"{self.path}/firsts/upto={upto}")
         seen.write.mode("overwrite").parquet(f"{self.path}/seen/upto={upto}")
         pairs.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self.path}/collisions/upto={upto}")
         self.spark.createDataFrame([(upto,)], "upto long").coalesce(1).write.mode("append").parquet(f"{self.path}/ranges")
 
 
+def new_firsts(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """The first tree of each key of ``seen`` that ``known`` hasn't."""
+    key = ["bucket", "digest", "coeffs"]
+    first = seen.groupBy(*key).agg(F.min_by(F.struct("tree_index", "graph6", "form"), "tree_index").alias("f"))
+    return first.join(known.select(*key), key, "left_anti").select(*key, "f.*")
+
+
+def pairs_with_firsts(seen: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Each tree of ``seen`` with the first one of its key, a tree of another form."""
+    f = firsts.select("bucket", "digest", "coeffs", F.col("tree_index").alias("tree_index_a"), F.col("graph6").alias("graph6_a"), F.col("form").alias("form_a"))
+    both = seen.join(f, ["bucket", "digest", "coeffs"]).filter("form <> form_a")
+    return both.select("bucket", "digest", "graph6_a", F.col("graph6").alias("graph6_b"), "tree_index_a", F.col("tree_index").alias("tree_index_b"))
+
+
 def merge_stores(stores: list[SearchStore]) -> tuple[DataFrame, DataFrame]:
     """All trees seen and all collisions of shards of one search, those across shards included; settings must agree."""
     agree = {tuple((k, s.settings[k]) for k in ("program_version", "n", "bucket_mode")) for s in stores}

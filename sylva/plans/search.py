@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.columns import coefficient_sum, min_exponent, polynomial_text
-from sylva.operators.search import scan_forest, with_bucket
-from sylva.operators.polynomials import with_polynomial
-from sylva.operators.store import SearchStore, merge_stores, pairs_of_seen
-from sylva.runtime import materialize
+from sylva.functions.trees import graph6_parent
+from sylva.operators.polynomials import tree_polynomials
+from sylva.operators.search import collision_reports, keep_multiple, with_bucket
+from sylva.operators.store import SearchStore, merge_stores, new_firsts, pairs_with_firsts
+from sylva.runtime import discard, materialize, ship_package
 from sylva.sources.enumeration import enumerate_trees
 from sylva.sources.tables import write_dataset
 
@@ -31,50 +33,82 @@ def check_polynomials(rows: DataFrame, colours: int | None = None) -> DataFrame:
     return rows.filter(bad | (padded != F.reverse(padded)))
 
 
-def search(spark: SparkSession, n: int, path: str, mode: str = "leaves+minsum", colours: int | None = None, shards: int = 1, shard_index: int = 0, two_pass: bool = True, range_size: int = 1 << 20, max_trees: int | None = None, stop_on_collision: bool = True, validate_every: int = 10_000) -> DataFrame:
+def candidates(spark: SparkSession, n: int, mode: str = "leaves+minsum", two_pass: bool = True, max_trees: int | None = None) -> DataFrame:
+    """Pass 1, written once for all ranges and shards: the trees of n vertices with their buckets; with two passes only those
+    whose bucket has others, over all shards, so that shards keep the same trees as one run."""
+    bucketed = materialize(with_bucket(enumerate_trees(spark, n, max_trees), mode), "candidates")
+    return keep_multiple(bucketed) if two_pass and mode != "none" else bucketed
+
+
+def search(
+    spark: SparkSession, n: int, path: str, mode: str = "leaves+minsum", colours: int | None = None, shards: int = 1, shard_index: int = 0, two_pass: bool = True, range_size: int = 1 << 20,
+    max_trees: int | None = None, stop_on_collision: bool = True, validate_every: int = 10_000, trees: DataFrame | None = None,
+) -> DataFrame:
     """Collisions among all trees of n vertices, stored under ``path``; goes on after what is stored there.
 
-    With ``stop_on_collision`` no further range is begun after one that has a collision.
+    Only the trees of a range and shard get polynomials; a range meets the first tree of each stored key, not all trees seen.
+    ``trees`` are the ``candidates``, where they are made already. With ``stop_on_collision`` no further range is begun after
+    one that has a collision.
     """
     if n < 2 or not 0 <= shard_index < shards:
         raise ValueError("n is at least 2 and the shard index below the number of shards")
     store = SearchStore(spark, path, n=n, bucket_mode=mode, colours=colours or n, shards=shards, shard_index=shard_index, two_pass=two_pass)
-    trees = enumerate_trees(spark, n, max_trees)
-    if two_pass and mode != "none":  # pass 1 counts over all shards, so that shards keep the same trees as one run
-        scanned = scan_forest(trees, mode, colours)
-    else:
-        scanned = with_polynomial(with_bucket(trees, mode), colours)
+    if trees is None:
+        trees = candidates(spark, n, mode, two_pass, max_trees)
     last = trees.agg(F.max("tree_index")).first()[0]
     last = -1 if last is None else last
+    tasks = 4 * spark.sparkContext.defaultParallelism
     while (done := store.checkpoint()) < last:
         upto = min(done + range_size, last)
-        part = scanned.filter((F.col("tree_index") > done) & (F.col("tree_index") <= upto) & (F.col("tree_index") % shards == shard_index))
-        part = materialize(part, "search-range")
+        part = trees.filter((F.col("tree_index") > done) & (F.col("tree_index") <= upto) & (F.col("tree_index") % shards == shard_index))
+        # each enumerated tree is a class of its own, so that its label names it
+        part = materialize(tree_polynomials(part.withColumn("form", F.col("graph6")).repartition(tasks), colours), "search-range")
         if validate_every and check_polynomials(part.filter(F.col("tree_index") % validate_every == 0), colours).limit(1).count():
             raise RuntimeError("a polynomial breaks an invariant")
         seen = part.select("bucket", "digest", "graph6", "tree_index", "form", "coeffs")
-        pairs = pairs_of_seen(store.seen().unionByName(seen)).filter(F.col("tree_index_b") > done)
-        store.commit(seen, materialize(pairs, "search-pairs"), upto)
+        known = store.firsts()
+        firsts = materialize(new_firsts(seen, known), "search-firsts")
+        pairs = pairs_with_firsts(seen, known.unionByName(firsts))
+        store.commit(seen, firsts, pairs, upto)
+        discard(part, firsts)
         if stop_on_collision and store.found().limit(1).count():
             break
     return store.found()
 
 
 def search_sharded(spark: SparkSession, n: int, path: str, shards: int = 4, **options) -> tuple[DataFrame, DataFrame]:
-    """Each shard's search, then all of them merged: trees seen, collisions."""
+    """Each shard's search, then all of them merged: trees seen, collisions. Trees are enumerated and bucketed once."""
     options.setdefault("stop_on_collision", False)
     mode, colours, two_pass = options.get("mode", "leaves+minsum"), options.get("colours"), options.get("two_pass", True)
+    trees = candidates(spark, n, mode, two_pass, options.get("max_trees"))
     stores = []
     for k in range(shards):
         where = f"{path}/n={n}/mode={mode}/shards={shards}/shard={k}"
-        search(spark, n, where, shards=shards, shard_index=k, **options)
+        search(spark, n, where, shards=shards, shard_index=k, trees=trees, **options)
         stores.append(SearchStore(spark, where, n=n, bucket_mode=mode, colours=colours or n, shards=shards, shard_index=k, two_pass=two_pass))
     return merge_stores(stores)
 
 
+def write_reports(pairs: DataFrame, n: int, path: str, colours: int | None = None) -> int:
+    """Write a JSON report for each collision of trees of n vertices, one a line; returns the number of reports."""
+    ship_package(pairs.sparkSession)
+    pairs = pairs.select(F.lit(n).alias("n"), "bucket", "tree_index_a", "tree_index_b", "graph6_a", "graph6_b")
+    both = pairs.select(F.col("tree_index_a").alias("tree_index"), F.col("graph6_a").alias("graph6")).unionByName(pairs.select(F.col("tree_index_b").alias("tree_index"), F.col("graph6_b").alias("graph6"))).distinct()
+    trees = materialize(tree_polynomials(with_bucket(both.withColumn("parent", graph6_parent.asNondeterministic()("graph6")).withColumn("n", F.lit(n)), "none"), colours), "reported")
+    coeffs = trees.select(F.col("tree_index").alias("tree_index_a"), "coeffs")
+    reports = collision_reports(pairs.drop("graph6_a", "graph6_b").join(coeffs, "tree_index_a"), trees)
+    reports = materialize(reports, "reports")
+    reports.orderBy("tree_index_b").write.mode("errorifexists").json(path)
+    return reports.count()
+
+
+def report_name(n: int) -> str:
+    return f"COLLISION_CORRECTED_n{n}_{int(time.time())}.json"
+
+
 def build_dataset(spark: SparkSession, n: int, path: str) -> int:
     """Write graph6 and polynomial of all trees of n vertices as CSV in enumeration order; returns the rows."""
-    rows = with_polynomial(enumerate_trees(spark, n)).select("tree_index", "graph6", polynomial_text(F.col("coeffs")).alias("polynomial"))
+    rows = tree_polynomials(enumerate_trees(spark, n)).select("tree_index", "graph6", polynomial_text(F.col("coeffs")).alias("polynomial"))
     return write_dataset(rows, path)
 
 
@@ -84,7 +118,7 @@ def self_test(spark: SparkSession, largest: int = 7) -> int:
 
     count = 0
     for n in range(2, largest + 1):
-        rows = materialize(with_polynomial(with_bucket(enumerate_trees(spark, n), "none")), "self-test")
+        rows = materialize(tree_polynomials(with_bucket(enumerate_trees(spark, n), "none")), "self-test")
         if check_polynomials(rows).limit(1).count():
             raise RuntimeError(f"n={n}: a polynomial breaks an invariant")
         long = rows.select(F.col("tree_index").alias("tree_id"), F.posexplode("coeffs").alias("degree", "coefficient")).filter("coefficient <> 0")
@@ -96,11 +130,13 @@ def self_test(spark: SparkSession, largest: int = 7) -> int:
 
 
 def main(argv: list[str] | None = None) -> None:
+    # names and defaults of commands and options are fixed values
     parser = argparse.ArgumentParser(prog="sylva", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
     scan = sub.add_parser("scan", help="search one shard")
     scan.add_argument("n", type=int)
-    scan.add_argument("--store", default="search-store")
+    scan.add_argument("--db", default="search-store", help="folder of the stored state")
+    scan.add_argument("--resume", action="store_true", help="go on after what is stored; else the folder must be new")
     scan.add_argument("--bucket-mode", default="leaves+minsum")
     scan.add_argument("--shards", type=int, default=1)
     scan.add_argument("--shard-index", type=int, default=0)
@@ -108,23 +144,46 @@ def main(argv: list[str] | None = None) -> None:
     scan.add_argument("--validate-every", type=int, default=10_000)
     scan.add_argument("--range-size", type=int, default=1 << 20)
     scan.add_argument("--no-two-pass", action="store_true")
+    scan.add_argument("--collision-report", help="where to write reports of collisions")
     scan.add_argument("--stop-on-collision", action=argparse.BooleanOptionalAction, default=True)
+    merge = sub.add_parser("merge", help="put the stored states of shards together")
+    merge.add_argument("output")
+    merge.add_argument("databases", nargs="+")
+    merge.add_argument("--collision-report")
     sharded = sub.add_parser("sharded", help="search all shards and merge them")
     sharded.add_argument("--n", type=int, default=19)
-    sharded.add_argument("--store", default="search-store")
+    sharded.add_argument("--db", default="search-store")
     sharded.add_argument("--shards", type=int, default=4)
     sharded.add_argument("--bucket-mode", default="leaves+minsum")
+    sharded.add_argument("--collision-report")
     build = sub.add_parser("build", help="write the data set of one size")
     build.add_argument("--n", type=int, required=True)
     build.add_argument("--output", default="public_dataset")
     sub.add_parser("self-test")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sylva").getOrCreate()
+
+    def tell(seen: int | None, pairs: DataFrame, n: int) -> None:
+        pairs.show(truncate=False)
+        print((f"{seen} trees, " if seen is not None else "") + f"{pairs.count()} collisions")
+        if pairs.limit(1).count():
+            where = a.collision_report or report_name(n)
+            print(f"{write_reports(pairs, n, where)} reports in {where}")
+
     if a.command == "scan":
-        search(spark, a.n, a.store, a.bucket_mode, None, a.shards, a.shard_index, not a.no_two_pass, a.range_size, a.max_trees, a.stop_on_collision, a.validate_every).show(truncate=False)
+        if not a.resume and SearchStore.exists(spark, a.db):
+            parser.error(f"{a.db} is there already; give --resume to go on")
+        pairs = search(spark, a.n, a.db, a.bucket_mode, None, a.shards, a.shard_index, not a.no_two_pass, a.range_size, a.max_trees, a.stop_on_collision, a.validate_every)
+        tell(None, pairs, a.n)
+    elif a.command == "merge":
+        stores = [SearchStore(spark, path) for path in a.databases]
+        seen, pairs = merge_stores(stores)
+        seen.write.mode("errorifexists").parquet(f"{a.output}/seen")
+        pairs.write.mode("errorifexists").parquet(f"{a.output}/collisions")
+        tell(spark.read.parquet(f"{a.output}/seen").count(), spark.read.parquet(f"{a.output}/collisions"), int(stores[0].settings["n"]))
     elif a.command == "sharded":
-        seen, pairs = search_sharded(spark, a.n, a.store, a.shards, mode=a.bucket_mode)
-        print(f"{seen.count()} trees, {pairs.count()} collisions")
+        seen, pairs = search_sharded(spark, a.n, a.db, a.shards, mode=a.bucket_mode)
+        tell(seen.count(), pairs, a.n)
     elif a.command == "build":
         print(f"{build_dataset(spark, a.n, os.path.join(a.output, f'trees_n{a.n}'))} trees")
     else:

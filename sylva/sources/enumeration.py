@@ -1,8 +1,10 @@
-"""All trees of n vertices up to isomorphism, after Wright, Richmond, Odlyzko and McKay (SIAM J. Comput. 1986)."""
+"""All trees of n vertices up to isomorphism, after Wright, Richmond, Odlyzko and McKay, "Constant time generation of free
+trees" (SIAM J. Comput. 15, 1986), in the paper's form with arrays of levels and parents."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,52 +17,118 @@ from sylva.runtime import ship_package
 STRIDE = 2000
 
 
-def _successor(levels: list[int], at: int | None = None) -> list[int] | None:
-    """The next rooted layout: the block that starts at the parent of position ``at`` repeats from there on."""
-    if at is None:
-        at = max((i for i, x in enumerate(levels) if x != 1), default=0)
-    if at == 0:
-        return None
-    base = max(i for i in range(at) if levels[i] == levels[at] - 1)
-    out = levels[:at]
-    for i in range(at, len(levels)):
-        out.append(out[i - (at - base)])
-    return out
-
-
-def _halves(levels: list[int]) -> tuple[list[int], list[int]]:
-    """The first subtree of the root, and the tree without it."""
-    ones = [i for i, x in enumerate(levels) if x == 1]
-    cut = ones[1] if len(ones) > 1 else len(levels)
-    return [x - 1 for x in levels[1:cut]], [0, *levels[cut:]]
-
-
-def _settle(levels: list[int]) -> list[int]:
-    """The layout itself if it stands for a free tree, else the next one that does."""
-    if len(levels) < 3:
-        return levels
-    left, rest = _halves(levels)
-    a, b = (max(left), len(left), left), (max(rest), len(rest), rest)
-    if a <= b:
-        return levels
-    at = len(left)
-    out = _successor(levels, at)
-    if levels[at] > 2:
-        tail = range(1, max(_halves(out)[0]) + 2)
-        out[-len(tail) :] = tail
-    return out
-
-
-def layouts(n: int, start: list[int] | None = None) -> Iterator[list[int]]:
-    """The level sequences of all trees of n vertices, from the first or from a given one on."""
-    levels = start or [*range(n // 2 + 1), *range(1, (n + 1) // 2)]
-    while levels is not None:
-        levels = _settle(levels)
-        yield levels
-        levels = _successor(levels)
+@dataclass
+class Layout:
+    """A free tree of n vertices as the paper's state, indices from 1: levels (1 at the root), parents, and the marks that make
+    the next tree cost a constant on average. p: where the next change begins; q: the parent of p, 0 after the last tree; h1, h2: ends
+    of the first longest path of the first subtree of the root and of the rest; r: last vertex of that subtree; c: where the
+    rest, if it is as high and as large, becomes smaller than the subtree."""
+
+    n: int
+    level: list[int]
+    parent: list[int]
+    p: int
+    q: int
+    h1: int
+    h2: int
+    r: int
+    c: int
+
+    @staticmethod
+    def first(n: int) -> Layout:
+        """Two paths of half the vertices each, from the root."""
+        k, never = n // 2 + 1, n + 2
+        level = [0, *range(1, k + 1), *range(2, n - k + 2)]
+        parent = [0, *range(k), *([1] if n > k else []), *range(k + 1, n)]
+        return Layout(n, level, parent, 3 if n == 4 else n, 0 if n <= 3 else n - 1, k, n, k, never if n % 2 else n + 1)
+
+    def state(self) -> list[int]:
+        return [*self.level[1:], *self.parent[1:], self.p, self.q, self.h1, self.h2, self.r, self.c]
+
+    @staticmethod
+    def of(state: list[int]) -> Layout:
+        n = (len(state) - 6) // 2
+        return Layout(n, [0, *state[:n]], [0, *state[n : 2 * n]], *state[2 * n :])
+
+    def advance(self) -> bool:
+        """To the next tree; false if this is the last."""
+        if not self.q:
+            return False
+        n, never, level, parent = self.n, self.n + 2, self.level, self.parent
+        p, q, h1, h2, r, c = self.p, self.q, self.h1, self.h2, self.r, self.c
+        # the first subtree stays the larger one, by height, then by size, then by levels; else it must shrink itself
+        rest = n - h2
+        equal = c == n + 1 or p == h2 and (level[h1] == level[h2] + 1 and rest > r - h1 or level[h1] == level[h2] and rest + 1 < r - h1)
+        anew = equal and level[r] > 3
+        if equal:
+            p = r
+            if anew:
+                q = parent[r]
+                h1 -= h1 == r
+            else:
+                r, q = r - 1, 2
+        find_r = find_c = find_h2 = False
+        h1 = min(h1, p - 1)
+        if p <= r:
+            find_r = True
+        elif p <= h2:
+            find_h2 = True
+        elif level[h2] == level[h1] - 1 and rest == r - h1:
+            find_c = p <= c
+        else:
+            c = never
+        at, back, top, above = p, p - q, level[q], parent[q]
+        p = 0
+        for i in range(at, n + 1):  # all from here on repeats what stands before, from the parent on
+            level[i] = level[i - back]
+            if level[i] == 2:
+                parent[i] = 1
+            else:
+                p = i
+                q = above if level[i] == top else parent[i - back] + back
+                parent[i] = q
+            if find_r and level[i] == 2:
+                find_r, find_h2, r = False, True, i - 1
+            if find_h2 and level[i] <= level[i - 1] and i > r + 1:
+                find_h2, h2 = False, i - 1
+                find_c = level[h2] == level[h1] - 1 and n - h2 == r - h1
+                if not find_c:
+                    c = never
+            if find_c:
+                find_c = level[i] == level[h1 - h2 + i] - 1
+                c = i + 1 if find_c else i
+        if anew:  # the rest becomes a path as high as the subtree
+            r = n - h1 + 1
+            for i in range(r + 1, n + 1):
+                level[i], parent[i] = i - r + 1, i - 1
+            parent[r + 1] = 1
+            h2 = p = n
+            q, c = n - 1, never
+        else:
+            if not p:
+                p = at - 1 if level[at - 1] != 2 else at - 2
+                q = parent[p]
+            if find_h2:
+                h2 = n
+                c = n + 1 if level[h2] == level[h1] - 1 and h1 == r else never
+        self.p, self.q, self.h1, self.h2, self.r, self.c = p, q, h1, h2, r, c
+        return True
+
+    def levels(self) -> list[int]:
+        """Levels in preorder, 0 at the root."""
+        return [x - 1 for x in self.level[1:]]
+
+
+def layouts(n: int, start: list[int] | None = None) -> Iterator[Layout]:
+    """The trees of n vertices, from the first or from a given state on; each is valid until the next is taken."""
+    tree = Layout.of(start) if start else Layout.first(n)
+    yield tree
+    while tree.advance():
+        yield tree
 
 
 def layout_parent(levels: list[int]) -> list[int]:
+    """Parents of vertices in preorder by their levels; -1 for the root."""
     last, parent = {}, []
     for i, x in enumerate(levels):
         parent.append(last.get(x - 1, -1))
@@ -77,7 +145,8 @@ def layout_graph6(levels: list[int]) -> str:
 def enumerate_trees(spark: SparkSession, n: int, max_trees: int | None = None, stride: int = STRIDE) -> DataFrame:
     """tree_index, n, parent, graph6 of the trees of n vertices (2 or more), in the order of the algorithm.
 
-    One task walks through the layouts and hands out every ``stride``-th as a seed; other tasks make the trees from there.
+    One task walks through the trees, at a constant cost each, and hands out every ``stride``-th state; other tasks make the
+    trees from there, and all that is costly about a tree is done where it is made.
     """
     if n < 2:
         raise ValueError("trees are enumerated from 2 vertices on")
@@ -86,24 +155,25 @@ def enumerate_trees(spark: SparkSession, n: int, max_trees: int | None = None, s
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _ in range(batch.num_rows):
-                for i, levels in enumerate(layouts(n)):
+                for i, tree in enumerate(layouts(n)):
                     if max_trees is not None and i >= max_trees:
                         break
                     if i % stride == 0:
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([levels], pa.list_(pa.int32()))], ["first", "levels"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([tree.state()], pa.list_(pa.int32()))], ["first", "state"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, start in zip(batch.column("first").to_pylist(), batch.column("levels").to_pylist(), strict=True):
+            for first, start in zip(batch.column("first").to_pylist(), batch.column("state").to_pylist(), strict=True):
                 rows = []
                 end = min(first + stride, max_trees) if max_trees is not None else first + stride
-                for i, levels in enumerate(layouts(n, start), first):
+                for i, tree in enumerate(layouts(n, start), first):
                     if i >= end:
                         break
+                    levels = tree.levels()
                     rows.append((i, layout_parent(levels), layout_graph6(levels)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])], ["tree_index", "n", "parent", "graph6"])
 
-    first = spark.range(0, 1, 1, 1).mapInArrow(seeds, "first long, levels array<int>")
+    first = spark.range(0, 1, 1, 1).mapInArrow(seeds, "first long, state array<int>")
     return first.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(grow, "tree_index long, n int, parent array<int>, graph6 string")
 
 
@@ -115,7 +185,8 @@ def register_functions(spark: SparkSession) -> None:
 
     class Enumerate:
         def eval(self, n: int):
-            for i, levels in enumerate(layouts(n)):
+            for i, tree in enumerate(layouts(n)):
+                levels = tree.levels()
                 yield i, layout_parent(levels), layout_graph6(levels)
 
     spark.udtf.register("enumerate_trees", F.udtf(Enumerate, returnType="tree_index: bigint, parent: array<int>, graph6: string"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.trees import rooted
+from sylva.functions.trees import graph6_parent, rooted
 from sylva.runtime import ship_package, table
 
 
@@ -28,9 +31,9 @@ def trees_of_edges(edges: DataFrame) -> DataFrame:
     """tree_id, n, parent from an edge table (tree_id, u, v); vertices are 0 .. number of edges. Fails for what is no tree."""
     ship_package(edges.sparkSession)
 
-    @F.udf("array<int>")
-    def parents(pairs):
-        return rooted(len(pairs) + 1, [(p.u, p.v) for p in pairs])
+    @F.arrow_udf("array<int>")
+    def parents(pairs: pa.Array) -> pa.Array:
+        return pa.array([rooted(len(p) + 1, [(x["u"], x["v"]) for x in p]) for p in pairs.to_pylist()], pa.list_(pa.int32()))
 
     return edges.groupBy("tree_id").agg(F.collect_list(F.struct("u", "v")).alias("pairs")).select("tree_id", (F.size("pairs") + 1).alias("n"), parents("pairs").alias("parent"))
 
@@ -48,6 +51,13 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("graph6 string, polynomial string").option("header", True).option("escape", '"').csv(path)
 
 
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """graph6, polynomial, n, m (vertices and edges) and parent of the trees of a data set."""
+    ship_package(spark)
+    rows = read_dataset(spark, path).withColumn("parent", graph6_parent.asNondeterministic()("graph6"))
+    return rows.select("graph6", "polynomial", F.size("parent").alias("n"), (F.size("parent") - 1).alias("m"), "parent")
+
+
 def write_dataset(df: DataFrame, path: str, order: str = "tree_index", single: bool = True) -> int:
     """Write graph6, polynomial in the order of a column as CSV; one file where ``single``. Returns the rows, checked by count."""
     rows = df.count()
@@ -67,8 +77,11 @@ def cached_bucket_counts(spark: SparkSession, path: str, n: int, mode: str, coun
         old = spark.read.schema(schema).option("mode", "FAILFAST").json(path).filter((F.col("n") == n) & (F.col("bucket_mode") == mode)).filter("counts is not null")
         if old.limit(1).count():
             return old.select(F.explode("counts").alias("bucket", "count"))
-    except Exception:  # noqa: BLE001, S110 - whatever is wrong with a cache, it is made anew
+    except AnalysisException:  # there is none
         pass
+    except (PySparkException, Py4JJavaError) as e:  # a broken one is made anew; failures of the cluster are not its own
+        if not any(x in str(e) for x in ("MALFORMED_RECORD", "ChecksumException", "CANNOT_PARSE")):
+            raise
     fresh = count().select("bucket", F.col("count").cast("long").alias("count"))
     one = fresh.orderBy("bucket").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "count")))).alias("counts"))
     one.select(F.lit(n).alias("n"), F.lit(mode).alias("bucket_mode"), "counts").coalesce(1).write.mode("overwrite").json(path)

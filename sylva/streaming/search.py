@@ -7,29 +7,55 @@ from pyspark.sql import functions as F
 
 from sylva.operators.search import keep_first
 from sylva.operators.store import leave_out_known
-from sylva.runtime import scratch_path
+from sylva.runtime import discard, materialize, scratch_path
 
 KEY = ("n", "digest")
 
 
-def stream_first_seen(spark: SparkSession, source: str, schema, files_per_batch: int = 4) -> DataFrame:
-    """n, digest, tree_id of the first tree of each key, over the tree files under ``source`` (n, digest, tree_id).
+def _follow(spark: SparkSession, source: str, schema, absorb, files_per_batch: int) -> None:
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    query = stream.writeStream.foreachBatch(absorb).option("checkpointLocation", scratch_path(spark, "stream-log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def stream_collisions(spark: SparkSession, source: str, schema, files_per_batch: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The first tree of each key (n, digest, tree_id), and the pairs (n, digest, tree_id_a, tree_id_b) of each other tree
+    with it, over the tree files under ``source`` (n, digest, tree_id).
 
-    A batch's rows are written under its number and replace themselves if the batch is run again, so that each batch counts
-    once. Keys are settled by the smallest tree_id of all batches: the order of arrival doesn't matter.
+    A batch is joined to the first trees of earlier batches only, not to all trees seen; its new first trees and its pairs
+    are written under its number and replace themselves if the batch is run again, so that each batch counts once. Pairs
+    are told as soon as a tree arrives, with the first one to have arrived; in the results the smallest tree_id of a key is
+    its first, so that they don't depend on the order of arrival.
     """
-    state = scratch_path(spark, "stream-seen")
+    firsts, pairs = scratch_path(spark, "stream-first"), scratch_path(spark, "stream-pairs")
+    known_schema, pair_schema = schema_of(schema, *KEY, "tree_id"), "n long, digest string, tree_id_a long, tree_id_b long"
+    spark.createDataFrame([], known_schema).write.parquet(f"{firsts}/batch=-1")
+    spark.createDataFrame([], pair_schema).write.parquet(f"{pairs}/batch=-1")
 
     def absorb(batch: DataFrame, number: int) -> None:
-        first = keep_first(batch.select(*KEY, "tree_id"), KEY, "tree_id")
-        first.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        rows = materialize(batch.select(*KEY, "tree_id"), "stream-batch")
+        known = spark.read.option("basePath", firsts).parquet(firsts).filter(F.col("batch") < number).select(*KEY, "tree_id")
+        leave_out_known(keep_first(rows, KEY, "tree_id"), known, KEY).write.mode("overwrite").parquet(f"{firsts}/batch={number}")
+        known = spark.read.option("basePath", firsts).parquet(firsts).filter(F.col("batch") <= number).select(*KEY, F.col("tree_id").alias("tree_id_a"))
+        told = rows.select(*KEY, F.col("tree_id").alias("tree_id_b")).join(known, list(KEY)).filter("tree_id_a <> tree_id_b")
+        told.select(F.col("n").cast("long").alias("n"), "digest", "tree_id_a", "tree_id_b").write.mode("overwrite").parquet(f"{pairs}/batch={number}")
+        discard(rows)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(absorb).option("checkpointLocation", scratch_path(spark, "stream-log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return keep_first(spark.read.parquet(f"{state}/*").select(*KEY, "tree_id"), KEY, "tree_id")
+    _follow(spark, source, schema, absorb, files_per_batch)
+    first = spark.read.parquet(f"{firsts}/*").select(*KEY, "tree_id")
+    told = spark.read.parquet(f"{pairs}/*")
+    # of each key the first to arrive may give way to a smaller one that came later
+    least = told.groupBy("n", "digest", "tree_id_a").agg(F.least(F.min("tree_id_b"), F.col("tree_id_a")).alias("least"))
+    both = told.join(least, ["n", "digest", "tree_id_a"])
+    settled = both.select("n", "digest", F.col("least").alias("tree_id_a"), F.when(F.col("tree_id_b") == F.col("least"), F.col("tree_id_a")).otherwise(F.col("tree_id_b")).alias("tree_id_b")).distinct()
+    smallest = first.join(least.select("n", "digest", "least"), list(KEY), "left").select(*KEY, F.coalesce("least", "tree_id").alias("tree_id"))
+    return smallest, settled
 
 
-def new_keys(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """The keys of a batch that no earlier one had."""
-    return leave_out_known(keep_first(batch.select(*KEY, "tree_id"), KEY, "tree_id"), known, KEY)
+def schema_of(schema, *names: str):
+    return type(schema)([schema[n] for n in names])
+
+
+def stream_first_seen(spark: SparkSession, source: str, schema, files_per_batch: int = 4) -> DataFrame:
+    """n, digest, tree_id of the first tree of each key."""
+    return stream_collisions(spark, source, schema, files_per_batch)[0]
