@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables: each stage's decisions take effect on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sylva.llm.registry import queries
 from sylva.runtime import table
@@ -38,6 +40,31 @@ def test_stages(spark):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= set(before) and out.count() > 0
 
 
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, extra columns of clashing names."""
+    docs = table(spark, SMALL, "documents").limit(120)
+    names = ["quality", "_quality", "toxicity", "gone", "cut", "row", "entries", "mix_epoch", "label", "features"]
+    long = " ".join(f"word{k % 977} of {k % 31}" for k in range(60_000)) + "."
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (9001, None, "en", "web", None), (9002, "", "en", None, 0), (9003, " \n\t", None, "web", 3), (9004, long, "en", "web", len(long)), (9004, long, "en", "web", len(long)), (None, "Some plain words without a number.", "en", "web", 34)],
+        docs.schema,
+    )
+    docs = docs.unionByName(odd).unionByName(docs.limit(3))
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    docs = corpus_pipeline.materialize(docs, "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, SMALL), f"odd-{name}")
+        assert docs.columns == before.columns and docs.exceptAll(before).filter("doc_id is null or doc_id > 9000").count() == 0
+        kept = [(r.doc_id, r.text) for r in docs.filter("doc_id is null or doc_id > 9000").collect()]
+        # no words, no id: nothing tells against them; copies of a doc_id stay together
+        assert {(None, None), (9001, None), (9002, ""), (9003, " \n\t")} <= set(kept) or name == "quality"
+        assert sum(t == long for _, t in kept) in (0, 2)
+        assert all(r[n] == k for k, n in enumerate(names) for r in docs.select(*names).distinct().collect())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert set(docs.columns) - {"mix_epoch"} < set(out.columns) and out.filter("mix_epoch = 0").count() <= docs.count()
+
+
 def test_stages_with_empty_documents(spark):
     docs = table(spark, SMALL, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

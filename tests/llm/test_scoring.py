@@ -149,6 +149,64 @@ def test_quality_held_out(data):
     assert all(0 <= r.expected_grade <= 2 for r in rows)
 
 
+def brute_features(text):
+    """feature: weight of a text after the definition: words, shapes of words, and words equal to the one before."""
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shape = lambda b: 97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
+    squeezed = bytearray()
+    for b in map(shape, (text or "").encode()):
+        if not squeezed or squeezed[-1] != b:
+            squeezed.append(b)
+
+    def hashed(b):
+        return int(quality.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+
+    out = Counter()
+    for w in words:
+        out[hashed(w.encode()) >> 50] += 1
+    for w in bytes(squeezed).split():
+        out[(hashed(w) >> 52) + quality.WORDS] += 1
+    out[quality.SIZE - 1] += sum(a == b for a, b in zip(words, words[1:]))
+    return {k: 10.0 * n / max(len(words), 1) for k, n in out.items() if n}
+
+
+def test_quality_scores_against_brute_force(spark, data):
+    docs, labels = data
+    model = quality.fit_quality(docs, labels)
+    texts = ["", None, "One two TWO two 3x ### Ünï *", "a  a a\n\na-b-c 12,5", *(r.text for r in docs.limit(30).collect())]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.q for r in rows.select("doc_id", quality.quality_udf(spark, model)(F.col("text").cast("binary")).alias("q")).collect()}
+    for i, t in enumerate(texts):
+        score = sum(float(model.weights[k]) * x for k, x in brute_features(t).items())
+        tails = [1 / (1 + np.exp(-(score - c))) for c in model.thresholds]
+        assert got[i].tail_prob == pytest.approx(tails[0], abs=1e-5) and got[i].expected_grade == pytest.approx(model.grades[0] + sum(p * d for p, d in zip(tails, np.diff(model.grades))), abs=1e-5)
+
+
+def test_ordinal_fit_is_near_the_best():
+    """No small change of a weight or threshold makes the graded documents likelier."""
+    rng = np.random.default_rng(1)
+    grade, feature = rng.integers(0, 3, 200), rng.integers(0, 5, 200)
+    m = quality.fit_ordinal(grade, feature, np.ones(200), np.arange(201))
+
+    def loss(weights, thresholds):
+        below = [np.zeros(200), *(1 / (1 + np.exp(weights[feature] - t)) for t in thresholds), np.ones(200)]
+        return -np.mean([np.log(below[g + 1][i] - below[g][i]) for i, g in enumerate(grade)]) + 0.5e-4 * (weights**2).sum()
+
+    w, t = m.weights.astype(float), m.thresholds
+    best = loss(w, t)
+    for k in range(5):
+        for step in (-0.05, 0.05):
+            other = w.copy()
+            other[k] += step
+            assert loss(other, t) > best - 2e-5
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            other = t.copy()
+            other[k] += step
+            assert loss(w, other) > best - 2e-5
+
+
 def test_ordinal_thresholds_are_ordered_and_recover_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 4, 600)
