@@ -14,7 +14,7 @@ from sylva.llm.jaccard_join import Rule, keep_one
 from sylva.llm.mixing import MixTarget, mix
 from sylva.llm.quality import fit_quality, quality_udf
 from sylva.llm.toxicity import fit_toxicity, with_score
-from sylva.runtime import fresh_name, materialize, table
+from sylva.runtime import discard, fresh_name, materialize, table
 
 #: Near-duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = Rule(words=5, num=4, den=5)
@@ -78,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the documents. The table of a stage is deleted when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
