@@ -13,6 +13,8 @@ import pyarrow as pa
 #: Bytes of text handled at once; bounds the working memory of a task whatever the batch holds.
 BLOCK_BYTES = 512 << 10
 _CHUNK = 256 << 10
+#: Longer spans are hashed by BLAKE2b: sums of powers modulo 2^64 can be made to collide from a thousand bytes on.
+_LONG = 512
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 WHITESPACE = np.zeros(256, bool)
@@ -113,8 +115,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         base = starts[at]
         end = int(np.searchsorted(ends, base + _CHUNK, "right"))
         if end <= at:  # one span longer than a chunk
-            raw = data[base : ends[at]].tobytes()
-            out[at] = int.from_bytes(hashlib.blake2b(raw.lower() if lower else raw, digest_size=8).digest(), "little")
             at += 1
             continue
         part = values[data[base : ends[end - 1]]]
@@ -124,6 +124,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         s, e = starts[at:end] - base, ends[at:end] - base
         out[at:end] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         at = end
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw.lower() if lower else raw, digest_size=8).digest(), "little")
     return out
 
 

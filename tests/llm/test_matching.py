@@ -202,6 +202,20 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_components(d.limit(0)).count() == 0
 
 
+def test_span_hashes_of_strings_that_collide_in_powers_of_an_odd_number():
+    """Thue-Morse words and their complements have equal sums of powers of any odd number modulo 2^64."""
+    import numpy as np
+
+    from sylva.llm._text import span_hashes
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048)).encode()
+    data = np.frombuffer(a + a.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    x, y = span_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert x != y
+    upper, lower = np.frombuffer(b"AbC" * 900, np.uint8), np.frombuffer(b"abc" * 900, np.uint8)
+    assert span_hashes(upper, np.array([0]), np.array([2700]), True) == span_hashes(lower, np.array([0]), np.array([2700]), True)
+
+
 def test_region_join_with_settled_points():
     import numpy as np
 
