@@ -41,8 +41,9 @@ def _hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def find_exponent(sources: DataFrame, target: MixTarget, probes: int = 16, passes: int = 9) -> float:
-    """The exponent of the shares: bisection between 0 (uniform) and 1 (natural), ``probes`` cuts in each pass over the sources.
+def find_exponent(sources: DataFrame, target: MixTarget, probes: int = 64, passes: int = 6) -> float:
+    """The exponent of the shares: bisection between 0 (uniform) and 1 (natural), by ``probes`` cuts in each pass over the
+    sources for the target entropy and as many for the repetition limit.
 
     Entropy falls and repetition falls as the exponent grows. The result is the exponent of the target entropy, or the
     least one that keeps the repetition limit if that is larger; rounded to 6 places.
@@ -52,27 +53,24 @@ def find_exponent(sources: DataFrame, target: MixTarget, probes: int = 16, passe
         return 1.0
     t, n, p_min, budget = total.t, total.n, total.least / total.t, target.budget
 
-    def measure(alphas: list[float]) -> list[tuple[float, float, float]]:
+    def measure(alphas: set[float]) -> dict[float, tuple[float, float]]:
+        """Entropy, and passes over the smallest source, of each exponent."""
         p = F.col("tokens") / F.lit(float(t))
-        grid = sources.select(p.alias("p"), F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("a"))
+        grid = sources.select(p.alias("p"), F.explode(F.array(*[F.lit(float(a)) for a in sorted(alphas)])).alias("a"))
         rows = grid.groupBy("a").agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p")).alias("e")).collect()
-        return sorted((r.a, math.log(r.z) - r.a * r.e / r.z, budget * p_min ** (r.a - 1) / r.z) for r in rows)
+        return {r.a: (math.log(r.z) - r.a * r.e / r.z, budget * p_min ** (r.a - 1) / r.z) for r in rows}
 
-    (_, low, _), = measure([1.0])
-    goal = low + target.entropy * (math.log(n) - low)
-
-    def cut(holds) -> float:
-        """The least exponent from which on ``holds``, to within the last cut."""
-        a, b = 0.0, 1.0
-        for _ in range(passes):
-            found = measure([a + (b - a) * (i + 1) / (probes + 1) for i in range(probes)])
-            low = max([a, *(x[0] for x in found if not holds(x))])
-            a, b = low, min([b, *(x[0] for x in found if holds(x) and x[0] > low)])
-        return b
-
-    by_entropy = cut(lambda x: x[1] <= goal)
-    by_repeats = cut(lambda x: x[2] <= max(target.max_repeats, budget))
-    return round(max(by_entropy, by_repeats), 6)
+    brackets, most = [(0.0, 1.0), (0.0, 1.0)], [math.inf, max(target.max_repeats, budget)]
+    for turn in range(passes):
+        grids = [[a + (b - a) * (i + 1) / (probes + 1) for i in range(probes)] for a, b in brackets]
+        found = measure({1.0, *grids[0], *grids[1]})
+        if not turn:
+            natural = found[1.0][0]
+            most[0] = natural + target.entropy * (math.log(n) - natural)
+        for k, (a, b) in enumerate(brackets):
+            a = max([a, *(x for x in grids[k] if found[x][k] > most[k])])
+            brackets[k] = a, min([b, *(x for x in grids[k] if x > a)])
+    return round(max(b for _, b in brackets), 6)
 
 
 def mix(docs: DataFrame, target: MixTarget = MixTarget(), keep: tuple[str, ...] = ("doc_id",), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:  # noqa: B008
@@ -83,12 +81,12 @@ def mix(docs: DataFrame, target: MixTarget = MixTarget(), keep: tuple[str, ...]
     in the order of the permutation while they fit in what is left of the quota, and of the first block that doesn't fit,
     the documents in hash order while they fit. A document that doesn't fit in the quota of its source is left out.
 
-    Null text: 0 tokens. A null source is the source ''. Documents of 0 tokens go with their block. Rows that share a
+    Null text: 0 tokens. A null source is the source ''. Rows without a doc_id are ordered by a hash of their text. Documents of 0 tokens go with their block. Rows that share a
     doc_id are separate documents; ties in hash order are broken by doc_id, then by tokens. Empty input: empty result. A
     column to keep that has one of these names gives way.
     """
     keep = tuple(k for k in keep if k not in ("mix_source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block"))
-    d = docs.select(*[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep], F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), token_count(F.col(text)).alias("tokens"))
+    d = docs.select(*[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep], F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit("")).alias("id"), token_count(F.col(text)).alias("tokens"))
     d = d.withColumn("slot", F.pmod(_hash32(F.lit(seed), F.col("id")), F.lit(SLOTS)))
     slots = materialize(d.groupBy("source", "slot").agg(F.sum("tokens").alias("tokens")), "mix-slots")
     totals = slots.groupBy("source").agg(F.sum("tokens").alias("tokens"))
