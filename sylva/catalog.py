@@ -24,6 +24,11 @@ def _forest(spark, sf_dir):
     return src.order_forest(spark, sf_dir)
 
 
+def _table(spark, sf_dir):
+    """The forest as a table, for what reads it more than once."""
+    return materialize(_forest(spark, sf_dir), "forest")
+
+
 def flagship(spark, sf_dir):
     return digest_groups(spark, sf_dir)
 
@@ -50,11 +55,11 @@ def tree_attributes(spark, sf_dir):
 
 
 def min_color_sum(spark, sf_dir):
-    return P.with_measures(_forest(spark, sf_dir)).select("tree_id", F.col("min_color_sum").cast("long").alias("min_color_sum"))
+    return P.with_measures(_table(spark, sf_dir)).select("tree_id", F.col("min_color_sum").cast("long").alias("min_color_sum"))
 
 
 def diameter_radius(spark, sf_dir):
-    return P.with_measures(_forest(spark, sf_dir)).select("tree_id", F.col("diameter").cast("long").alias("diameter"), F.col("radius").cast("long").alias("radius"))
+    return P.with_measures(_table(spark, sf_dir)).select("tree_id", F.col("diameter").cast("long").alias("diameter"), F.col("radius").cast("long").alias("radius"))
 
 
 def graph6_text(spark, sf_dir):
@@ -71,7 +76,7 @@ def graph6_round_trip(spark, sf_dir):
 
 
 def tree_classes(spark, sf_dir):
-    return P.with_form(_forest(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
+    return P.with_form(_table(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
 
 
 # buckets
@@ -79,21 +84,21 @@ def tree_classes(spark, sf_dir):
 
 def _buckets(mode):
     def query(spark, sf_dir):
-        return S.bucket_counts(S.with_bucket(_forest(spark, sf_dir), mode)).select(F.col("n").cast("long").alias("n"), "bucket", "count")
+        return S.bucket_counts(S.with_bucket(_table(spark, sf_dir), mode)).select(F.col("n").cast("long").alias("n"), "bucket", "count")
 
     return query
 
 
 def bucket_summary(spark, sf_dir):
-    return S.bucket_summary(S.bucket_counts(S.with_bucket(_forest(spark, sf_dir), "leaves+minsum"))).withColumn("n", F.col("n").cast("long"))
+    return S.bucket_summary(S.bucket_counts(S.with_bucket(_table(spark, sf_dir), "leaves+minsum"))).withColumn("n", F.col("n").cast("long"))
 
 
 def nonsingleton_semi_join(spark, sf_dir):
-    return S.keep_multiple(S.with_bucket(_forest(spark, sf_dir), "leaves+minsum")).select("tree_id", "bucket")
+    return S.keep_multiple(S.with_bucket(_table(spark, sf_dir), "leaves+minsum")).select("tree_id", "bucket")
 
 
 def bucket_cache(spark, sf_dir):
-    trees = S.with_bucket(_forest(spark, sf_dir), "leaves")
+    trees = S.with_bucket(_table(spark, sf_dir), "leaves")
     path = scratch_path(spark, "bucket-cache")
     count = lambda: S.bucket_counts(trees, ("bucket",))
     src.cached_bucket_counts(spark, path, 0, "leaves", count)
@@ -104,7 +109,7 @@ def bucket_cache(spark, sf_dir):
 
 
 def _polynomials(spark, sf_dir, colours=None):
-    return P.with_polynomial(_forest(spark, sf_dir), colours)
+    return P.with_polynomial(_table(spark, sf_dir), colours)
 
 
 def polynomials(spark, sf_dir):
@@ -120,7 +125,7 @@ def polynomial_terms(spark, sf_dir):
 
 
 def poly_coeffs_long(spark, sf_dir):
-    t = materialize(P.with_form(_forest(spark, sf_dir)), "forest")
+    t = materialize(P.with_form(_table(spark, sf_dir)), "forest")
     most = t.agg(F.max("n")).first()[0] or 1
     classes = materialize(t.groupBy("n", "form").agg(F.min_by(F.struct("tree_id", "parent"), "tree_id").alias("t")).select("n", "form", "t.*"), "classes")
     long = P.relational_polynomials(classes, most).select(F.col("tree_id").alias("class_id"), F.col("degree").cast("long").alias("degree"), F.col("coefficient").cast("long").alias("coefficient"))
@@ -158,7 +163,7 @@ def blake_digests(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, all_pairs=False):
-    rows = S.scan_forest(_forest(spark, sf_dir), "none", FEW_COLOURS)
+    rows = S.scan_forest(_table(spark, sf_dir), "none", FEW_COLOURS)
     return S.collisions(rows, "tree_id", all_pairs=all_pairs)
 
 
@@ -176,7 +181,7 @@ def limit_first_match(spark, sf_dir):
 
 def collision_reports(spark, sf_dir):
     ship_package(spark)
-    trees = materialize(S.with_bucket(_forest(spark, sf_dir), "none").select("tree_id", "n", "parent", "leaves", "min_color_sum", "bucket"), "bucketed")
+    trees = materialize(S.with_bucket(_table(spark, sf_dir), "none").select("tree_id", "n", "parent", "leaves", "min_color_sum", "bucket"), "bucketed")
     pairs = materialize(S.collisions(P.with_polynomial(trees, FEW_COLOURS), "tree_id"), "pairs")
     named = trees.withColumn("graph6", tree_graph6("parent"))
     reports = S.collision_reports(pairs, named, "tree_id")
@@ -278,7 +283,7 @@ def _census(spark, sf_dir):
     from sylva.functions.trees import tree_form
     from sylva.sources.enumeration import enumerate_trees
 
-    forest = materialize(P.with_form(_forest(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("orders")), "forms")
+    forest = materialize(P.with_form(_table(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("orders")), "forms")
     largest = forest.agg(F.max("n")).first()[0] or 0
     trees = enumerate_trees(spark, 2)
     for n in range(3, largest + 1):

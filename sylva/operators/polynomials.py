@@ -20,7 +20,10 @@ _COMPUTED = T.StructType([T.StructField("coeffs", T.ArrayType(T.DecimalType(38,
 
 
 def with_form(trees: DataFrame) -> DataFrame:
-    """Adds ``form``, the canonical form. Each different parent array goes through Python once, however many trees have it."""
+    """Adds ``form``, the canonical form. Each different parent array goes through Python once, however many trees have it.
+
+    ``trees`` is read twice and should be a table, not a long plan.
+    """
     ship_package(trees.sparkSession)
     shapes = trees.groupBy("parent").agg(F.lit(1).alias("one")).select(F.col("parent").alias("shape"), tree_form("parent").alias("form"))
     return trees.join(shapes, F.col("parent") == F.col("shape")).drop("shape")
@@ -59,7 +62,7 @@ def with_polynomial(trees: DataFrame, colours: int | None = None) -> DataFrame:
 
 
 def with_measures(trees: DataFrame) -> DataFrame:
-    """Adds min_color_sum, diameter and radius, once for each different parent array."""
+    """Adds min_color_sum, diameter and radius, once for each different parent array. ``trees`` is read twice."""
     ship_package(trees.sparkSession)
     shapes = trees.groupBy("parent").agg(F.lit(1).alias("one")).select(F.col("parent").alias("shape"), tree_measures.asNondeterministic()("parent").alias("m"))
     return trees.join(shapes, F.col("parent") == F.col("shape")).select(*trees.columns, "m.*")
