@@ -36,8 +36,6 @@ from sylva.runtime import discard, fresh_name, materialize, ship_package
 LOCAL_POINTS, LOCAL_SHINGLES = 4000, 4_000_000
 #: Pivots that Spark takes of a region that is cut, and how often regions are cut before chunks.
 PIVOTS, DEPTH = 16, 3
-#: Buckets by whose fill shingles are told to be rare or common, as a power of two.
-BUCKET_BITS = 18
 #: Pivots don't cut a region if they would make more copies of its points than this on average.
 MOST_COPIES = 3
 #: Inside a task: pivots of a region of n points, at most, as a multiple of the root of n; how often regions are cut at most.
@@ -411,56 +409,31 @@ def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) ->
     return kept.select("region", "id", "n", "settled", "body"), links, whole
 
 
-def _bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How many shingles of the points of ``rows`` fall in each hashed bucket: common shingles are in full ones."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                np.add.at(total, _bucket(np.frombuffer(body, np.uint64)), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
-
-    t = rows.select("body").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[t.column("bucket").to_numpy()] = t.column("n").to_numpy()
-    return out
-
-
-def _bucket(u: np.ndarray) -> np.ndarray:
-    return (u >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
 def _cut_by_rare_shingles(rows: DataFrame, rule: Rule) -> DataFrame:
     """Regions of points of ``rows`` that share one of their rarest shingles, directly or by others; points that don't go.
 
-    A set of n shingles that is linked with another shares at least n * num / den of them with it. So of any order of all
-    shingles, each of the two has a shared one among its first n - ceil(n * num / den) + 1. The order here begins with
-    shingles whose hashed bucket holds few, so that what many points share comes last.
+    A set of n shingles that is linked with another shares at least n * num / den of them with it. So of the order from the
+    rarest shingle of the region on, each of the two has a shared one among its first n - ceil(n * num / den) + 1. Shingles
+    of one point alone come first and are only counted.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(_bucket_counts(rows))  # a number for each of the buckets
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            region, node, shingle = [], [], []
-            for r, i, body in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "body")), strict=True):
-                u = np.frombuffer(body, np.uint64)
-                first = len(u) + rule.num * len(u) // -rule.den + 1
-                u = u[np.lexsort((u, shared.value[_bucket(u)]))[:first]]
-                region.append(np.full(len(u), r))
-                node.append(np.full(len(u), i))
-                shingle.append(u.view(np.int64))
-            if region:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (region, node, shingle)], ["region", "node", "shingle"])
+            sets = [np.frombuffer(b, np.int64) for b in batch.column("body").to_pylist()]
+            size = [len(u) for u in sets]
+            if sets:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("region", "node")), pa.array(np.concatenate(sets))], ["region", "node", "shingle"])
 
     rows = rows.withColumn("node", F.xxhash64("region", "id"))  # two points of one hash would only be taken together
-    inside = Window.partitionBy("region", "shingle").orderBy("node")
-    rare = rows.select("region", "node", "body").mapInArrow(rarest, "region long, node long, shingle long")
-    ties = rare.select("node", F.first("node").over(inside).alias("least")).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    spaces = connected_components(ties)
+    every = rows.select("region", "node", "body").mapInArrow(spread, "region long, node long, shingle long")
+    common = every.withColumn("points", F.count("*").over(Window.partitionBy("region", "shingle"))).filter("points > 1")
+    own = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("points", "region", "shingle"))).alias("all")).join(rows.select("node", "n").distinct(), "node")
+    first = (F.size("all") - F.ceil(F.col("n") * rule.num / rule.den) + 1).cast("int")
+    rare = materialize(own.filter(first > 0).select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("node", "x.region", "x.shingle"), "rare-shingles")
+    least = rare.groupBy("region", "shingle").agg(F.min("node").alias("b"))
+    spaces = connected_components(rare.join(least, ["region", "shingle"]).select(F.col("node").alias("a"), "b"))
     out = materialize(rows.join(spaces, "node").select(F.col("root").alias("region"), "id", "n", "settled", "body"), "refined")
-    shared.destroy()
+    discard(rare)
     return out
 
 
