@@ -245,9 +245,9 @@ def test_each_tree_gets_one_polynomial_over_all_shards_and_ranges(spark, tmp_pat
 
     monkeypatch.setattr(plan, "tree_polynomials", counted)
     monkeypatch.setattr(plan, "enumerate_trees", walked)
-    seen, pairs = search_sharded(spark, 9, f"file://{tmp_path}/s", 3, mode="leaves", colours=3, range_size=13)
+    seen, pairs = search_sharded(spark, 9, f"file://{tmp_path}/s", 2, mode="leaves", colours=3, range_size=16)
     assert {(r.tree_index_a, r.tree_index_b) for r in pairs.collect()} == PAIRS9["leaves"]
-    assert sum(taken) == seen.count() == BUCKETS9["leaves"][2] and len(taken) > 6 and len(walks) == 1
+    assert sum(taken) == seen.count() == BUCKETS9["leaves"][2] and len(taken) == 6 and len(walks) == 1
 
 
 def test_merging_shards_of_different_searches_is_refused(spark, tmp_path):
