@@ -1,9 +1,17 @@
 """The pipeline on the smallest tables: each stage's decisions take effect on what the one before kept."""
 
+import math
+import re
+import zlib
+
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sylva.llm import sql
+from sylva.llm.quality import fit_quality
 from sylva.llm.registry import queries
+from sylva.llm.toxicity import fit_toxicity
 from sylva.runtime import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,9 +43,44 @@ def test_stages(spark):
             gone = set(before) - set(now)
             judged = [i for i in before if i in labels]
             assert sum((i in gone) == (labels[i].quality == 0) for i in judged) / len(judged) > 0.9
+            prob = brute_quality(spark, before)
+            assert all((p >= 0.5) == (i in now) for i, p in prob.items() if abs(p - 0.5) > 1e-4)
+        if name == "toxicity":
+            score = brute_toxicity(spark, before, labels)
+            assert all((x < 0.3) == (i in now) for i, x in score.items() if abs(x - 0.3) > 1e-6)
         before = now
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= set(before) and out.count() > 0
+    # the mixture of these documents by the SQL of the operator's own query
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.sql(sql.oracles([], [], [])["op3_source_mixing"])
+    assert sorted(map(str, map(tuple, out.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())) and out.count() > 0
+
+
+def brute_quality(spark, texts):
+    """P(at least the second lowest grade) of each text, its features made one by one, by the weights that the stage fits."""
+    from tests.llm.test_scoring import brute_features
+
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = fit_quality(rows, table(spark, SMALL, "labels"))
+    return {i: 1 / (1 + math.exp(model.thresholds[0] - sum(float(model.weights[k]) * x for k, x in brute_features(t).items()))) for i, t in texts.items()}
+
+
+def brute_toxicity(spark, texts, labels):
+    """The score of each text: its words' evidence by counting in plain Python, by the link that the stage fits."""
+    from tests.llm.test_scoring import brute_evidence
+
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    link = fit_toxicity(rows, table(spark, SMALL, "labels")).link
+    learnt = [(texts[i], labels[i].toxic > 0) for i in texts if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    out = {}
+    words = {i: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in texts.items()}
+    evidence, at = brute_evidence(learnt, texts.values()), 0
+    for i, w in words.items():
+        x = sum(max(min(e, 8.0) - 0.5, 0.0) for e in evidence[at : at + len(w)]) / math.sqrt(max(len(w), 1))
+        at += len(w)
+        out[i] = 1 / (1 + math.exp(-(link[0] + link[1] * x)))
+    return out
 
 
 def test_stages_with_odd_rows(spark):
