@@ -36,6 +36,8 @@ from sylva.runtime import discard, fresh_name, materialize, ship_package
 LOCAL_POINTS, LOCAL_SHINGLES = 4000, 4_000_000
 #: Pivots that Spark takes of a region that is cut, and how often regions are cut before chunks.
 PIVOTS, DEPTH = 16, 3
+#: Pivots of so many bytes together are broadcast to the points; beyond, points go to copies of their region's pivots.
+PIVOT_BYTES = 32 << 20
 #: Pivots don't cut a region if they would make more copies of its points than this on average.
 MOST_COPIES = 3
 #: Inside a task: pivots of a region of n points, at most, as a multiple of the root of n; how often regions are cut at most.
@@ -350,13 +352,9 @@ def _connected_bits(masks: dict[int, int]) -> int:
     return max(groups, key=lambda g: (sum(n for m, n in masks.items() if m & g), g), default=0)
 
 
-def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Voronoi regions of each region of ``rows`` (whose points and shingles ``sizes`` has), links (a, b) that pivots tell of,
-    and the regions that they don't cut."""
-    order = F.xxhash64("id", F.lit(turn))
-    pick = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("body").alias("body"))).alias("p"))
-    pivots = materialize(pick.select("region", "p.id", "p.body").dropDuplicates(["region", "id"]), "pivots")  # PIVOTS rows a region
-    # a region's points go to as many tasks as they would fill, each after a copy of the pivots
+def _spread_with_pivots(rows: DataFrame, sizes: DataFrame, pivots: DataFrame, distances, put, schema: str) -> DataFrame:
+    """The points with their distances where pivots are too many to broadcast: a region's points go to as many tasks as they
+    would fill, each after a copy of its pivots."""
     parts = sizes.select("region", F.greatest(F.ceil(F.col("points") / LOCAL_POINTS), F.ceil(F.col("shingles") / LOCAL_SHINGLES)).cast("long").alias("parts"))
     points = rows.join(parts, "region").select("region", F.pmod(F.xxhash64("id", F.lit("part")), "parts").alias("part"), F.lit(1).alias("tag"), "id", "n", "settled", "body")
     copies = pivots.join(parts, "region").select("region", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("tag"), "id", F.lit(0).cast("long").alias("n"), F.lit(False).alias("settled"), "body")
@@ -364,24 +362,58 @@ def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, []
         for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("region", "part", "tag", "settled", "body")]
             at, far, mask = [], [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("region", "part", "tag", "settled")), strict=True)
-            for i, (region, part, tag, settled) in enumerate(keys):
+            for i, (region, part, tag, settled, body) in enumerate(zip(*columns, strict=True)):
                 if (region, part) != now:
                     now, sets = (region, part), []
-                u = np.frombuffer(batch.column("body")[i].as_py(), np.uint64)
                 if tag == 0:
-                    sets.append(u)
+                    sets.append(np.frombuffer(body, np.uint64))
                     continue
-                both = [_shared(u, v) for v in sets]
+                (d,), (m,) = distances([region], [settled], [body], lambda _: sets)  # noqa: B023
                 at.append(i)
-                far.append([1 - s / max(1, len(u) + len(v) - s) for s, v in zip(both, sets, strict=True)])
-                mask.append(sum(1 << k for k, (s, v) in enumerate(zip(both, sets, strict=True)) if rule.linked(s, len(u), len(v))) | int(settled) << PIVOTS)
-            kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("region", "id", "n", "body")), pa.array(far, pa.list_(pa.float64())), pa.array(mask, pa.int64())], ["region", "id", "n", "body", "far", "mask"])
+                far.append(d)
+                mask.append(m)
+            yield put(batch.take(pa.array(at, pa.int64())), far, mask)
 
     spread = points.unionByName(copies).repartition("region", "part").sortWithinPartitions("region", "part", "tag", "id")
-    placed = materialize(spread.mapInArrow(measure, "region long, id long, n long, body binary, far array<double>, mask long"), "voronoi")
+    return spread.mapInArrow(measure, schema)
+
+
+def _cut_by_pivots(rows: DataFrame, sizes: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi regions of each region of ``rows`` (whose points and shingles ``sizes`` has), links (a, b) that pivots tell of,
+    and the regions that they don't cut."""
+    order = F.xxhash64("id", F.lit(turn))
+    pick = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("body").alias("body"))).alias("p"))
+    pivots = materialize(pick.select("region", "p.id", "p.body").dropDuplicates(["region", "id"]), "pivots")  # PIVOTS rows a region
+    bits = "region long, id long, n long, body binary, far array<double>, mask long"
+
+    def distances(region: list, settled: list, bodies: list, pivots_of) -> tuple[list, list]:
+        """Distances to the region's pivots of each point, and as bits which it is linked with; the bit after them: settled."""
+        far, mask = [], []
+        for r, calm, body in zip(region, settled, bodies, strict=True):
+            u, sets = np.frombuffer(body, np.uint64), pivots_of(r)
+            both = [_shared(u, v) for v in sets]
+            far.append([1 - x / max(1, len(u) + len(v) - x) for x, v in zip(both, sets, strict=True)])
+            mask.append(sum(1 << k for k, (x, v) in enumerate(zip(both, sets, strict=True)) if rule.linked(x, len(u), len(v))) | int(calm) << PIVOTS)
+        return far, mask
+
+    def put(batch: pa.RecordBatch, far: list, mask: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "id", "n", "body")), pa.array(far, pa.list_(pa.float64())), pa.array(mask, pa.int64())], ["region", "id", "n", "body", "far", "mask"])
+
+    if (pivots.agg(F.sum(F.octet_length("body"))).first()[0] or 0) <= PIVOT_BYTES:
+        by_region: dict[int, list[np.ndarray]] = {}
+        for r in sorted(pivots.collect(), key=lambda r: (r.region, r.id)):  # PIVOT_BYTES bounds them
+            by_region.setdefault(r.region, []).append(np.frombuffer(bytes(r.body), np.uint64))
+        shared = rows.sparkSession.sparkContext.broadcast(by_region)
+
+        def measure_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield put(batch, *distances(*(batch.column(c).to_pylist() for c in ("region", "settled", "body")), shared.value.__getitem__))
+
+        placed = materialize(rows.select("region", "id", "n", "settled", "body").mapInArrow(measure_here, bits), "voronoi")
+    else:
+        placed = materialize(_spread_with_pivots(rows, sizes, pivots, distances, put, bits), "voronoi")
 
     def settle(t: pa.Table) -> pa.Table:
         """Of one region: the bits of its settled points; t has a row for each different mask."""
@@ -419,20 +451,23 @@ def _cut_by_rare_shingles(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(b, np.int64) for b in batch.column("body").to_pylist()]
+            sets = [np.frombuffer(b, np.uint64) for b in batch.column("body").to_pylist()]
             size = [len(u) for u in sets]
             if sets:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("region", "node")), pa.array(np.concatenate(sets))], ["region", "node", "shingle"])
+                region, node = (np.repeat(batch.column(c).to_numpy(), size) for c in ("region", "node"))
+                key = mix(np.concatenate(sets) ^ mix(region.view(np.uint64)))  # of one region, another for each shingle
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.view(np.int64))], ["node", "key"])
 
     rows = rows.withColumn("node", F.xxhash64("region", "id"))  # two points of one hash would only be taken together
-    every = rows.select("region", "node", "body").mapInArrow(spread, "region long, node long, shingle long")
-    common = every.withColumn("points", F.count("*").over(Window.partitionBy("region", "shingle"))).filter("points > 1")
-    own = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("points", "region", "shingle"))).alias("all")).join(rows.select("node", "n").distinct(), "node")
+    every = rows.select("region", "node", "body").mapInArrow(spread, "node long, key long")
+    common = every.withColumn("points", F.count("*").over(Window.partitionBy("key"))).filter("points > 1")
+    own = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("points", "key"))).alias("all")).join(rows.select("node", "n").distinct(), "node")
     first = (F.size("all") - F.ceil(F.col("n") * rule.num / rule.den) + 1).cast("int")
-    rare = materialize(own.filter(first > 0).select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("node", "x.region", "x.shingle"), "rare-shingles")
-    least = rare.groupBy("region", "shingle").agg(F.min("node").alias("b"))
-    spaces = connected_components(rare.join(least, ["region", "shingle"]).select(F.col("node").alias("a"), "b"))
-    out = materialize(rows.join(spaces, "node").select(F.col("root").alias("region"), "id", "n", "settled", "body"), "refined")
+    rare = materialize(own.filter(first > 0).select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("node", "x.key"), "rare-shingles")
+    least = rare.groupBy("key").agg(F.min("node").alias("b"))
+    spaces = connected_components(rare.join(least, "key").select(F.col("node").alias("a"), "b"))
+    few = F.broadcast(spaces) if spaces.count() <= BROADCAST_POINTS else spaces
+    out = materialize(rows.join(few, "node").select(F.col("root").alias("region"), "id", "n", "settled", "body"), "refined")
     discard(rare)
     return out
 
