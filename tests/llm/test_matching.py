@@ -174,6 +174,7 @@ def brute_components(rows, rule):
 def test_jaccard_components(spark, rule, local, copies, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LOCAL_POINTS", local)
     monkeypatch.setattr(jaccard_join, "MOST_COPIES", copies)
+    monkeypatch.setattr(jaccard_join, "PIVOT_BYTES", 0 if copies == 100 else 32 << 20)
     rng = random.Random(2)
     v = [f"w{k}" for k in range(300)]
     base = [[rng.choice(v) for _ in range(rng.choice([1, 2, 3, 9, 11, 40, 120, 300]))] for _ in range(15)]
