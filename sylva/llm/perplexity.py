@@ -39,10 +39,12 @@ PIECE, HELD = 1 << 20, 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 20, 30, 8
 MARKS = b"#*$%&|<>"
 
-_FOLD = np.arange(128)
+#: What the first byte of a character gives to its code point, folded.
+_FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
-_FOLD[WHITESPACE[:128]] = 32
+_FOLD[WHITESPACE] = 32
+_FOLD[0x80:] &= np.where(_FOLD[0x80:] < 0xE0, 0x1F, np.where(_FOLD[0x80:] < 0xF0, 0x0F, 0x07))
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _IS_MARK = np.zeros(256, bool)
@@ -53,8 +55,8 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """The folded code points of UTF-8 texts, and where each text's begin."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
     first = np.searchsorted(at, offsets)
-    lead = data[at].astype(np.int64)
-    out = np.where(lead < 0x80, _FOLD[lead & 0x7F], lead & np.where(lead < 0xE0, 0x1F, np.where(lead < 0xF0, 0x0F, 0x07)))
+    lead = data[at]
+    out = _FOLD[lead]
     more = np.flatnonzero(lead >= 0xC0)
     size = np.diff(at, append=len(data))[more]
     for k in (1, 2, 3):
@@ -103,13 +105,13 @@ def _summed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return hi[at], lo[at], np.bincount(back, n, len(key)).astype(np.int64)
 
 
-def _pieces(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The n-grams of a block with the number of the text of each; those of a very long text in pieces, each n-gram once in
-    the end, with its count."""
+def _pieces(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of a block with the count and the number of the text of each; of a very long text, which is cut in pieces,
+    each n-gram once."""
     c, first = characters(b.data, b.offsets)
     if b.n > 1 or len(c) <= PIECE:
         hi, lo = packed(c, first)
-        yield hi, lo, np.ones(len(c), np.int64)
+        yield hi, lo, np.ones(len(c), np.int64), np.repeat(np.arange(b.n), np.diff(first))
         return
     sums = (np.zeros(0, np.int64),) * 3
     for a in range(0, len(c), PIECE):
@@ -117,7 +119,7 @@ def _pieces(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         part = c[lead : a + PIECE]
         hi, lo = packed(part, np.array([0, len(part)]))
         sums = _summed(*(np.concatenate(x) for x in zip(sums, (hi[a - lead :], lo[a - lead :], np.ones(len(part) - a + lead, np.int64)), strict=True)))
-    yield sums
+    yield *sums, np.zeros(len(sums[0]), np.int64)
 
 
 def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -133,7 +135,7 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for b in blocks(batch.column("text")):
-                held += [_summed(*p) for p in _pieces(b) if len(p[0])]
+                held += [_summed(*p[:3]) for p in _pieces(b) if len(p[0])]
                 if sum(len(h[0]) for h in held) >= 2 * HELD:
                     held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     if len(held[0][0]) >= HELD:
@@ -246,9 +248,7 @@ class KneserNey:
     def total(self, b: Block) -> np.ndarray:
         """The log-probability of each text of a block."""
         out = np.zeros(b.n)
-        first = characters(b.data, b.offsets)[1] if b.n > 1 else np.zeros(2, np.int64)
-        for hi, lo, n in _pieces(b):
-            doc = np.repeat(np.arange(b.n), np.diff(first)) if b.n > 1 else np.zeros(len(hi), np.int64)
+        for hi, lo, n, doc in _pieces(b):
             out += np.bincount(doc, self.log_prob(hi, lo, doc, n) * n, b.n)
         return out
 
@@ -320,8 +320,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang",
 
         def keys(b: Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
             parts = []
-            for hi, lo, _ in _pieces(b):
-                doc = np.repeat(np.arange(b.n), np.diff(characters(b.data, b.offsets)[1])) if b.n > 1 else np.zeros(len(hi), np.int64)
+            for hi, lo, _, doc in _pieces(b):
                 for k in range(1, ORDER + 1):
                     s = suffix(hi, lo, k)
                     parts += [(doc, np.full(len(hi), k), *s)] + ([(doc, np.full(len(hi), 10 + k), *context(*s))] if k > 1 else [])
