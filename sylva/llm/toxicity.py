@@ -101,6 +101,8 @@ def word_contexts(rows: DataFrame) -> DataFrame:
             held.clear()
             _, at, back = np.unique(mix(v * _PAIR + w), return_index=True, return_inverse=True)
             n = [np.bincount(back[m], minlength=len(at)) for m in (toxic, ~toxic)]
+            order = np.argsort(w[at])  # rows of one word together: their keys are packed better on their way
+            at, n = at[order], [x[order] for x in n]
             return pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(_low(v[at])), *(pa.array(x.astype(np.int32)) for x in n)], ["key", "before", "n0", "n1"])
 
         for batch in batches:
@@ -129,6 +131,7 @@ def pair_contexts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame
             pair, w, v, before = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             at = np.unique(mix(before * _PAIR + pair), return_index=True)[1]
+            at = at[np.argsort(pair[at])]
             return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (pair, w, v)), pa.array(_low(before[at]))], ["pair", "key", "before", "context"])
 
         for batch in batches:
