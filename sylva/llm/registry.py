@@ -85,6 +85,14 @@ def op10_warc(spark, sf_dir):
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from sylva.llm.token_files import token_file_round_trip
+
+    return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -94,7 +102,7 @@ def pipeline(spark, sf_dir):
 def queries():
     ops = (
         op1_quality_classifier, op2_url_filter, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, pipeline,
+        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, op11_token_files, pipeline,
     )
     return {f.__name__: f for f in ops}
 
