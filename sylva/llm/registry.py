@@ -93,6 +93,12 @@ def op11_token_files(spark, sf_dir):
     return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    from sylva.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -102,7 +108,7 @@ def pipeline(spark, sf_dir):
 def queries():
     ops = (
         op1_quality_classifier, op2_url_filter, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, op11_token_files, pipeline,
+        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, op11_token_files, op12_prefix_trie, pipeline,
     )
     return {f.__name__: f for f in ops}
 

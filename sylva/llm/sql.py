@@ -76,6 +76,36 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM dw UNION SELECT r.doc_id, e.
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+_TRIE = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+named AS (SELECT *, octet_length(encode(role)) || ':' || role || text AS said FROM t),
+placed AS (SELECT *, sha256(said) AS turn_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) - 1 AS pos FROM named),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, conv_id::VARCHAR AS s, count(*) AS n_own FROM placed GROUP BY 1),
+crc AS (  -- CRC-32 of the decimal conv_id, a bit at a time
+  SELECT conv_id, s, 0 AS k, 4294967295::BIGINT AS v FROM c
+  UNION ALL
+  SELECT conv_id, s, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)
+  FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(v, ascii(s[k // 8 + 1])::BIGINT) ELSE v END AS x FROM crc WHERE k < 8 * length(s))),
+h AS (SELECT conv_id, xor(v, 4294967295::BIGINT) % 9 AS h FROM crc WHERE k = 8 * length(s)),
+rebuilt AS (
+  SELECT c.conv_id, p.pos, p.turn_key, p.text FROM c JOIN h USING (conv_id) JOIN placed p ON p.conv_id = c.base AND p.pos < h.h
+  UNION ALL
+  SELECT c.conv_id, p.pos + 1000000000, p.turn_key, p.text FROM c JOIN h USING (conv_id) JOIN placed p ON p.conv_id = c.conv_id AND p.pos >= h.h),
+ranked AS (SELECT conv_id, turn_key, octet_length(encode(text)) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d FROM rebuilt),
+pre AS (SELECT conv_id, d, b, string_agg(turn_key, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM ranked
+        UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM pre GROUP BY key, d),
+fin AS (SELECT conv_id, key FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) AS k FROM pre) WHERE k = 1),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM fin GROUP BY key),
+kids AS (SELECT a.key, count(b.key) AS n FROM node a LEFT JOIN node b ON b.depth = a.depth + 1 AND starts_with(b.key, a.key) GROUP BY a.key),
+below AS (SELECT a.key, sum((b.n_convs - 1) * b.b)::BIGINT AS saved, sum(CASE WHEN k.n = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves
+          FROM node a JOIN node b ON starts_with(b.key, a.key) JOIN kids k ON k.key = b.key GROUP BY a.key)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, kids.n AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node n JOIN kids USING (key) JOIN below USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN node p ON p.depth = n.depth - 1 AND p.key = left(n.key, 64 * (n.depth - 1)::INT)
+"""
+
 
 def _urls(rules, words, ends) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in rules)
@@ -94,4 +124,4 @@ FROM hp LEFT JOIN (SELECT * FROM best WHERE k = 1 AND is_rule) r USING (page_id)
 
 
 def oracles(rules, words, ends) -> dict[str, str]:
-    return {"op2_url_filter": _urls(rules, words, ends), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC}
+    return {"op2_url_filter": _urls(rules, words, ends), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC, "op12_prefix_trie": _TRIE}
