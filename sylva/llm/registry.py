@@ -99,6 +99,12 @@ def op12_prefix_trie(spark, sf_dir):
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark, sf_dir):
+    from sylva.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -108,7 +114,8 @@ def pipeline(spark, sf_dir):
 def queries():
     ops = (
         op1_quality_classifier, op2_url_filter, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, op11_token_files, op12_prefix_trie, pipeline,
+        op7_html_extraction, op8_jaccard_join, op9_perplexity_rules, op10_warc, op11_token_files, op12_prefix_trie,
+        op13_collocations, pipeline,
     )
     return {f.__name__: f for f in ops}
 

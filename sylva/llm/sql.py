@@ -106,6 +106,23 @@ FROM node n JOIN kids USING (key) JOIN below USING (key) LEFT JOIN ends USING (k
 LEFT JOIN node p ON p.depth = n.depth - 1 AND p.key = left(n.key, 64 * (n.depth - 1)::INT)
 """
 
+_PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS cut_at FROM cand),
+scored AS (SELECT cut.lang, cut.k, cut.phrase, a, cut_at, l.c AS l, r.c AS r, tot.n AS n, (1000::HUGEINT * a * tot.n) // (l.c::HUGEINT * r.c) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:cut_at], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[cut_at + 1:cut.k], ' ') JOIN tot ON tot.lang = cut.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) AS o FROM scored) WHERE o = 1),
+sub AS (SELECT lang, a, w, k, unnest(range(2, k)) AS m FROM cand WHERE k > 2),
+inside AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM sub)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND i.a >= b.a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 
 def _urls(rules, words, ends) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in rules)
@@ -124,4 +141,4 @@ FROM hp LEFT JOIN (SELECT * FROM best WHERE k = 1 AND is_rule) r USING (page_id)
 
 
 def oracles(rules, words, ends) -> dict[str, str]:
-    return {"op2_url_filter": _urls(rules, words, ends), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC, "op12_prefix_trie": _TRIE}
+    return {"op2_url_filter": _urls(rules, words, ends), "op3_source_mixing": _MIX, "op4_decontamination": _DECONTAMINATION, "op8_jaccard_join": _JACCARD, "op10_warc": _WARC, "op12_prefix_trie": _TRIE, "op13_collocations": _PHRASES}
