@@ -27,6 +27,13 @@ REMEMBERED, CHARS_AT_ONCE = 400_000, 4_000_000
 _NONE = np.int64(1 << 40)
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others take code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class RankMerger:
     """The merge rules of one vocabulary file as sorted arrays."""
 
@@ -34,10 +41,7 @@ class RankMerger:
         model = json.loads(vocabulary)
         self.special = [t["content"] for t in model["added_tokens"]]
         ids = model["model"]["vocab"]
-        # the byte-level alphabet: printable bytes stand for themselves, the others take code points from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        letters = byte_letters()
         self.byte_ids = np.array([ids[letters[b]] for b in range(256)], np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         left, right, made = (np.array([ids[x] for x in col], np.int64) for col in ([m[0] for m in merges], [m[1] for m in merges], [m[0] + m[1] for m in merges]))

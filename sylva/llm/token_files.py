@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.llm.token_count import SPLIT
+from sylva.llm.token_count import SPLIT, byte_letters
 from sylva.runtime import materialize, scratch_path, ship_package
 
 MAGIC, HEADER = b"sylvatok", "<8sQQQ"
 #: Bytes of ids after which a task begins another file; pre-tokens, and chunks of them, whose ids a worker remembers.
-FILE_BYTES, REMEMBERED = 256 << 20, 600_000
+FILE_BYTES, REMEMBERED = 256 << 20, 1_000_000
+_MARKS = tuple(".,;:!?")
 _MANIFEST = T.StructType([T.StructField(c, T.StringType() if c == "path" else T.LongType()) for c in ("part", "seq", "path", "docs", "tokens")])
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -42,13 +45,27 @@ class TokenFileError(ValueError):
     """A file that isn't what its header or the manifest says."""
 
 
+class _Memo(dict):
+    """A dict that works out what it doesn't have, and forgets all when it is full."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
+
+
 class Encoder:
     """The tokenizers library's ids of texts as little-endian bytes, each different pre-token encoded once while remembered.
 
     A text is cut before spaces. That never parts a pre-token of the byte-level pattern unless such a space has white space
-    before it and none but white space after it; texts with one are cut by the pattern at once, as are chunks that are met
-    for the first time. So the ids of a text are those of its pre-tokens in a row, which tests hold against the library on
-    whole texts. Vocabularies of another kind go through the library whole.
+    before it and none but white space after it; texts with one are cut by the pattern at once. What stands between two
+    cuts is cut by the pattern when it is met for the first time (letters alone, or with one mark after them, need no
+    pattern), and its pre-tokens go through the library's model. So the ids of a text are those of its pre-tokens in a row,
+    which tests hold against the library on whole texts. Vocabularies of another kind go through the library whole.
     """
 
     def __init__(self, definition: str):
@@ -58,34 +75,30 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         model = json.loads(definition)
         cut = model.get("pre_tokenizer") or {}
-        self.by_pieces = model["model"]["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not model.get("normalizer")
+        self.by_pieces = (
+            model["model"]["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not model.get("normalizer") and not model.get("post_processor") and sys.byteorder == "little"
+        )
         self.special = [t["content"] for t in model.get("added_tokens", [])]
         self.inner_space, self.pattern = re.compile(r"\s (?!\S)"), regex.compile(SPLIT)
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}  # without the space before them
-
-    def _of_pieces(self, pieces: list[str]) -> None:
-        """Learn the ids of pre-tokens."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        new = list(set(pieces).difference(self.pieces))
-        for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self.pieces[piece] = np.asarray(e.ids, self.dtype).tobytes()
-
-    def _of_chunks(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            new = list(set(chunks).difference(self.chunks))
-            cut = [self.pattern.findall(" " + c) for c in new]
-            self._of_pieces([p for x in cut for p in x])
-            get = self.pieces.__getitem__
-            self.chunks.update((c, get(x[0]) if len(x) == 1 else b"".join(map(get, x))) for c, x in zip(new, cut, strict=True))
-            return b"".join(map(self.chunks.__getitem__, chunks))
+        self.letters = str.maketrans({chr(b): x for b, x in byte_letters().items()})
+        self.model, self.space = self.library.model, byte_letters()[32]
+        self.pieces = _Memo(self._piece)
+        self.chunks = _Memo(self._chunk)  # without the space before them
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            if chunk.isascii():
+                return array(self.code, [t.id for t in self.model.tokenize(self.space + chunk)]).tobytes()
+            return self._piece(" " + chunk)
+        if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + chunk)))
 
     def ids(self, text: str) -> bytes:
         if not self.by_pieces or any(s in text for s in self.special):
@@ -94,9 +107,7 @@ class Encoder:
             head, rest = text, []
         else:
             head, *rest = text.split(" ")
-        first = self.pattern.findall(head)
-        self._of_pieces(first)
-        return b"".join(map(self.pieces.__getitem__, first)) + self._of_chunks(rest)
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(head))) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
