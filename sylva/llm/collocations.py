@@ -1,18 +1,18 @@
 """Frequent phrases and their strongest parts, by Rabin-Karp fingerprints.
 
-Tasks hash every run of one to five words in numpy, from prefix sums of a polynomial over the words' hashes, and add up equal
-fingerprints before they send them, each with a pointer to one occurrence (the hash of its text, and the number of the word in
-it). Longer runs are only counted where their parts are frequent already. Where a fingerprint is frequent, the text at its
-pointer is read, and a last pass compares every occurrence with that text: those that differ, which share the fingerprint by
-chance, are counted by their own text. So counts are exact whatever the hashes do, and only frequent phrases ever become rows of
-text.
+Tasks hash runs of one to five words in numpy, from prefix sums of a polynomial over the words' hashes, and add up equal
+fingerprints before they send them, each with a pointer to one occurrence (half the hash of its text, and the number of the word
+in it). A run is only counted where both its parts of one word less are frequent already, one size after the other. Where a
+fingerprint is frequent, the text at its pointer is read, and a last pass compares every occurrence with that text: those that
+differ, which share the fingerprint by chance, are taken off and counted by their own text. So counts are exact whatever the
+hashes do, and only frequent phrases ever become rows of text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,13 @@ from sylva.runtime import materialize, ship_package
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Fingerprints that a task holds before it sends them; a text beyond PIECE_BYTES is cut between pieces.
+#: Different fingerprints that a task holds before it sends them; a text beyond PIECE_BYTES is cut between pieces.
 HELD, PIECE_BYTES = 2_000_000, 4 << 20
 #: Parts into which a language's candidates are dealt before its first ones are told.
 SALTS = 64
 _MULT, _INVERSE, _WORDS = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64), 1 << 16
 # Fixed: what parts pieces, and what else parts words.
 _PIECE, _SPACE = ".,;:!?\n\x0b\x0c\r", " \t"
-_COUNTS = "lang string, fp long, n long, doc long, word long"
 
 
 @cache
@@ -139,162 +138,176 @@ class _Tally:
         self.parts: list[list[np.ndarray]] = []
         self.held = 0
 
-    def add(self, fp: np.ndarray, doc: np.ndarray, word: np.ndarray) -> None:
+    def add(self, fp: np.ndarray, at: np.ndarray) -> None:
         if len(fp):
             one, first, n = np.unique(fp, return_index=True, return_counts=True)
-            self.parts.append([one, n, doc[first], word[first]])
+            self.parts.append([one, n, at[first]])
             self.held += len(one)
 
-    def pack(self) -> None:
-        fp, n, doc, word = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        one, first, of = np.unique(fp, return_index=True, return_inverse=True)
-        self.parts = [[one, np.bincount(of, n, len(one)).astype(np.int64), doc[first], word[first]]]
-        self.held = len(one)
-
     def emit(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        """All that is held, once it is more than ``least`` even when packed."""
+        """All that is held, once it is more than ``least`` even when equal ones are added up."""
         if self.held > least:
-            self.pack()
-        if self.held > least * 3 // 4 and self.parts:
-            fp, n, doc, word = self.parts[0]
+            fp, n, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            one, first, of = np.unique(fp, return_index=True, return_inverse=True)
+            self.parts, self.held = [[one, np.bincount(of, n, len(one)).astype(np.int64), at[first]]], len(one)
+        if self.parts and self.held > least * 3 // 4:
+            fp, n, at = self.parts[0]
             for i in range(0, len(fp), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(fp[s]), pa.string()), *(pa.array(x[s], pa.int64()) for x in (fp, n, doc, word))], ["lang", "fp", "n", "doc", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (fp, n, at)], ["fp", "n", "at"])
             self.parts, self.held = [], 0
 
 
-def _count(rows: DataFrame, sizes: tuple[int, ...], known: tuple[str, ...] | None, known_size: int, bits: int) -> DataFrame:
-    """lang, fp, n, doc, word: the runs of some sizes whose parts of ``known_size`` words are all among ``known``, added up; with
-    single words also the words of each language (fp 0)."""
+def _pointer(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Half of the hash of a text, and the number of a word in it."""
+    return doc & ~np.int64(0xFFFFFFFF) | word
+
+
+def _count(rows: DataFrame, size: int, known: tuple[str, ...] | None, bits: int) -> DataFrame:
+    """fp, n, at: the runs of ``size`` words, or those of them whose parts of one word less are among ``known``, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, totals = _Tally(), {}
-        table = mapped(known, "fp") if known is not None else None
+        tally, table = _Tally(), mapped(known, "fp") if known is not None else None
         for batch in batches:
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
             for w in _words(batch):
-                if 1 in sizes:
-                    for x, k in zip(w.langs, np.bincount(w.of, minlength=len(w.langs)).tolist(), strict=True):
-                        totals[x] = totals.get(x, 0) + k
+                at = w.grams(size)
                 if table is not None:
-                    fits, part = np.zeros(len(w), bool), w.grams(known_size)
-                    fits[part] = table.find(w.fingerprints(part, known_size, bits)) >= 0
-                for size in sizes:
-                    at = w.grams(size)
-                    for k in range(size - known_size + 1 if table is not None else 0):
-                        at = at[fits[at + k]]
-                    tally.add(w.fingerprints(at, size, bits), docs[w.row[w.of[at]]], w.number[at])
+                    fits, part = np.zeros(len(w), bool), w.grams(size - 1)
+                    fits[part] = table.find(w.fingerprints(part, size - 1, bits)) >= 0
+                    at = at[fits[at] & fits[at + 1]]
+                tally.add(w.fingerprints(at, size, bits), _pointer(docs[w.row[w.of[at]]], w.number[at]))
                 if tally.held > HELD:
                     yield from tally.emit(HELD)
         yield from tally.emit()
-        if totals:
-            n = len(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([0] * n), pa.array(list(totals.values()), pa.int64()), pa.array([0] * n), pa.array([0] * n)], ["lang", "fp", "n", "doc", "word"])
 
-    # both firsts are of one row: aggregation takes rows one by one
-    return rows.mapInArrow(run, _COUNTS).groupBy("lang", "fp").agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("word").alias("word"))
+    return rows.mapInArrow(run, "fp long, n long, at long").groupBy("fp").agg(F.sum("n").alias("n"), F.first("at").alias("at"))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """lang, total: the words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
+        for batch in batches:
+            langs, separator = batch.column("lang").to_pylist(), _tables()[1]
+            for b in blocks(batch.column("text")):
+                for x, k in zip(langs[b.first : b.first + b.n], np.diff(word_spans(b.data, b.offsets, separator)[2]).tolist(), strict=True):
+                    totals[x] = totals.get(x, 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "n"])
+
+    return rows.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total"))
+
 
+_PHRASE = ["fp", "n", "size", "lang", "text", *(f"h{k}" for k in range(LONGEST))]
 
-def _texts(rows: DataFrame, pointers: DataFrame) -> DataFrame:
-    """fp, size, lang, text of each pointer (fp, size, doc, word), read where it points."""
+
+def _texts(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
+    """fp, n, size, lang, text, h0 .. h4 (the words' hashes) of each fingerprint (fp, n, at), read where its pointer points."""
+    pointers = counted.select("fp", "n", F.col("fp").bitwiseAND(7).alias("size"), F.shiftright("at", 32).alias("doc"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("word"))
     paths = tuple(write_mapped(pointers, "doc", "phrase-pointers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = mapped(paths, "doc"), set()
         for batch in batches:
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
-            at = table.find(docs)
-            keep = [i for i in np.flatnonzero(at >= 0).tolist() if not (docs[i] in done or done.add(docs[i]))]
+            found = table.find(docs >> 32)
+            keep = [i for i in np.flatnonzero(found >= 0).tolist() if not (docs[i] in done or done.add(docs[i]))]
             if not keep:
                 continue
-            some, out = batch.take(pa.array(keep)), []
-            wanted = {int(d): table.rows(int(a)) for d, a in zip(docs[keep], at[keep], strict=True)}
-            for w in _words(some):
+            own, out = found[keep], []
+            for w in _words(batch.take(pa.array(keep))):
                 begin = np.searchsorted(w.of, np.arange(len(w.langs) + 1))
                 for i, lang in enumerate(w.langs):
-                    t, first = wanted[int(docs[keep][w.row[i]])], int(begin[i])
-                    if first == begin[i + 1]:
+                    first, last = int(begin[i]), int(begin[i + 1])
+                    if first == last:
                         continue
-                    low, high = int(w.number[first]), int(w.number[begin[i + 1] - 1])
-                    for word, size, fp in zip(*(t.column(c).to_pylist() for c in ("word", "size", "fp")), strict=True):
-                        if low <= word and word + size - 1 <= high:
-                            out.append((fp, size, lang, w.text(first + word - low, size)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.string()) for k in range(4)], ["fp", "size", "lang", "text"])
-
-    # texts that many documents have are found in several tasks; a text may stand under several languages
-    found = rows.mapInArrow(run, "fp long, size long, lang string, text string")
-    return found.groupBy("fp", "size").agg(F.min(F.struct("lang", "text")).alias("x")).select("fp", "size", "x.lang", "x.text")
+                    wanted = table.rows(int(own[w.row[i]]))
+                    fps, ns, sizes, words = (wanted.column(c).to_numpy() for c in ("fp", "n", "size", "word"))
+                    at = first + words - int(w.number[first])
+                    for size in np.unique(sizes).tolist():
+                        some = np.flatnonzero((sizes == size) & (at >= first) & (at + size <= last))
+                        some = some[np.argsort(at[some], kind="stable")]
+                        # half a hash may be another text's: what stands here must have the fingerprint
+                        some = some[(w.piece[at[some]] == w.piece[at[some] + size - 1]) & (w.fingerprints(at[some], size, bits) == fps[some])]
+                        for k, j in zip(some.tolist(), at[some].tolist(), strict=True):
+                            h = w.hash[j : j + size].view(np.int64).tolist()
+                            out.append((int(fps[k]), int(ns[k]), size, lang, w.text(j, size), *h, *[0] * (LONGEST - size)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k in (3, 4) else pa.int64()) for k in range(len(_PHRASE))], _PHRASE)
+
+    schema = ", ".join(f"{c} {'string' if c in ('lang', 'text') else 'long'}" for c in _PHRASE)
+    # a text that many documents are is found in several tasks
+    one = rows.mapInArrow(run, schema).groupBy("fp").agg(F.min(F.struct(*_PHRASE[1:])).alias("x"))
+    return one.select("fp", "x.*")
 
 
 def _verify(rows: DataFrame, phrases: DataFrame, least: int, bits: int) -> DataFrame:
-    """size, lang, text, n of the phrases that occur ``least`` times or more: every occurrence of a fingerprint of ``phrases``
-    (fp, size, lang, text) is compared with its text, and counted under its own text where they differ."""
+    """size, lang, text, n of the phrases that occur ``least`` times or more. Every occurrence of a fingerprint of ``phrases`` is
+    compared with its text; those that differ are taken off its count, and counted under their own text.
+
+    Words are compared byte by byte with the phrase of one word that has their fingerprint, longer runs word by word: all
+    words of a frequent run are frequent, so that they are among ``phrases``.
+    """
     paths = tuple(write_mapped(phrases, "fp", "phrases"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, tally, other = mapped(paths, "fp"), _Tally(), {}
-        zero = np.zeros(1, np.int64)
+        table, other = mapped(paths, "fp"), {}
         for batch in batches:
             for w in _words(batch):
-                # words first: each against the first of its hash in the block, byte by byte
-                _, first, same = np.unique(w.hash, return_index=True, return_inverse=True)
-                odd = _unequal(w, first[same])
+                fits, true = None, np.zeros(len(w), bool)
                 for size in range(1, LONGEST + 1):
                     at = w.grams(size)
                     fp = w.fingerprints(at, size, bits)
                     row = table.find(fp)
                     at, fp, row = at[row >= 0], fp[row >= 0], row[row >= 0]
-                    if not len(at):
-                        continue
-                    one, rep, of = np.unique(fp, return_index=True, return_inverse=True)
-                    bad = np.zeros(len(at), bool)
-                    lead = at[rep]  # an occurrence of each, whose text is compared; the others are compared with it
-                    texts, langs, sizes = (table.column(c, row[rep]).to_pylist() for c in ("text", "lang", "size"))
-                    wrong = np.array([w.text(i, size) != t or w.langs[w.of[i]] != x or s != size for i, t, x, s in zip(lead.tolist(), texts, langs, sizes, strict=True)], bool)
+                    shorter, fits = fits, np.zeros(len(w), bool)
+                    fits[at] = True
+                    if size > 1:  # as they were counted
+                        counted = shorter[at] & shorter[at + 1]
+                        at, fp, row = at[counted], fp[counted], row[counted]
+                    one, of = np.unique(row, return_inverse=True)
+                    if not len(one):
+                        break
+                    good = w.lang[at] == np.array([_lang_hash(x) for x in table.column("lang", one).to_pylist()], np.uint64)[of]
                     for k in range(size):
-                        bad |= (same[at + k] != same[lead[of] + k]) | odd[at + k] | odd[lead[of] + k]
-                    bad |= wrong[of] | (w.lang[at] != w.lang[lead[of]])
-                    if bad.any():
-                        for i, r in zip(at[bad].tolist(), row[bad].tolist(), strict=True):
-                            lang, text = w.langs[w.of[i]], w.text(i, size)
-                            t = table.rows(r)
-                            if (lang, text) == (t.column("lang")[0].as_py(), t.column("text")[0].as_py()):
-                                tally.add(t.column("fp").to_numpy()[:1], zero, zero)
-                            else:
-                                other[size, lang, text] = other.get((size, lang, text), 0) + 1
-                        fp = fp[~bad]
-                    nothing = np.zeros(len(fp), np.int64)
-                    tally.add(fp, nothing, nothing)
-                if tally.held > HELD:
-                    yield from _checked(tally.emit(HELD))
-        yield from _checked(tally.emit())
-        if other:
-            keys = list(other)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), *(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))), pa.array(list(other.values()), pa.int64())], ["fp", "size", "lang", "text", "n"])
-
-    counted = materialize(rows.mapInArrow(run, "fp long, size long, lang string, text string, n long").groupBy("fp", "size", "lang", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-counts")
-    right = counted.filter("fp is not null").select("fp", "n").join(phrases, "fp").select("size", "lang", "text", "n")
-    return right.unionByName(counted.filter("fp is null").select("size", "lang", "text", "n"))
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("fp"), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.string()), b.column("n")], ["fp", "size", "lang", "text", "n"])
-
-
-def _unequal(w: Words, other: np.ndarray) -> np.ndarray:
-    """Words whose bytes aren't those of the word that is said to be the same."""
-    size = w.ends - w.starts
-    odd = size != size[other]
-    for low in range(0, len(w), _WORDS):  # bounds the memory for bytes
+                        good &= w.hash[at + k].view(np.int64) == table.column(f"h{k}", one).to_numpy()[of]
+                    if size == 1:
+                        good[good] = _equal(w, at[good], table.column("text", one), of[good])
+                        true[at] = good
+                    else:
+                        for k in range(size):
+                            good &= true[at + k]
+                    for i, x in zip(at[~good].tolist(), fp[~good].tolist(), strict=True):
+                        key = x, size, w.langs[w.of[i]], w.text(i, size)
+                        other[key] = other.get(key, 0) + 1
+        keys = list(other)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64() if i < 2 else pa.string()) for i in range(4)), pa.array(list(other.values()), pa.int64())], ["fp", "size", "lang", "text", "n"])
+
+    differ = materialize(rows.mapInArrow(run, "fp long, size long, lang string, text string, n long").groupBy("fp", "size", "lang", "text").agg(F.sum("n").alias("off")), "phrase-collisions")
+    # an occurrence may differ by a word's hash alone and still have the text
+    both = differ.join(phrases.select("fp", "lang", "text"), ["fp", "lang", "text"], "left_semi")
+    wrong = differ.join(both, ["fp", "size", "lang", "text"], "left_anti")
+    right = phrases.join(wrong.groupBy("fp").agg(F.sum("off").alias("off")), "fp", "left").select("size", "lang", "text", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"))
+    own = wrong.groupBy("size", "lang", "text").agg(F.sum("off").alias("n"))
+    return right.unionByName(own).filter(F.col("n") >= least)
+
+
+def _equal(w: Words, at: np.ndarray, texts: pa.Array, of: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the words ``at`` are those of the texts numbered ``of``."""
+    body = texts.cast(pa.large_binary())
+    begin = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    data = np.frombuffer(body.buffers()[2], np.uint8) if body.buffers()[2] is not None else np.zeros(0, np.uint8)
+    size = w.ends[at] - w.starts[at]
+    same = size == (begin[1:] - begin[:-1])[of]
+    for low in range(0, len(at), _WORDS):  # bounds the memory for bytes
         s = slice(low, low + _WORDS)
-        n = np.where(odd[s], 0, size[s])
+        n = np.where(same[s], size[s], 0)
         ends = np.cumsum(n)
-        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-        differ = w.data[np.repeat(w.starts[s], n) + step] != w.data[np.repeat(w.starts[other[s]], n) + step]
+        step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        differ = w.data[np.repeat(w.starts[at[s]], n) + step] != data[np.repeat(begin[:-1][of[s]], n) + step]
         if differ.any():
-            odd[low + np.unique(np.repeat(np.arange(len(n)), n)[differ])] = True
-    return odd
+            same[low + np.unique(np.repeat(np.arange(len(n)), n)[differ])] = False
+    return same
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang", bits: int = 61) -> tuple[DataFrame, DataFrame]:
@@ -306,18 +319,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text: str = "text", lang
     ship_package(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), body.cast("binary").alias("text"), F.xxhash64(body, F.coalesce(F.col(lang).cast("string"), F.lit("und"))).alias("doc"))
-    kept = None
+    totals = materialize(_totals(rows), "phrase-totals")
     found: list[DataFrame] = []
-    totals = None
-    for sizes, known_size in (((1,), 0), ((2,), 1), (tuple(range(3, LONGEST + 1)), 2)):
-        paths = tuple(write_mapped(kept.select("fp"), "fp", "frequent")) if kept is not None else None
-        got = materialize(_count(rows, sizes, paths, known_size, bits).filter((F.col("n") >= least) | F.col("lang").isNotNull()), "fingerprints")
-        if totals is None:
-            totals = got.filter("lang is not null").select("lang", F.col("n").alias("total"))
-        kept = got.filter("lang is null")
-        found.append(kept.select("fp", F.col("fp").bitwiseAND(7).alias("size"), "doc", "word"))
-    pointers = found[0].unionByName(found[1]).unionByName(found[2])
-    phrases = materialize(_texts(rows, pointers), "phrase-texts")
+    for size in range(1, LONGEST + 1):
+        paths = tuple(write_mapped(found[-1].select("fp"), "fp", "frequent")) if found else None
+        found.append(materialize(_count(rows, size, paths, bits).filter(F.col("n") >= least), "fingerprints"))
+        # the cleaner deletes the shuffle files of a size before the next one's are written
+        docs.sparkSession.sparkContext._jvm.System.gc()
+    phrases = materialize(_texts(rows, reduce(DataFrame.unionByName, found), bits), "phrase-texts")
     return materialize(_verify(rows, phrases, least, bits), "phrases"), totals
 
 
