@@ -50,6 +50,11 @@ def polynomial_parse(text: Column) -> Column:
     return F.split(text, ",").cast("array<decimal(38,0)>")
 
 
+def same_polynomial(a: Column, b: Column) -> Column:
+    """Whether two polynomials have the same coefficients, term by term."""
+    return (F.size(a) <= F.size(b)) & (F.size(a) >= F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: x == y), lambda t: t)
+
+
 def polynomial_terms(coeffs: Column) -> Column:
     """``2q^2 + 6q^3``: the terms that aren't zero; ``0`` if there are none."""
     terms = F.filter(F.transform(coeffs, lambda x, i: F.when(x != 0, F.concat(x.cast("string"), F.lit("q^"), i.cast("string")))), lambda t: t.isNotNull())

@@ -46,6 +46,9 @@ def collisions(trees: DataFrame, index: str = "tree_index", by: tuple[str, ...]
     digest only brings candidates together: the coefficients decide.
     """
     keys = [*by, "digest", "coeffs"]
+    # coefficients travel only for digests of more than one form
+    shared = trees.groupBy(*by, "digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high")
+    trees = trees.join(shared.select(*by, "digest"), [*by, "digest"], "left_semi")
     classes = trees.groupBy(*keys, "form").agg(F.min(index).alias("i"))
     if all_pairs:
         a, b = (classes.select(*keys, F.col("i").alias(x)) for x in ("tree_index_a", "tree_index_b"))

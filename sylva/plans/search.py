@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 import os
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.columns import coefficient_sum, min_exponent, polynomial_text
@@ -36,19 +37,25 @@ def check_polynomials(rows: DataFrame, colours: int | None = None) -> DataFrame:
 def candidates(spark: SparkSession, n: int, mode: str = "leaves+minsum", two_pass: bool = True, max_trees: int | None = None) -> DataFrame:
     """Pass 1, written once for all ranges and shards: the trees of n vertices with their buckets; with two passes only those
     whose bucket has others, over all shards, so that shards keep the same trees as one run."""
-    bucketed = materialize(with_bucket(enumerate_trees(spark, n, max_trees), mode), "candidates")
-    return keep_multiple(bucketed) if two_pass and mode != "none" else bucketed
+    bucketed = materialize(with_bucket(enumerate_trees(spark, n, max_trees), mode), "bucketed")
+    if not two_pass or mode == "none":
+        return bucketed
+    kept = materialize(keep_multiple(bucketed), "candidates")
+    discard(bucketed)
+    return kept
 
 
 def search(
     spark: SparkSession, n: int, path: str, mode: str = "leaves+minsum", colours: int | None = None, shards: int = 1, shard_index: int = 0, two_pass: bool = True, range_size: int = 1 << 20,
-    max_trees: int | None = None, stop_on_collision: bool = True, validate_every: int = 10_000, trees: DataFrame | None = None,
+    max_trees: int | None = None, stop_on_collision: bool = True, validate_every: int = 10_000, trees: DataFrame | None = None, progress: Callable[[dict], None] | None = None,
 ) -> DataFrame:
     """Collisions among all trees of n vertices, stored under ``path``; goes on after what is stored there.
 
     Only the trees of a range and shard get polynomials; a range meets the first tree of each stored key, not all trees seen.
     ``trees`` are the ``candidates``, where they are made already. With ``stop_on_collision`` no further range is begun after
-    one that has a collision.
+    one that has a collision. ``progress`` is called after each range with what Spark observed while it was written: upto,
+    generated (indices of the range), processed (trees that got a polynomial), skipped (alone in their bucket, or another
+    shard's), collisions, seconds and trees_per_sec.
     """
     if n < 2 or not 0 <= shard_index < shards:
         raise ValueError("n is at least 2 and the shard index below the number of shards")
@@ -61,16 +68,22 @@ def search(
     while (done := store.checkpoint()) < last:
         upto = min(done + range_size, last)
         part = trees.filter((F.col("tree_index") > done) & (F.col("tree_index") <= upto) & (F.col("tree_index") % shards == shard_index))
+        began, watched, paired = time.time(), Observation(), Observation()
         # each enumerated tree is a class of its own, so that its label names it
-        part = materialize(tree_polynomials(part.withColumn("form", F.col("graph6")).repartition(tasks), colours), "search-range")
+        part = tree_polynomials(part.withColumn("form", F.col("graph6")).repartition(tasks), colours)
+        part = materialize(part.observe(watched, F.count(F.lit(1)).alias("processed")), "search-range")
         if validate_every and check_polynomials(part.filter(F.col("tree_index") % validate_every == 0), colours).limit(1).count():
             raise RuntimeError("a polynomial breaks an invariant")
         seen = part.select("bucket", "digest", "graph6", "tree_index", "form", "coeffs")
         known = store.firsts()
         firsts = materialize(new_firsts(seen, known), "search-firsts")
-        pairs = pairs_with_firsts(seen, known.unionByName(firsts))
-        store.commit(seen, firsts, pairs, upto)
+        # the stored first trees stay in their buckets: a union would have them shuffled
+        pairs = pairs_with_firsts(seen, known).unionByName(pairs_with_firsts(seen, firsts))
+        store.commit(seen, firsts, pairs.observe(paired, F.count(F.lit(1)).alias("collisions")), upto)
         discard(part, firsts)
+        if progress:
+            took, processed = time.time() - began, watched.get["processed"]
+            progress({"upto": upto, "generated": upto - done, "processed": processed, "skipped": upto - done - processed, "collisions": paired.get["collisions"], "seconds": took, "trees_per_sec": processed / took})
         if stop_on_collision and store.found().limit(1).count():
             break
     return store.found()
