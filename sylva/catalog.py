@@ -5,6 +5,9 @@ All of them work on the order forest: every order is a tree of its lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions import columns as C
@@ -301,6 +304,25 @@ def enumeration_sizes(spark, sf_dir):
     return _census(spark, sf_dir).groupBy("n").agg(F.count("*").alias("trees"), F.count_if(F.col("orders") > 0).alias("classes"), F.sum("orders").alias("orders"))
 
 
+def tree_source_sizes(spark, sf_dir):
+    """The numbers of ``enumeration_sizes`` with the trees from the data source, those of the largest size in two ranges."""
+    from sylva.functions.trees import tree_form
+    from sylva.sources.datasource import read_trees_of_size
+    from sylva.sources.enumeration import tree_starts
+
+    forest = materialize(P.with_form(_table(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("orders")), "forms")
+    sizes = [r.n for r in forest.select("n").distinct().collect()]  # orders have few lines
+    parts = []
+    for n in range(2, max(sizes, default=0) + 1):
+        starts = tree_starts(spark, n)
+        cuts = [0, 100, None] if n == max(sizes) else [0, None]
+        parts += [read_trees_of_size(spark, n, low, high, starts=starts) for low, high in zip(cuts, cuts[1:], strict=False)]
+    trees = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], parts[0].schema if parts else "tree_index long, n int, parent array<int>, graph6 string"))
+    named = trees.withColumn("form", tree_form.asNondeterministic()("parent"))
+    met = named.join(forest.drop("n"), "form", "left").select("n", F.coalesce("orders", F.lit(0)).alias("orders"))
+    return met.groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("trees"), F.count_if(F.col("orders") > 0).alias("classes"), F.sum("orders").alias("orders"))
+
+
 def queries():
     plain = (
         order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, tree_classes,
@@ -308,6 +330,7 @@ def queries():
         coefficient_checks, polynomial_arithmetic, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
         collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, stream_pairs, meta_upsert, pair_equal,
         variance_groups, coefficient_moments, dataset_round_trip, dataset_decode, text_formats, enumeration_census, enumeration_sizes,
+        tree_source_sizes,
     )
     modes = {f"bucket_counts_{m.replace('+', '_')}": _buckets(m) for m in C.BUCKET_MODES}
     return {f.__name__: f for f in plain} | modes

@@ -84,6 +84,9 @@ side_{x} AS (SELECT tree_id AS tree_index_{x}, graph6 AS graph6_{x}, '[' || stri
     fields = [("n", "n"), ("bucket", """'"all"'"""), ("tree_index_a", "tree_index_a"), ("tree_index_b", "tree_index_b"), ("graph6_a", quoted("graph6_a")), ("graph6_b", quoted("graph6_b"))]
     fields += [(f"{c}_{x}", f"{c}_{x}") for c in ("degree_sequence", "leaf_count", "min_color_sum") for x in "ab"] + [("coefficients", "'[' || few_text || ']'")]
     report = " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields)
+    sizes = f"""{full}, free AS (SELECT unnest(range(1, {len(_FREE_TREES) + 1})) AS n, unnest({_FREE_TREES}) AS trees),
+met AS (SELECT n, count(DISTINCT polynomial) AS classes, count(*) AS orders FROM named GROUP BY 1)
+SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT AS classes, coalesce(orders, 0)::BIGINT AS orders FROM free LEFT JOIN met USING (n) WHERE free.n BETWEEN 2 AND (SELECT max(n) FROM tree)"""
     return {
         "order_forest_edges": f"{edges} SELECT * FROM forest",
         "vertex_degree": f"{edges} SELECT * FROM degree",
@@ -130,9 +133,8 @@ SELECT graph6, n::BIGINT AS n, n::BIGINT - 1 AS m, leaves::BIGINT AS leaves, coe
 {_cheapest(steps)}, {_LABELS}, {side("a")}, {side("b")},
 pair AS (SELECT n, tree_index_a, i AS tree_index_b, few_text FROM cls JOIN rep USING (n, few_text) WHERE i <> tree_index_a)
 SELECT tree_index_a, tree_index_b, '{{' || {report} || '}}' AS report FROM pair JOIN side_a USING (tree_index_a) JOIN side_b USING (tree_index_b)""",
-        "enumeration_sizes": f"""{full}, free AS (SELECT unnest(range(1, {len(_FREE_TREES) + 1})) AS n, unnest({_FREE_TREES}) AS trees),
-met AS (SELECT n, count(DISTINCT polynomial) AS classes, count(*) AS orders FROM named GROUP BY 1)
-SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT AS classes, coalesce(orders, 0)::BIGINT AS orders FROM free LEFT JOIN met USING (n) WHERE free.n BETWEEN 2 AND (SELECT max(n) FROM tree)""",
+        "enumeration_sizes": sizes,
+        "tree_source_sizes": sizes,
         "shard_union_merge": f"{full} SELECT n, digest, min(tree_id) AS tree_id, count(DISTINCT tree_id % 4) AS shards FROM ({sha}) GROUP BY 1, 2",
         "resume_anti_join": f"{full} SELECT n, digest, min(tree_id) AS tree_id FROM ({sha}) GROUP BY 1, 2 HAVING min(tree_id) > (SELECT max(tree_id) // 2 FROM tree)",
         "meta_upsert": "SELECT user_id || '/' || event_type AS key, max(event_id) AS version, max(event_id)::VARCHAR AS value FROM events GROUP BY 1",

@@ -5,16 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.trees import graph6
-from sylva.runtime import ship_package
+from sylva.runtime import materialize, ship_package
 
-#: Trees that a task makes from one seed.
+#: Trees that a task makes from one state.
 STRIDE = 2000
+SCHEMA = "tree_index long, n int, parent array<int>, graph6 string"
 
 
 @dataclass
@@ -42,6 +44,22 @@ class Layout:
         parent = [0, *range(k), *([1] if n > k else []), *range(k + 1, n)]
         return Layout(n, level, parent, 3 if n == 4 else n, 0 if n <= 3 else n - 1, k, n, k, never if n % 2 else n + 1)
 
+    @staticmethod
+    def of_levels(levels: list[int]) -> Layout:
+        """The state of the paper's algorithm at a tree, from its levels in preorder (0 at the root) alone."""
+        n = len(levels)
+        level, parent, last = [0, *(x + 1 for x in levels)], [0] * (n + 1), {}
+        for i in range(1, n + 1):
+            parent[i] = last.get(level[i] - 1, 0)
+            last[level[i]] = i
+        r = next((i - 1 for i in range(3, n + 1) if level[i] == 2), n)
+        first_highest = lambda span: max(span, key=lambda i: (level[i], -i))
+        h1, h2 = first_highest(range(min(2, n), r + 1)), first_highest(range(r + 1, n + 1)) if r < n else n
+        p, c = max((i for i in range(1, n + 1) if level[i] > 2), default=0), n + 2
+        if r < n and level[h2] == level[h1] - 1 and n - h2 == r - h1:
+            c = next((i for i in range(h2 + 1, n + 1) if level[i] != level[h1 - h2 + i] - 1), n + 1)
+        return Layout(n, level, parent, p, parent[p] if p else 0, h1, h2, r, c)
+
     def state(self) -> list[int]:
         return [*self.level[1:], *self.parent[1:], self.p, self.q, self.h1, self.h2, self.r, self.c]
 
@@ -142,39 +160,131 @@ def layout_graph6(levels: list[int]) -> str:
     return graph6(len(levels), [(name[p], name[i]) for i, p in enumerate(layout_parent(levels)) if p >= 0])
 
 
-def enumerate_trees(spark: SparkSession, n: int, max_trees: int | None = None, stride: int = STRIDE) -> DataFrame:
-    """tree_index, n, parent, graph6 of the trees of n vertices (2 or more), in the order of the algorithm.
+def _lower(levels: list[int], at: int) -> list[int] | None:
+    """The first rooted tree after all that share the levels before ``at`` and have at ``at`` no less: the last vertex up to ``at``
+    below the root's children moves up, and what follows repeats what stands before it."""
+    while at > 0 and levels[at] <= 1:
+        at -= 1
+    if at <= 0:
+        return None
+    back = next(at - i for i in range(at - 1, -1, -1) if levels[i] == levels[at] - 1)
+    out = levels[:at]
+    while len(out) < len(levels):
+        out.append(out[-back])
+    return out
 
-    One task walks through the trees, at a constant cost each, and hands out every ``stride``-th state; other tasks make the
-    trees from there, and all that is costly about a tree is done where it is made.
+
+def skip(levels: list[int], keep: int) -> list[int] | None:
+    """The first tree after all those that share the first ``keep`` levels of a tree, without walking through them; None if
+    there is none.
+
+    Rooted trees come in falling order of their levels. One stands for a free tree if what hangs beside the first subtree is
+    high enough, and at equal height large enough and no later in order. If not, nothing with this first subtree does any
+    more, as the rest only falls: the subtree has to change at its end, and what is beside it begins as high as it must.
+    """
+    tree = _lower(levels, keep - 1)
+    while tree is not None:
+        end = next((i for i in range(2, len(tree)) if tree[i] == 1), len(tree))
+        own, rest = [x - 1 for x in tree[1:end]], [0, *tree[end:]]
+        if (max(own), len(own), own) <= (max(rest), len(rest), rest) if max(own) == max(rest) else max(own) < max(rest):
+            return tree
+        deep = tree[end - 1] > 2
+        tree = _lower(tree, end - 1)
+        if tree is not None and deep:
+            end = next((i for i in range(2, len(tree)) if tree[i] == 1), len(tree))
+            high = max(tree[1:end])
+            tree[len(tree) - high :] = range(1, high + 1)
+    return None
+
+
+def block_starts(n: int, least: int) -> list[list[int]]:
+    """Levels of the first trees of blocks that cut the enumeration: trees that share a prefix, just so long that there are at
+    least ``least`` blocks, or one for each tree."""
+    starts: list[list[int]] = []
+    for keep in range(2, n + 1):
+        starts, tree = [], Layout.first(n).levels()
+        while tree is not None:
+            starts.append(tree)
+            tree = skip(tree, keep)
+        if len(starts) >= least:
+            break
+    return starts
+
+
+def walk(start: list[int], stop: list[int] | None, stride: int, most: int | None = None) -> Iterator[tuple[int, int, list[int]]]:
+    """first, size, state of each ``stride`` trees from ``start`` up to before ``stop`` (both levels), or of at most ``most`` trees."""
+    end = [0, *(x + 1 for x in stop)] if stop is not None else None
+    tree, i, state = Layout.of_levels(start), 0, None
+    while most is None or i < most:
+        if i % stride == 0:
+            if state is not None:
+                yield i - stride, stride, state
+            state = tree.state()
+        i += 1
+        if not tree.advance():
+            if end is not None:
+                raise RuntimeError("a block of the enumeration doesn't lead to the next one")
+            break
+        if tree.level == end:
+            break
+    if i:
+        yield (i - 1) // stride * stride, (i - 1) % stride + 1, state
+
+
+def tree_starts(spark: SparkSession, n: int, stride: int = STRIDE, max_trees: int | None = None, blocks: int | None = None) -> DataFrame:
+    """first, size, state: where each ``stride`` trees of n vertices or fewer begin in the enumeration; written.
+
+    The driver lists the first trees of blocks of a common prefix, a few for each task slot, by skipping. Tasks walk through a
+    block each, at a constant cost a tree, and check that it ends where the next one begins; the blocks' sizes add up to
+    indices. No task walks through all trees.
     """
     if n < 2:
         raise ValueError("trees are enumerated from 2 vertices on")
     ship_package(spark)
+    least = blocks or 16 * spark.sparkContext.defaultParallelism
+    starts = block_starts(n, least)
+    if len(starts) < least:  # each tree is a block: the driver has met them all
+        return materialize(spark.createDataFrame(list(walk(starts[0], None, stride, max_trees)), "first long, size long, state array<int>").coalesce(1), "tree-starts")
+    rows = [(k, x, starts[k + 1] if k + 1 < len(starts) else None) for k, x in enumerate(starts)]
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _ in range(batch.num_rows):
-                for i, tree in enumerate(layouts(n)):
-                    if max_trees is not None and i >= max_trees:
-                        break
-                    if i % stride == 0:
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([tree.state()], pa.list_(pa.int32()))], ["first", "state"])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, start, stop in zip(*(batch.column(c).to_pylist() for c in ("block", "start", "stop")), strict=True):
+                for first, size, state in walk(start, stop, stride, max_trees):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([first]), pa.array([size]), pa.array([state], pa.list_(pa.int32()))], ["block", "first", "size", "state"])
+
+    tasks = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
+    cut = spark.createDataFrame(rows, "block long, start array<int>, stop array<int>").repartition(tasks)
+    walked = materialize(cut.mapInArrow(run, "block long, first long, size long, state array<int>"), "tree-walk")
+    # one row a block: some for each task slot
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = walked.groupBy("block").agg(F.sum("size").alias("trees")).select("block", F.coalesce(F.sum("trees").over(before), F.lit(0)).alias("base"))
+    out = walked.join(F.broadcast(base), "block").select((F.col("first") + F.col("base")).alias("first"), "size", "state")
+    if max_trees is not None:
+        out = out.filter(F.col("first") < max_trees).withColumn("size", F.least("size", F.lit(max_trees) - F.col("first")))
+    return materialize(out, "tree-starts")
+
+
+def grow(n: int, first: int, size: int, state: list[int], low: int = 0) -> pa.RecordBatch:
+    """tree_index, n, parent, graph6 of the trees from a state on, those before index ``low`` left out."""
+    rows = []
+    for i, tree in enumerate(islice(layouts(n, state), size), first):
+        if i >= low:
+            levels = tree.levels()
+            rows.append((i, layout_parent(levels), layout_graph6(levels)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], ["tree_index", "n", "parent", "graph6"])
+
+
+def enumerate_trees(spark: SparkSession, n: int, max_trees: int | None = None, stride: int = STRIDE) -> DataFrame:
+    """tree_index, n, parent, graph6 of the trees of n vertices (2 or more), in the order of the algorithm; see ``tree_starts``."""
+    starts = tree_starts(spark, n, stride, max_trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, start in zip(batch.column("first").to_pylist(), batch.column("state").to_pylist(), strict=True):
-                rows = []
-                end = min(first + stride, max_trees) if max_trees is not None else first + stride
-                for i, tree in enumerate(layouts(n, start), first):
-                    if i >= end:
-                        break
-                    levels = tree.levels()
-                    rows.append((i, layout_parent(levels), layout_graph6(levels)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])], ["tree_index", "n", "parent", "graph6"])
-
-    first = spark.range(0, 1, 1, 1).mapInArrow(seeds, "first long, state array<int>")
-    return first.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(grow, "tree_index long, n int, parent array<int>, graph6 string")
+            for first, size, state in zip(*(batch.column(c).to_pylist() for c in ("first", "size", "state")), strict=True):
+                yield grow(n, first, size, state)
+
+    return starts.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, SCHEMA)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -107,7 +107,7 @@ def test_measures_against_polynomials_and_distances():
 
 def test_graph6_round_trip_and_refusals():
     rng = random.Random(4)
-    for n in (1, 2, 7, 20, 62):
+    for n in (1, 2, 7, 20, 62, 63, 64, 300):
         p = random_tree(rng, n)
         edges = list(zip(p[1:], range(1, n)))
         assert graph6_edges(graph6(n, edges)) == (n, sorted(edges, key=lambda e: (e[1], e[0])))
@@ -116,8 +116,11 @@ def test_graph6_round_trip_and_refusals():
         rooted(3, [(0, 1)])
     with pytest.raises(ValueError):
         rooted(4, [(0, 1), (1, 0), (2, 3)])
-    with pytest.raises(ValueError):
-        graph6(63, [])
+    # the mark and the size of 63 vertices and more, as the format has them
+    assert graph6(63, [])[:4] == "~??~"
+    for bad in ("", "~", "D", "DqCC", "\u00e9", "~??B?", "~~?????", "C\x7f", "A@", chr(63 + 63) + "??}" + "?" * 100):
+        with pytest.raises(ValueError):
+            graph6_edges(bad)
 
 
 def test_enumeration_in_spark_is_dense_and_ordered(spark):
