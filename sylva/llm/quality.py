@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from sylva.llm._text import Block, blocks, span_hashes, word_spans
 from sylva.llm.toxicity import held_out, labelled
-from sylva.runtime import ship_package
+from sylva.runtime import discard, materialize, ship_package
 
 #: Hashed features: words, and shapes of words (letters, capitals, digits and signs with runs made one); one more for repeats.
 WORDS, SHAPES = 1 << 14, 1 << 12
 SIZE = WORDS + SHAPES + 1
-#: Labelled documents that the regression is fitted on, at most.
-FIT_ROWS = 12_000
+#: Labelled documents that the regression is fitted on, about, and the features that these have together, at most.
+FIT_ROWS, FIT_FEATURES = 12_000, 16_000_000
 _STEPS, _RATE, _RIDGE, _SCALE = 150, 0.3, 1e-4, 10.0
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -111,12 +111,16 @@ def fit_ordinal(grade: np.ndarray, feature: np.ndarray, value: np.ndarray, first
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """The regression fitted on labelled documents that aren't held out: all of them, or a hash range of about ``rows``."""
+    """The regression fitted on labelled documents that aren't held out: all of them, or a hash range of about ``rows``.
+
+    Where rows share a labelled doc_id, or texts are so long that all have more than ``FIT_FEATURES`` features, a hash range of
+    the texts is taken, so that what comes to the driver is bounded whatever the tables hold.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     n = labels.count()
     chosen = labels if n <= rows else labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / n)))
-    some = labelled(docs, chosen, label, doc_id, text).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("double").alias("grade"))
+    some = labelled(docs, chosen, label, doc_id, text).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("double").alias("grade"), F.xxhash64("text", F.lit("fit")).alias("key"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +129,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
                 feature, value, first = feature_tokens(b)
                 of = np.repeat(np.arange(b.n), np.diff(first))
                 key, at = np.unique(of * SIZE + feature, return_inverse=True)
+                own = batch.column("key").slice(b.first, b.n)
                 bounds = pa.array(np.searchsorted(key // SIZE, np.arange(b.n + 1)).astype(np.int32))
                 f = pa.ListArray.from_arrays(bounds, pa.array((key % SIZE).astype(np.int32)))
                 x = pa.ListArray.from_arrays(bounds, pa.array(np.bincount(at, value, len(key)).astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([pa.array(grade[b.first : b.first + b.n]), f, x], ["grade", "feature", "value"])
-
-    t = some.mapInArrow(measure, "grade double, feature array<int>, value array<float>").toArrow()  # about ``rows`` documents' distinct features
+                yield pa.RecordBatch.from_arrays([pa.array(grade[b.first : b.first + b.n]), f, x, own], ["grade", "feature", "value", "key"])
+
+    measured = materialize(some.mapInArrow(measure, "grade double, feature array<int>, value array<float>, key long"), "quality-features")
+    here, features = measured.agg(F.count("*"), F.coalesce(F.sum(F.size("feature")), F.lit(0))).first()
+    share = min(1.0, rows / here if here > 1.1 * rows else 1.0, FIT_FEATURES / max(features, 1))
+    used = measured if share == 1.0 else measured.filter(F.pmod("key", F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
+    t = used.select("grade", "feature", "value").toArrow()
+    discard(measured)
     if not t.num_rows:
         return fit_ordinal(np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64))
     f, x = t.column("feature").combine_chunks(), t.column("value").combine_chunks()

@@ -171,6 +171,19 @@ def brute_features(text):
     return {k: 10.0 * n / max(len(words), 1) for k, n in out.items() if n}
 
 
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    """Rows that share a labelled doc_id, and long texts, don't bring more to the driver than the bounds say."""
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " ### ###").otherwise(" plain")).alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    sizes = []
+    real = quality.fit_ordinal
+    monkeypatch.setattr(quality, "fit_ordinal", lambda grade, feature, value, first: sizes.append((len(grade), len(feature))) or real(grade, feature, value, first))
+    quality.fit_quality(docs, labels, rows=500)
+    monkeypatch.setattr(quality, "FIT_FEATURES", 900)
+    quality.fit_quality(docs, labels)
+    assert 300 < sizes[0][0] < 700 and 400 < sizes[1][1] < 1300
+
+
 def test_quality_scores_against_brute_force(spark, data):
     docs, labels = data
     model = quality.fit_quality(docs, labels)
