@@ -277,7 +277,7 @@ def rows_with_windows(rows: DataFrame, items: DataFrame, window: int = WINDOW) -
 
 
 def spans_by_parts(rows: DataFrame, items: DataFrame, n_parts: int, window: int) -> DataFrame:
-    """row, spans (bounds after bounds), names, longest of the rows (row, text: binary) that match, over all parts."""
+    """row, spans (bounds after bounds), names of the rows (row, text: binary) that match, over all parts."""
     spark = rows.sparkSession
     rows = rows_with_windows(rows, items, window)
     out = None
@@ -287,22 +287,22 @@ def spans_by_parts(rows: DataFrame, items: DataFrame, n_parts: int, window: int)
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    spans, names, longest = shared.value.scan(words_of(batch.column("text")[i].as_py() or b""))
-                    if longest:
-                        yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), pa.array([[x for s in spans for x in s]], pa.list_(pa.int64())), pa.array([sorted(names)], pa.list_(pa.string())), pa.array([longest], pa.int64())], ["row", "spans", "names", "longest"])
+                    spans, names, _ = shared.value.scan(words_of(batch.column("text")[i].as_py() or b""))
+                    if spans:
+                        yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), pa.array([[x for s in spans for x in s]], pa.list_(pa.int64())), pa.array([sorted(names)], pa.list_(pa.string()))], ["row", "spans", "names"])
 
-        found = materialize(rows.mapInArrow(scan, "row long, spans array<bigint>, names array<string>, longest bigint"), "item-part")
+        found = materialize(rows.mapInArrow(scan, "row long, spans array<bigint>, names array<string>"), "item-part")
         shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.max("longest").alias("longest"))
+    return out.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
 
 
 _FOUND = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, longest: bigint>"
 
 
-def _found(rows: list[tuple[int, list[tuple[int, int]], Iterable[str], int]]) -> pa.StructArray:
-    """The result from each text's number of words, spans, names of items and longest match."""
-    columns = [[n for n, *_ in rows], [sum(b - a for a, b in s) for _, s, *_ in rows], [len(set(x)) for *_, x, _ in rows], [hashlib.sha256(",".join(sorted(set(x))).encode()).hexdigest() for *_, x, _ in rows], [k for *_, k in rows]]
+def _found(rows: list[tuple[int, list[tuple[int, int]], Iterable[str]]]) -> pa.StructArray:
+    """The result from each text's number of words, merged spans, and names of items."""
+    columns = [[n for n, *_ in rows], [sum(b - a for a, b in s) for _, s, _ in rows], [len(set(x)) for *_, x in rows], [hashlib.sha256(",".join(sorted(set(x))).encode()).hexdigest() for *_, x in rows], [max((b - a for a, b in s), default=0) for _, s, _ in rows]]
     return pa.StructArray.from_arrays([pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(columns)], ["n_words", "n_hit", "n_items", "items_sha256", "longest"])
 
 
@@ -311,11 +311,10 @@ def _pairs(flat) -> list[tuple[int, int]]:
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (match, in words) of each document.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (run of hit words) of each document.
 
     Null text has no words. Repeated items count once by id. Rows may repeat. No items: nothing is hit. Any number of items is
-    taken; of more than one part, ``longest`` is the longest within a document that has a window, else 0. Other columns of
-    the input are not looked at.
+    taken, with the same result however many automata they fill. Other columns of the input are not looked at.
     """
     spark = docs.sparkSession
     items, n_parts = item_parts(benchmark, window)
@@ -329,7 +328,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_
                 out = []
                 for t in batch:
                     words = words_of(t.as_py() or b"")
-                    out.append((len(words), *shared.value.scan(words)))
+                    out.append((len(words), *shared.value.scan(words)[:2]))
                 yield _found(out)
 
         found = rows.select("doc_id", find.asNondeterministic()("text").alias("f"))
@@ -337,11 +336,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_
         base = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")  # so that the numbers stay
 
         @F.arrow_udf(_FOUND)
-        def put(text: pa.Array, spans: pa.Array, names: pa.Array, longest: pa.Array) -> pa.Array:
-            return _found([(len(words_of(t.as_py() or b"")), _pairs(s.as_py()), n.as_py() or (), k.as_py() or 0) for t, s, n, k in zip(text, spans, names, longest, strict=True)])
+        def put(text: pa.Array, spans: pa.Array, names: pa.Array) -> pa.Array:
+            return _found([(len(words_of(t.as_py() or b"")), _pairs(s.as_py()), n.as_py() or ()) for t, s, n in zip(text, spans, names, strict=True)])
 
         spans = spans_by_parts(base.select("row", "text"), items, n_parts, window)
-        found = base.join(spans, "row", "left").select("doc_id", put.asNondeterministic()("text", "spans", "names", "longest").alias("f"))
+        found = base.join(spans, "row", "left").select("doc_id", put.asNondeterministic()("text", "spans", "names").alias("f"))
     return found.select("doc_id", "f.n_words", "f.n_hit", "f.n_items", "f.items_sha256", (F.col("f.n_hit") > 0).alias("contaminated"), "f.longest")
 
 
