@@ -21,6 +21,9 @@ from sylva.sources import tables as src
 #: Vertices of a tree for which the SQL has a step; orders have fewer lines.
 SQL_STEPS = 24
 FEW_COLOURS = 3
+#: Colours of the stacked trees, and the points (x, p) at which the SQL evaluates their polynomials.
+STACK_COLOURS = 8
+POINTS = ((3, 2147483647), (1234567, 2147483629), (1, 2147483587))
 
 
 def _forest(spark, sf_dir):
@@ -152,6 +155,15 @@ def polynomial_arithmetic(spark, sf_dir):
     return p.select("tree_id", C.polynomial_text(C.add_polynomials(F.col("coeffs"), one)).alias("added"), C.polynomial_text(C.trim_polynomial(C.multiply_polynomials(F.col("coeffs"), one))).alias("multiplied"))
 
 
+def stacked_polynomials(spark, sf_dir):
+    """Trees of tens to hundreds of vertices, a customer's orders in one: the values of their exact polynomials at points modulo
+    primes."""
+    wide = P.wide_polynomials(src.stacked_forest(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "tree_id"), STACK_COLOURS)
+    p = F.col("polynomial")
+    values = [C.evaluate_mod(p, x, m).alias(f"value_{k}") for k, (x, m) in enumerate(POINTS)]
+    return wide.select("tree_id", F.col("n").cast("long").alias("n"), *values)
+
+
 def digest_groups(spark, sf_dir):
     """Trees of equal polynomials, by a digest that SQL has too."""
     p = _polynomials(spark, sf_dir).select("n", F.sha2(C.polynomial_text(F.col("coeffs")), 256).alias("sha"), "tree_id")
@@ -327,7 +339,7 @@ def queries():
     plain = (
         order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, tree_classes,
         bucket_summary, nonsingleton_semi_join, bucket_cache, polynomials, polynomials_few_colours, polynomial_terms, poly_coeffs_long,
-        coefficient_checks, polynomial_arithmetic, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
+        coefficient_checks, polynomial_arithmetic, stacked_polynomials, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
         collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, stream_pairs, meta_upsert, pair_equal,
         variance_groups, coefficient_moments, dataset_round_trip, dataset_decode, text_formats, enumeration_census, enumeration_sizes,
         tree_source_sizes,
@@ -339,4 +351,4 @@ def queries():
 def oracle_sql():
     from sylva import catalog_sql
 
-    return catalog_sql.oracles(SQL_STEPS, FEW_COLOURS)
+    return catalog_sql.oracles(SQL_STEPS, FEW_COLOURS, STACK_COLOURS, POINTS)

@@ -64,7 +64,26 @@ label AS MATERIALIZED (SELECT id, n, chr(n + 63) || coalesce(t, '') AS graph6 FR
 _FREE_TREES = [1, 1, 1, 2, 3, 6, 11, 23, 47, 106, 235, 551, 1301, 3159, 7741, 19320]
 
 
-def oracles(steps: int, few: int) -> dict[str, str]:
+def _stacked(k: int, points) -> str:
+    """The values of the polynomials of stacked orders at points (x, p): the fold over vertices with a number for each colour."""
+    folds, values = [], []
+    for i, (x, p) in enumerate(points):
+        start = [pow(x, c, p) for c in range(k)]
+        folds.append(f"""f{i} AS (
+  SELECT c, up, n::INT AS v, list_transform(up, lambda u: {start}::BIGINT[]) AS st FROM stack
+  UNION ALL
+  SELECT c, up, v - 1, list_transform(st[1:v - 1], lambda s, j: CASE WHEN j = up[v] + 1 THEN list_transform(s, lambda y, d: y * (list_sum(st[v])::BIGINT % {p} + {p} - st[v][d]) % {p}) ELSE s END)
+  FROM f{i} WHERE v > 1)""")
+        values.append(f"JOIN (SELECT c, list_sum(st[1])::BIGINT % {p} AS value_{i} FROM f{i} WHERE v = 1) USING (c)")
+    return f"""WITH RECURSIVE {_EDGES},
+o AS (SELECT o_custkey AS c, o_orderkey AS id, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - n AS off FROM orders JOIN tree ON tree_id = o_orderkey),
+e AS (SELECT c, off + v AS v, CASE WHEN v > 0 THEN off + parent WHEN off = 0 THEN -1 ELSE id % greatest(off, 1) END AS up FROM o JOIN forest ON tree_id = id),
+stack AS MATERIALIZED (SELECT c, list(up::INT ORDER BY v) AS up, count(*) AS n FROM e GROUP BY c),
+{", ".join(folds)}
+SELECT c AS tree_id, n::BIGINT AS n, {", ".join(f"value_{i}" for i in range(len(points)))} FROM stack {" ".join(values)}"""
+
+
+def oracles(steps: int, few: int, stack_colours: int, points) -> dict[str, str]:
     edges, recursive = f"WITH {_EDGES}", f"WITH RECURSIVE {_EDGES}"
     full, some, low = f"{edges},\n{_fold(steps, 'n')}\n", f"{edges},\n{_fold(steps, str(few))}\n", f"{edges},\n{_cheapest(steps)}\n"
     sha = "SELECT n::BIGINT AS n, sha256(polynomial) AS digest, tree_id FROM named"
@@ -109,6 +128,7 @@ SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT
         "polynomial_terms": f"{full} SELECT tree_id, terms FROM named JOIN (SELECT id, string_agg(x::VARCHAR || 'q^' || d, ' + ' ORDER BY d) AS terms FROM poly WHERE x <> 0 GROUP BY 1) USING (id)",
         "poly_coeffs_long": f"{full} SELECT tree_id, d::BIGINT AS degree, x::BIGINT AS coefficient FROM named JOIN poly USING (id) WHERE x <> 0",
         "coefficient_checks": f"{full} SELECT tree_id, coefficient_sum, min_exponent, length, sum_of_squares FROM named JOIN (SELECT id, sum(x)::BIGINT AS coefficient_sum, min(d) FILTER (x <> 0)::BIGINT AS min_exponent, count(*) AS length, (sum((x * x)::HUGEINT)::HUGEINT)::VARCHAR AS sum_of_squares FROM dense GROUP BY 1) USING (id)",
+        "stacked_polynomials": _stacked(stack_colours, points),
         "digest_groups": f"{full} SELECT n, digest, count(*) AS trees, min(tree_id) AS first_tree FROM ({sha}) GROUP BY 1, 2",
         "collision_pairs": pairs,
         "collision_all_pairs": f"{classes} SELECT a.n::BIGINT AS n, a.i AS tree_index_a, b.i AS tree_index_b FROM cls a JOIN cls b USING (n, few_text) WHERE a.i < b.i",

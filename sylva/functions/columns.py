@@ -93,6 +93,21 @@ def trim_polynomial(coeffs: Column) -> Column:
     return F.when(~F.exists(coeffs, lambda x: x != 0), F.slice(coeffs, 1, 1)).otherwise(F.slice(coeffs, F.lit(1), last.cast("int")))
 
 
+def decimal_mod(text: Column, p: int) -> Column:
+    """A decimal text of any length modulo p (below 2^31), nine digits at a time."""
+    groups = F.ceil(F.length(text) / 9).cast("int")
+    padded = F.lpad(text, groups * 9, "0")
+    return F.aggregate(F.sequence(F.lit(0), groups - 1), F.lit(0).cast("long"), lambda a, i: (a * 10**9 + F.substring(padded, i * 9 + 1, F.lit(9)).cast("long")) % p)
+
+
+def evaluate_mod(polynomial: Column, x: int, p: int) -> Column:
+    """The value at x modulo p (below 2^31) of a polynomial given as comma-joined coefficients, low degree first.
+
+    Two different polynomials of degree d agree at a random x with a probability of d / p at most (Schwartz and Zippel).
+    """
+    return F.aggregate(F.reverse(F.split(polynomial, ",")), F.lit(0).cast("long"), lambda a, c: (a * x + decimal_mod(c, p)) % p)
+
+
 def variance_sums(coeffs: Column) -> tuple[Column, Column]:
     """Sum and sum of squares of the coefficients, exact; the variance compares by ``n * squares - sum^2``."""
     zero = F.lit(0).cast("decimal(38,0)")

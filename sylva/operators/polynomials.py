@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.functions.trees import digest, packed_polynomial, tree_form, tree_measures, unpack
+from sylva.functions.modular import polynomial_decimals, polynomial_texts
+from sylva.functions.trees import tree_form, tree_measures
 from sylva.runtime import materialize, ship_package
 
-#: With as many colours as vertices, coefficients fit DECIMAL(38,0) up to this size.
-MAX_VERTICES = 26
-_COEFFS = pa.list_(pa.decimal128(38, 0))
 _COMPUTED = T.StructType([T.StructField("coeffs", T.ArrayType(T.DecimalType(38, 0))), T.StructField("digest", T.BinaryType())])
 
 
@@ -33,20 +30,33 @@ def tree_polynomials(trees: DataFrame, colours: int | None = None) -> DataFrame:
     """Adds coeffs and digest to each row of ``trees`` (parent); for tables with a row for each class of trees.
 
     ``colours`` defaults to the number of vertices. mapInArrow is opaque to the optimizer: no later filter makes the
-    polynomials be computed twice. A coefficient beyond 38 digits is an error.
+    polynomials be computed twice. A coefficient beyond 38 digits is an error, never a rounded value: with as many colours as
+    vertices there are none up to 26 vertices; ``wide_polynomials`` takes trees of any size.
     """
     ship_package(trees.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parents = batch.column("parent").to_pylist()
-            packed = [packed_polynomial(p, colours or len(p)) for p in parents]
-            coeffs = [[Decimal(x) for x in unpack(v, len(p), colours or len(p))] for v, p in zip(packed, parents, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coeffs, _COEFFS), pa.array([digest(v) for v in packed], pa.binary())], [*batch.schema.names, "coeffs", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *polynomial_decimals(batch.column("parent").to_pylist(), colours)], [*batch.schema.names, "coeffs", "digest"])
 
     return trees.mapInArrow(compute, T.StructType([*trees.schema.fields, *_COMPUTED.fields]))
 
 
+def wide_polynomials(trees: DataFrame, colours: int | None = None) -> DataFrame:
+    """Adds polynomial (comma-joined coefficients, low degree first) and digest to each row of ``trees`` (parent), whatever the
+    number of vertices and of digits; see ``sylva.functions.modular``."""
+    ship_package(trees.sparkSession)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 50):  # texts are long
+                some = batch.slice(i, 50)
+                texts = polynomial_texts(some.column("parent").to_pylist(), colours)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([t for t, _ in texts], pa.string()), pa.array([d for _, d in texts], pa.binary())], [*batch.schema.names, "polynomial", "digest"])
+
+    return trees.mapInArrow(compute, T.StructType([*trees.schema.fields, T.StructField("polynomial", T.StringType()), T.StructField("digest", T.BinaryType())]))
+
+
 def class_polynomials(classes: DataFrame, colours: int | None = None) -> DataFrame:
     """form, coeffs, digest of each row of ``classes`` (form, parent)."""
     return tree_polynomials(classes.select("form", "parent"), colours).drop("parent")

@@ -27,6 +27,16 @@ def order_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tree_id", F.size("parent").alias("n"), "parent")
 
 
+def stacked_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree_id, n, parent of each customer: their order trees, by order key, in one. The first stays as it is; the root of each
+    further one hangs on the vertex that has the order's key modulo the vertices before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    trees = order_forest(spark, sf_dir).join(orders, F.col("tree_id") == F.col("o_orderkey"))
+    own = trees.groupBy(F.col("o_custkey").alias("tree_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "parent"))).alias("trees"))
+    hang = "transform(t.parent, (p, i) -> if(i = 0, if(size(a) = 0, -1, cast(t.o_orderkey % greatest(size(a), 1) as int)), p + size(a)))"
+    return own.select("tree_id", F.expr(f"aggregate(trees, cast(array() as array<int>), (a, t) -> concat(a, {hang}))").alias("parent")).select("tree_id", F.size("parent").alias("n"), "parent")
+
+
 def trees_of_edges(edges: DataFrame) -> DataFrame:
     """tree_id, n, parent from an edge table (tree_id, u, v); vertices are 0 .. number of edges. Fails for what is no tree."""
     ship_package(edges.sparkSession)
