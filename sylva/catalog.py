@@ -5,6 +5,7 @@ All of them work on the order forest: every order is a tree of its lines.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -81,6 +82,15 @@ def graph6_round_trip(spark, sf_dir):
     return back.select("tree_id", F.col("n").cast("long").alias("n"), (F.size("again") - 1).cast("long").alias("m"), (tree_form("parent") == tree_form("again")).alias("same"))
 
 
+def recursive_measures(spark, sf_dir):
+    """Depth, eccentricity and centre of each vertex of the orders of two lines or more, by recursive SQL over edges."""
+    from sylva.operators.rooting import rooted_measures
+
+    edges = src.order_forest_edges(table(spark, sf_dir, "lineitem")).filter("parent >= 0").select("tree_id", F.col("parent").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    cast = lambda c: F.col(c).cast("long").alias(c)
+    return rooted_measures(edges).select("tree_id", cast("v"), cast("parent"), cast("depth"), cast("eccentricity"), "is_centre")
+
+
 def tree_classes(spark, sf_dir):
     return P.with_form(_table(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
 
@@ -190,6 +200,23 @@ def collision_all_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir, True).select(F.col("n").cast("long").alias("n"), "tree_index_a", "tree_index_b")
 
 
+def pairs_by_values(spark, sf_dir):
+    """The pairs of ``collision_pairs`` by values at random points modulo primes instead of digests."""
+    rows = S.scan_forest(_table(spark, sf_dir), "none", FEW_COLOURS)
+    return S.collisions_by_values(rows, "tree_id").select(F.col("n").cast("long").alias("n"), "tree_index_a", "tree_index_b")
+
+
+def pairs_by_table_function(spark, sf_dir):
+    """The pairs of ``collision_pairs`` from SQL, by a table function over the trees."""
+    S.register_pairs(spark)
+    rows = S.scan_forest(_table(spark, sf_dir), "none", FEW_COLOURS).select("n", "digest", "coeffs", "form", F.col("tree_id").alias("tree_index"))
+    # a row for each class: what a digest's task gets doesn't grow with the trees
+    classes = rows.groupBy("n", "digest", "coeffs", "form").agg(F.min("tree_index").alias("tree_index"))
+    name = f"sylva_classes_{uuid.uuid4().hex}"
+    classes.createOrReplaceTempView(name)
+    return spark.sql(f"SELECT * FROM tree_pairs(TABLE({name}))")
+
+
 def limit_first_match(spark, sf_dir):
     return S.first_collision(collision_pairs(spark, sf_dir))
 
@@ -337,9 +364,9 @@ def tree_source_sizes(spark, sf_dir):
 
 def queries():
     plain = (
-        order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, tree_classes,
+        order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, recursive_measures, tree_classes,
         bucket_summary, nonsingleton_semi_join, bucket_cache, polynomials, polynomials_few_colours, polynomial_terms, poly_coeffs_long,
-        coefficient_checks, polynomial_arithmetic, stacked_polynomials, digest_groups, blake_digests, collision_pairs, collision_all_pairs, limit_first_match,
+        coefficient_checks, polynomial_arithmetic, stacked_polynomials, digest_groups, blake_digests, collision_pairs, collision_all_pairs, pairs_by_values, pairs_by_table_function, limit_first_match,
         collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, stream_pairs, meta_upsert, pair_equal,
         variance_groups, coefficient_moments, dataset_round_trip, dataset_decode, text_formats, enumeration_census, enumeration_sizes,
         tree_source_sizes,

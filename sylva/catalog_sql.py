@@ -113,6 +113,9 @@ SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT
             string_agg(degree::VARCHAR, ',' ORDER BY degree DESC) AS degree_sequence, '(' || string_agg(degree::VARCHAR, ', ' ORDER BY degree DESC) || ')' AS degree_tuple FROM degree JOIN leaf USING (tree_id) GROUP BY tree_id""",
         "min_color_sum": f"{low} SELECT tree_id, m AS min_color_sum FROM low",
         "diameter_radius": f"{recursive}, {_DISTANCES} SELECT tree_id, diameter, radius FROM tree JOIN shapes USING (shape) JOIN (SELECT id, max(e)::BIGINT AS diameter, min(e)::BIGINT AS radius FROM ecc GROUP BY 1) USING (id)",
+        "recursive_measures": f"""{recursive}, {_DISTANCES}, depth AS (SELECT id, v, max(d) AS depth FROM up GROUP BY 1, 2), mid AS (SELECT id, min(e) AS r FROM ecc GROUP BY 1)
+SELECT tree_id, v::BIGINT AS v, nullif(parent, -1)::BIGINT AS parent, depth::BIGINT AS depth, e::BIGINT AS eccentricity, e = r AS is_centre
+FROM tree JOIN shapes USING (shape) JOIN arc USING (id) JOIN depth USING (id, v) JOIN ecc USING (id, v) JOIN mid USING (id) WHERE tree.n > 1""",
         "graph6_text": f"{edges}, {_LABELS} SELECT tree_id, graph6 FROM tree JOIN shapes USING (shape) JOIN label USING (id)",
         "graph6_round_trip": f"{edges} SELECT tree_id, n::BIGINT AS n, n::BIGINT - 1 AS m, true AS same FROM tree",
         "tree_classes": f"{full} SELECT n::BIGINT AS n, count(DISTINCT polynomial) AS classes, count(*)::BIGINT AS trees FROM named GROUP BY 1",
@@ -131,6 +134,8 @@ SELECT free.n::BIGINT AS n, trees::BIGINT AS trees, coalesce(classes, 0)::BIGINT
         "stacked_polynomials": _stacked(stack_colours, points),
         "digest_groups": f"{full} SELECT n, digest, count(*) AS trees, min(tree_id) AS first_tree FROM ({sha}) GROUP BY 1, 2",
         "collision_pairs": pairs,
+        "pairs_by_values": pairs,
+        "pairs_by_table_function": pairs,
         "collision_all_pairs": f"{classes} SELECT a.n::BIGINT AS n, a.i AS tree_index_a, b.i AS tree_index_b FROM cls a JOIN cls b USING (n, few_text) WHERE a.i < b.i",
         "limit_first_match": f"SELECT * FROM ({pairs}) ORDER BY tree_index_b, tree_index_a LIMIT 1",
         "keep_first_seen": f"{full} SELECT n, digest, min(tree_id) AS tree_id FROM ({sha}) GROUP BY 1, 2",

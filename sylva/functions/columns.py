@@ -108,6 +108,11 @@ def evaluate_mod(polynomial: Column, x: int, p: int) -> Column:
     return F.aggregate(F.reverse(F.split(polynomial, ",")), F.lit(0).cast("long"), lambda a, c: (a * x + decimal_mod(c, p)) % p)
 
 
+def value_mod(coeffs: Column, x: int, p: int) -> Column:
+    """``evaluate_mod`` of a polynomial given as an array of DECIMAL(38,0)."""
+    return F.aggregate(F.reverse(coeffs), F.lit(0).cast("long"), lambda a, c: (a * x + (c % p).cast("long")) % p)
+
+
 def variance_sums(coeffs: Column) -> tuple[Column, Column]:
     """Sum and sum of squares of the coefficients, exact; the variance compares by ``n * squares - sum^2``."""
     zero = F.lit(0).cast("decimal(38,0)")

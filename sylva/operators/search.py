@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import random
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from sylva.functions.columns import bucket_key, degree_sequence, leaf_count
+from sylva.functions.columns import bucket_key, degree_sequence, leaf_count, value_mod
+from sylva.functions.modular import primes
 from sylva.operators.polynomials import with_measures, with_polynomial
+from sylva.runtime import ship_package
 
 
 def with_bucket(trees: DataFrame, mode: str) -> DataFrame:
@@ -57,6 +63,48 @@ def collisions(trees: DataFrame, index: str = "tree_index", by: tuple[str, ...]
     return classes.join(groups, keys).filter("i <> tree_index_a").select(*by, "tree_index_a", F.col("i").alias("tree_index_b"), "coeffs")
 
 
+def collisions_by_values(trees: DataFrame, index: str = "tree_index", by: tuple[str, ...] = ("n", "bucket"), points: int = 4, seed: int = 0) -> DataFrame:
+    """The pairs of ``collisions`` without digests: polynomials meet by their values at random points modulo primes below 2^31.
+
+    Different polynomials of degree d have the same ``points`` values with a probability of (d / 2^30)^points at most (Schwartz
+    and Zippel), which costs work alone: coefficients decide. ``trees`` has n, bucket, coeffs, form and ``index``.
+    """
+    rng = random.Random(seed)
+    at = [(rng.randrange(2, p), p) for p in primes(points)]
+    fingerprint = F.array(*[value_mod(F.col("coeffs"), x, p) for x, p in at])
+    return collisions(trees.drop("digest").withColumn("digest", fingerprint), index, by)
+
+
+class _PairRows:
+    """Of the rows of one (n, digest), in the order of their index: each class's first tree with the first of its polynomial."""
+
+    @staticmethod
+    def analyze(trees: AnalyzeArgument) -> AnalyzeResult:
+        missing = {"n", "digest", "coeffs", "form", "tree_index"} - {f.name for f in trees.dataType.fields}
+        if missing:
+            raise ValueError(f"the table has no {', '.join(sorted(missing))}")
+        return AnalyzeResult(StructType().add("n", "long").add("tree_index_a", "long").add("tree_index_b", "long"), partitionBy=[PartitioningColumn("n"), PartitioningColumn("digest")], orderBy=[OrderingColumn("tree_index")])
+
+    def __init__(self):
+        self.first, self.met = {}, set()
+
+    def eval(self, row):
+        key = tuple(row["coeffs"])
+        if (key, row["form"]) in self.met:
+            return
+        self.met.add((key, row["form"]))
+        first = self.first.setdefault(key, row["tree_index"])
+        if first != row["tree_index"]:
+            yield int(row["n"]), first, row["tree_index"]
+
+
+def register_pairs(spark: SparkSession) -> None:
+    """The SQL table function ``tree_pairs(TABLE(t))`` over any table with n, digest, coeffs, form, tree_index: it asks for the
+    rows of each digest together and in order, and holds the classes of one digest."""
+    ship_package(spark)
+    spark.udtf.register("tree_pairs", F.udtf(_PairRows))
+
+
 def collision_reports(pairs: DataFrame, trees: DataFrame, index: str = "tree_index") -> DataFrame:
     """One structured report for each pair, with both trees' attributes; ``trees`` has graph6, parent, leaves, min_color_sum."""
     def side(x: str) -> DataFrame:

@@ -116,7 +116,7 @@ def write_reports(pairs: DataFrame, n: int, path: str, colours: int | None = Non
 
 
 def report_name(n: int) -> str:
-    return f"COLLISION_CORRECTED_n{n}_{int(time.time())}.json"
+    return f"sylva-pairs-n{n}-{int(time.time())}.json"
 
 
 def build_dataset(spark: SparkSession, n: int, path: str) -> int:
@@ -159,6 +159,7 @@ def main(argv: list[str] | None = None) -> None:
     scan.add_argument("--no-two-pass", action="store_true")
     scan.add_argument("--collision-report", help="where to write reports of collisions")
     scan.add_argument("--stop-on-collision", action=argparse.BooleanOptionalAction, default=True)
+    scan.add_argument("--progress", action="store_true", help="a line for each range that is done")
     merge = sub.add_parser("merge", help="put the stored states of shards together")
     merge.add_argument("output")
     merge.add_argument("databases", nargs="+")
@@ -176,9 +177,9 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sylva").getOrCreate()
 
-    def tell(seen: int | None, pairs: DataFrame, n: int) -> None:
+    def tell(seen: int, pairs: DataFrame, n: int) -> None:
         pairs.show(truncate=False)
-        print((f"{seen} trees, " if seen is not None else "") + f"{pairs.count()} collisions")
+        print(f"{seen} trees, {pairs.count()} collisions")
         if pairs.limit(1).count():
             where = a.collision_report or report_name(n)
             print(f"{write_reports(pairs, n, where)} reports in {where}")
@@ -186,8 +187,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "scan":
         if not a.resume and SearchStore.exists(spark, a.db):
             parser.error(f"{a.db} is there already; give --resume to go on")
-        pairs = search(spark, a.n, a.db, a.bucket_mode, None, a.shards, a.shard_index, not a.no_two_pass, a.range_size, a.max_trees, a.stop_on_collision, a.validate_every)
-        tell(None, pairs, a.n)
+        line = lambda x: print("up to {upto}: {processed} of {generated} trees, {skipped} skipped, {collisions} collisions, {trees_per_sec:.2f} trees/s".format(**x))
+        pairs = search(spark, a.n, a.db, a.bucket_mode, None, a.shards, a.shard_index, not a.no_two_pass, a.range_size, a.max_trees, a.stop_on_collision, a.validate_every, progress=line if a.progress else None)
+        tell(SearchStore(spark, a.db).seen().count(), pairs, a.n)
     elif a.command == "merge":
         stores = [SearchStore(spark, path) for path in a.databases]
         seen, pairs = merge_stores(stores)
