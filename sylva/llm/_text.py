@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -21,6 +24,28 @@ WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+class _Free:
+    """Gives memory that is free inside a worker back to the system: workers outlive their tasks, and what one stage has freed
+    would else be missing to the next one's Spark."""
+
+    def __init__(self):
+        self.last, self.trim = 0.0, None
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+            self.trim = ctypes.CDLL(None).malloc_trim
+
+    def __call__(self) -> None:
+        if time.monotonic() - self.last > 0.5:
+            pa.default_memory_pool().release_unused()
+            if self.trim is not None:
+                self.trim(0)
+            self.last = time.monotonic()
+
+
+@cache
+def _free() -> _Free:
+    return _Free()
+
+
 @dataclass
 class Block:
     """Rows ``first`` .. ``first + n - 1`` of a batch: their bytes, and each row's place in them."""
@@ -56,6 +81,7 @@ def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
         end = min(end, n)
         yield Block(at, body[offs[at] : offs[end]], offs[at : end + 1] - offs[at])
         at = end
+    _free()()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
