@@ -91,6 +91,14 @@ def recursive_measures(spark, sf_dir):
     return rooted_measures(edges).select("tree_id", cast("v"), cast("parent"), cast("depth"), cast("eccentricity"), "is_centre")
 
 
+def relational_classes(spark, sf_dir):
+    """The numbers of ``tree_classes`` for orders of two lines or more, from edges by joins alone."""
+    from sylva.operators.rooting import relational_forms
+
+    edges = src.order_forest_edges(table(spark, sf_dir, "lineitem")).filter("parent >= 0").select("tree_id", F.col("parent").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    return relational_forms(edges).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy("n").agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
+
+
 def tree_classes(spark, sf_dir):
     return P.with_form(_table(spark, sf_dir)).groupBy("n", "form").agg(F.count("*").alias("k")).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("classes"), F.sum("k").alias("trees"))
 
@@ -364,7 +372,7 @@ def tree_source_sizes(spark, sf_dir):
 
 def queries():
     plain = (
-        order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, recursive_measures, tree_classes,
+        order_forest_edges, vertex_degree, tree_attributes, min_color_sum, diameter_radius, graph6_text, graph6_round_trip, recursive_measures, relational_classes, tree_classes,
         bucket_summary, nonsingleton_semi_join, bucket_cache, polynomials, polynomials_few_colours, polynomial_terms, poly_coeffs_long,
         coefficient_checks, polynomial_arithmetic, stacked_polynomials, digest_groups, blake_digests, collision_pairs, collision_all_pairs, pairs_by_values, pairs_by_table_function, limit_first_match,
         collision_reports, keep_first_seen, shard_union_merge, resume_anti_join, stream_first_seen, stream_pairs, meta_upsert, pair_equal,

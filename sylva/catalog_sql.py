@@ -119,6 +119,7 @@ FROM tree JOIN shapes USING (shape) JOIN arc USING (id) JOIN depth USING (id, v)
         "graph6_text": f"{edges}, {_LABELS} SELECT tree_id, graph6 FROM tree JOIN shapes USING (shape) JOIN label USING (id)",
         "graph6_round_trip": f"{edges} SELECT tree_id, n::BIGINT AS n, n::BIGINT - 1 AS m, true AS same FROM tree",
         "tree_classes": f"{full} SELECT n::BIGINT AS n, count(DISTINCT polynomial) AS classes, count(*)::BIGINT AS trees FROM named GROUP BY 1",
+        "relational_classes": f"{full} SELECT n::BIGINT AS n, count(DISTINCT polynomial) AS classes, count(*)::BIGINT AS trees FROM named WHERE n > 1 GROUP BY 1",
         "bucket_counts_leaves_minsum": count("lm"),
         "bucket_counts_leaves": count("l"),
         "bucket_counts_known": count("m"),

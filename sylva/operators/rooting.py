@@ -85,3 +85,25 @@ def rooted_measures(edges: DataFrame, root: int = 0) -> DataFrame:
     least = reach.groupBy("tree_id").agg(F.min("eccentricity").alias("radius"))
     out = own.join(reach, ["tree_id", "v"]).join(least, "tree_id")
     return out.select("tree_id", "v", "parent", "depth", "eccentricity", (F.col("eccentricity") == F.col("radius")).alias("is_centre"))
+
+
+def relational_forms(edges: DataFrame) -> DataFrame:
+    """tree_id, n, form: the canonical form of the trees of an edge table, equal for isomorphic trees and for no others, as
+    ``sylva.functions.trees.canonical_form`` has it, by joins and aggregates alone.
+
+    Trees are rooted at their centres; from the deepest level up, a vertex is its children's forms, sorted, in brackets. Of two
+    centres the larger form counts. Rounds are as many as a radius; each is written.
+    """
+    measures = materialize(rooted_measures(edges).select("tree_id", "v", "is_centre"), "centres")
+    centres = measures.filter("is_centre").select(F.struct("tree_id", "v").alias("rooted"), "tree_id", "v")
+    arcs = checked_edges(edges).join(centres.select("rooted", "tree_id"), "tree_id").select(F.col("rooted").alias("tree_id"), "u", "v")
+    walked = depths(materialize(arcs, "centre-arcs"), centres.select(F.col("rooted").alias("tree_id"), "v"))
+    kids = None
+    for depth in range(walked.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        own = walked.filter(F.col("depth") == depth)
+        own = own.withColumn("kids", F.lit("")) if kids is None else own.join(kids, ["tree_id", "v"], "left")
+        forms = own.select("tree_id", "parent", F.concat(F.lit("("), F.coalesce("kids", F.lit("")), F.lit(")")).alias("form"))
+        if depth:
+            kids = materialize(forms.groupBy("tree_id", F.col("parent").alias("v")).agg(F.array_join(F.sort_array(F.collect_list("form")), "").alias("kids")), "forms")
+    sizes = measures.groupBy("tree_id").agg(F.count("*").alias("n"))
+    return forms.groupBy("tree_id.tree_id").agg(F.max("form").alias("form")).join(sizes, "tree_id").select("tree_id", "n", "form")

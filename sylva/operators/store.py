@@ -90,7 +90,8 @@ class SearchStore:
     def _firsts_table(self) -> str:
         """The name under which this session knows the bucketed table; whatever session made its files."""
         name = "sylva_firsts_" + hashlib.md5(self.path.encode()).hexdigest()
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({FIRSTS}, upto long) USING parquet PARTITIONED BY (upto) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.settings['buckets']} BUCKETS LOCATION '{self.path}/firsts'")
+        place = f"{self.path}/firsts".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({FIRSTS}, upto long) USING parquet PARTITIONED BY (upto) CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.settings['buckets'])} BUCKETS LOCATION '{place}'")
         return name
 
     def firsts(self) -> DataFrame:

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from sylva.functions.trees import shape_measures
-from sylva.operators.rooting import NoTree, checked_edges, depths, rooted_measures
+from sylva.functions.trees import canonical_form, shape_measures
+from sylva.operators.rooting import NoTree, checked_edges, depths, relational_forms, rooted_measures
 
 SCHEMA = "tree_id long, u long, v long"
 
@@ -37,6 +37,18 @@ def test_against_distances(spark):
     assert rooted_measures(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_forms_are_those_of_the_array_path(spark):
+    rng = random.Random(2)
+    trees = [[-1, *(rng.randrange(i) for i in range(1, n))] for n in (2, 2, 3, 4, 4, 4, 5, 6, 6, 7, 9)]
+    rows = []
+    for t, p in enumerate(trees):
+        name = rng.sample(range(100), len(p))
+        name = [0 if x == name[0] else x + 1 for x in name]
+        rows += [(t, name[p[i]], name[i]) for i in range(1, len(p))]
+    got = {r.tree_id: (r.n, r.form) for r in relational_forms(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {t: (len(p), canonical_form(p)) for t, p in enumerate(trees)}
+
+
 def test_more_levels_than_spark_allows_unasked(spark):
     arcs = checked_edges(spark.range(103).selectExpr("1L as tree_id", "id as u", "id + 1 as v"))
     deepest = depths(arcs, spark.createDataFrame([(1, 0)], "tree_id long, v long")).orderBy("depth", ascending=False).first()
