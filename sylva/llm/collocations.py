@@ -73,10 +73,10 @@ class Words:
         self.row = row
         self.number = np.arange(n) - np.repeat(begin[:-1], counts) + before
         self.hash = span_hashes(self.data, self.starts, self.ends)
-        cuts = np.concatenate([[0], np.cumsum(piece[self.data])])
-        new = np.ones(n, bool)
-        new[1:] = (self.of[1:] != self.of[:-1]) | (cuts[self.starts[1:]] != cuts[self.ends[:-1]])
-        self.piece = np.cumsum(new)
+        new = np.zeros(n + 1, bool)
+        new[begin] = True
+        new[np.searchsorted(self.starts, np.flatnonzero(piece[self.data]))] = True
+        self.piece = np.cumsum(new[:n])
         self.langs = langs
         self.lang = np.repeat(np.array([_lang_hash(x) for x in langs], np.uint64), counts)
 
@@ -131,6 +131,18 @@ def _words(batch: pa.RecordBatch) -> Iterator[Words]:
             at = end
 
 
+def _distinct(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``fp`` that brings equal ones together, and where in it another one begins.
+
+    Positions are sorted along in the low bits, several times as fast as sorting by index. Fingerprints that differ only in these
+    bits may take turns, so that a run of one falls apart: it is added up later.
+    """
+    low = np.int64((1 << len(fp).bit_length()) - 1)
+    order = np.sort(fp & ~low | np.arange(len(fp))) & low
+    ordered = fp[order]
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
 class _Tally:
     """Counts of fingerprints with a pointer each, equal ones added up when many are held."""
 
@@ -140,16 +152,18 @@ class _Tally:
 
     def add(self, fp: np.ndarray, at: np.ndarray) -> None:
         if len(fp):
-            one, first, n = np.unique(fp, return_index=True, return_counts=True)
-            self.parts.append([one, n, at[first]])
-            self.held += len(one)
+            order, new = _distinct(fp)
+            first = order[new]
+            self.parts.append([fp[first], np.diff(new, append=len(fp)), at[first]])
+            self.held += len(new)
 
     def emit(self, least: int = 0) -> Iterator[pa.RecordBatch]:
         """All that is held, once it is more than ``least`` even when equal ones are added up."""
         if self.held > least:
             fp, n, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            one, first, of = np.unique(fp, return_index=True, return_inverse=True)
-            self.parts, self.held = [[one, np.bincount(of, n, len(one)).astype(np.int64), at[first]]], len(one)
+            order, new = _distinct(fp)
+            first = order[new]
+            self.parts, self.held = [[fp[first], np.add.reduceat(n[order], new), at[first]]], len(new)
         if self.parts and self.held > least * 3 // 4:
             fp, n, at = self.parts[0]
             for i in range(0, len(fp), 100_000):
@@ -199,11 +213,11 @@ def _totals(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total"))
 
 
-_PHRASE = ["fp", "n", "size", "lang", "text", *(f"h{k}" for k in range(LONGEST))]
+_PHRASE = ["fp", "n", "size", "lang", "text", "of", *(f"h{k}" for k in range(LONGEST))]
 
 
 def _texts(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
-    """fp, n, size, lang, text, h0 .. h4 (the words' hashes) of each fingerprint (fp, n, at), read where its pointer points."""
+    """fp, n, size, lang, text, of (the language's hash), h0 .. h4 (the words' hashes) of each fingerprint (fp, n, at), read where its pointer points."""
     pointers = counted.select("fp", "n", F.col("fp").bitwiseAND(7).alias("size"), F.shiftright("at", 32).alias("doc"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("word"))
     paths = tuple(write_mapped(pointers, "doc", "phrase-pointers"))
 
@@ -232,7 +246,7 @@ def _texts(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
                         some = some[(w.piece[at[some]] == w.piece[at[some] + size - 1]) & (w.fingerprints(at[some], size, bits) == fps[some])]
                         for k, j in zip(some.tolist(), at[some].tolist(), strict=True):
                             h = w.hash[j : j + size].view(np.int64).tolist()
-                            out.append((int(fps[k]), int(ns[k]), size, lang, w.text(j, size), *h, *[0] * (LONGEST - size)))
+                            out.append((int(fps[k]), int(ns[k]), size, lang, w.text(j, size), int(w.lang[j : j + 1].view(np.int64)[0]), *h, *[0] * (LONGEST - size)))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k in (3, 4) else pa.int64()) for k in range(len(_PHRASE))], _PHRASE)
 
     schema = ", ".join(f"{c} {'string' if c in ('lang', 'text') else 'long'}" for c in _PHRASE)
@@ -268,7 +282,7 @@ def _verify(rows: DataFrame, phrases: DataFrame, least: int, bits: int) -> DataF
                     one, of = np.unique(row, return_inverse=True)
                     if not len(one):
                         break
-                    good = w.lang[at] == np.array([_lang_hash(x) for x in table.column("lang", one).to_pylist()], np.uint64)[of]
+                    good = w.lang[at].view(np.int64) == table.column("of", one).to_numpy()[of]
                     for k in range(size):
                         good &= w.hash[at + k].view(np.int64) == table.column(f"h{k}", one).to_numpy()[of]
                     if size == 1:

@@ -122,3 +122,72 @@ def test_mapped(spark):
     assert table.column("v", at[1:500]).to_pylist() == [f"v{i}" for i in range(1, 500)]
     assert sorted(table.rows(int(at[0])).column("i").to_pylist()) == [0, 1000]
     assert Mapped(tuple(write_mapped(df.filter(F.lit(False)), "k", "test-mapped")), "k").find(np.array([1])).tolist() == [-1]
+
+
+def in_files(folder, *parts):
+    """A ``Mapped`` of these sorted keys, a file each."""
+    import pyarrow as pa
+
+    for i, keys in enumerate(parts):
+        t = pa.table({"k": pa.array(keys, pa.int64())})
+        with pa.OSFile(f"{folder}/{i}.arrow", "wb") as out, pa.ipc.new_file(out, t.schema) as f:
+            f.write_table(t)
+    return Mapped(tuple(f"file://{folder}/{i}.arrow" for i in range(len(parts))), "k")
+
+
+def test_look_ups_of_any_keys(tmp_path):
+    rng = np.random.default_rng(3)
+    ends = np.iinfo(np.int64)
+    anywhere = lambda n: rng.integers(ends.min, ends.max, n)
+    shapes = [[5], [7] * 50, range(0, 2048, 8), [ends.min, ends.max], [ends.min, -1, 0, 1, ends.max], anywhere(5000), rng.integers(-100, 100, 5000), [*anywhere(300), *range(1 << 40, (1 << 40) + 3000), *[9] * 4000]]
+    for n, keys in enumerate(shapes):
+        keys = np.sort(np.array(keys, np.int64))
+        # no key lies in two files
+        cuts = sorted({0, len(keys), *(int(np.searchsorted(keys, keys[i])) for i in rng.integers(0, len(keys), 3))})
+        asked = np.concatenate([keys, np.clip(keys, ends.min + 1, None) - 1, np.clip(keys, None, ends.max - 1) + 1, anywhere(500), [0, ends.min, ends.max]])
+        first = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        want = np.where(keys[first] == asked, first, -1)
+        for k, parts in enumerate(([keys], [keys[a:b] for a, b in zip(cuts, cuts[1:])])):
+            folder = tmp_path / f"{n}-{k}"
+            folder.mkdir()
+            assert (in_files(folder, *parts).find(asked) == want).all()
+
+
+def test_look_ups_take_less_than_a_search_among_all_keys(tmp_path):
+    """CPU time by CPU time, so that a slow machine slows both."""
+    import time
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(-(2**63), 2**63 - 1, 100_000))
+    asked = rng.permutation(np.concatenate([rng.choice(keys, 500_000), rng.integers(-(2**63), 2**63 - 1, 500_000)]))
+    table = in_files(tmp_path, keys)
+
+    def least(f):
+        times = []
+        for _ in range(4):
+            t = time.thread_time()
+            f(asked)
+            times.append(time.thread_time() - t)
+        return min(times)
+
+    assert least(table.find) < 0.6 * least(lambda x: np.searchsorted(keys, x))
+
+
+def test_tally_adds_up_what_falls_apart():
+    """Fingerprints that differ in the low bits alone are sorted by position: their runs fall apart and must still add up."""
+    rng = np.random.default_rng(5)
+    tally, want, places = module._Tally(), Counter(), {}
+    for low, high in ((0, 40), (-40, 40), (-(2**63), 2**63 - 1), (-3, 0)):
+        fp = rng.integers(low, high, 3000)
+        fp[::7] = 1 << 62
+        at = rng.integers(0, 1 << 50, 3000)
+        tally.add(fp, at)
+        want.update(fp.tolist())
+        for x, y in zip(fp.tolist(), at.tolist(), strict=True):
+            places.setdefault(x, set()).add(y)
+    got = Counter()
+    for b in tally.emit():
+        for x, n, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[x] += n
+            assert y in places[x]
+    assert got == want and not tally.held
