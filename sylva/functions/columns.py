@@ -119,6 +119,37 @@ def variance_sums(coeffs: Column) -> tuple[Column, Column]:
     return coefficient_sum(coeffs), F.aggregate(coeffs, zero, lambda a, x: (a + (x * x).cast("decimal(38,0)")).cast("decimal(38,0)"))
 
 
+def square_sum_text(coeffs: Column) -> Column:
+    """The exact sum of squares of the coefficients as a text, whatever its digits.
+
+    While the squared sum of the absolute values has no more than 38 digits, so have all parts; else coefficients are cut into three
+    limbs of 13 digits, whose products add up in DECIMAL(38,0), and carries go up the five limbs of the result.
+    """
+    whole, base = "decimal(38,0)", F.lit(10**13).cast("decimal(14,0)")
+    zero = F.lit(0).cast(whole)
+    high = lambda x: ((x - x % base) / base).cast(whole)  # noqa: E731 exact: the rest is taken off before
+
+    def limbs(x: Column) -> Column:
+        x = F.abs(x)
+        return F.array(*[y.cast("decimal(13,0)") for y in (x % base, high(x) % base, high(high(x)))])
+
+    def place(rows: Column, k: int) -> Column:
+        pairs = [(i, k - i) for i in range(3) if 0 <= k - i < 3]
+        return F.aggregate(rows, zero, lambda a, x: (a + sum((x[i] * x[j] for i, j in pairs[1:]), x[pairs[0][0]] * x[pairs[0][1]])).cast(whole))
+
+    def carried(a: Column, x: Column) -> Column:
+        now = (a["carry"] + x).cast(whole)
+        return F.struct(high(now).alias("carry"), F.concat(F.lpad((now % base).cast("string"), 13, "0"), a["text"]).alias("text"))
+
+    def long_way(rows: Column) -> Column:
+        start = F.struct(zero.alias("carry"), F.lit("").alias("text"))
+        text = F.aggregate(F.array(*[place(rows, k) for k in range(5)]), start, carried, lambda a: F.concat(a["carry"].cast("string"), a["text"]))
+        return F.regexp_replace(text, "^0+(?=.)", "")
+
+    size = F.aggregate(coeffs, zero, lambda a, x: (a + F.abs(x)).cast(whole))
+    return F.when(size < F.lit("1" + "0" * 19).cast(whole), variance_sums(coeffs)[1].cast("string")).otherwise(F.transform(F.array(F.transform(coeffs, limbs)), long_way)[0])
+
+
 def mean_and_variance(coeffs: Column) -> tuple[Column, Column]:
     """Mean and variance of the coefficients as doubles, for display; equality is told by ``variance_sums``."""
     total, squares = variance_sums(coeffs)
