@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from sylva.functions.trees import slot_bits
 
@@ -210,3 +211,33 @@ def polynomial_decimals(parents: list[list[int]], colours: int | None = None) ->
     values = pa.Array.from_buffers(pa.decimal128(38, 0), len(flat), [None, pa.py_buffer(flat.astype("<u8").tobytes())])
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), pa.array(digests, pa.binary())
+
+
+def polynomial_values(parents: pa.ListArray, colours: int, points: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The values of the trees' exact polynomials at points (x, p) modulo p (below 2^31), trees by points.
+
+    The fold over vertices runs modulo p itself, for all points and for trees of all sizes at once; no coefficient is made, and
+    a tree of n vertices takes n steps.
+    """
+    flat, size = parents.flatten().to_numpy(), pc.list_value_length(parents).to_numpy()
+    begin, order = np.cumsum(size) - size, np.argsort(size, kind="stable")
+    q = np.array([p for _, p in points], np.uint64)[:, None]
+    leaf = np.array([[pow(x, c, p) for c in range(colours)] for x, p in points], np.uint64)
+    out = np.zeros((len(size), len(points)), np.int64)
+    low = 0
+    while low < len(order):  # the smallest first, so that trees of a block are of like sizes
+        some = order[low : low + max(1, HELD // (int(size[order[low]]) * leaf.size))]
+        some = some[: max(1, HELD // (int(size[some[-1]]) * leaf.size))]
+        sizes, longest = size[some], int(size[some[-1]])
+        place = np.arange(longest)
+        parent = flat[np.where(place < sizes[:, None], begin[some][:, None] + place, 0)]
+        state = np.broadcast_to(leaf, (len(some), longest, *leaf.shape)).copy()
+        for v in range(longest - 1, 0, -1):
+            rows = np.arange(np.searchsorted(sizes, v, "right"), len(some))
+            own = state[rows[0] :, v]
+            toll = (own.sum(2, keepdims=True) % q) + q - own
+            up = parent[rows, v]
+            state[rows, up] = state[rows, up] * toll % q
+        out[some] = (state[:, 0].sum(2, keepdims=True) % q)[:, :, 0]
+        low += len(some)
+    return out

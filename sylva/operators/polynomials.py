@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.functions.modular import polynomial_decimals, polynomial_texts
+from sylva.functions.modular import polynomial_decimals, polynomial_texts, polynomial_values
 from sylva.functions.trees import tree_form, tree_measures
 from sylva.runtime import materialize, ship_package
 
@@ -57,6 +57,21 @@ def wide_polynomials(trees: DataFrame, colours: int | None = None) -> DataFrame:
     return trees.mapInArrow(compute, T.StructType([*trees.schema.fields, T.StructField("polynomial", T.StringType()), T.StructField("digest", T.BinaryType())]))
 
 
+def tree_values(trees: DataFrame, points: tuple[tuple[int, int], ...], colours: int) -> DataFrame:
+    """The columns of ``trees`` without parent, and value_0, value_1, ..: the values of the exact polynomials at points (x, p) modulo
+    p (below 2^31), whatever the number of vertices, without their coefficients."""
+    ship_package(trees.sparkSession)
+    fields = [f for f in trees.schema.fields if f.name != "parent"]
+    names = [f"value_{k}" for k in range(len(points))]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = polynomial_values(batch.column("parent"), colours, points)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *(pa.array(x) for x in values.T)], [*(f.name for f in fields), *names])
+
+    return trees.mapInArrow(compute, T.StructType([*fields, *(T.StructField(x, T.LongType()) for x in names)]))
+
+
 def class_polynomials(classes: DataFrame, colours: int | None = None) -> DataFrame:
     """form, coeffs, digest of each row of ``classes`` (form, parent)."""
     return tree_polynomials(classes.select("form", "parent"), colours).drop("parent")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,27 @@ def test_values_modulo_primes(spark):
 def test_stacked_forest(spark):
     for r in stacked_forest(spark, "/root/testdata/sf0.001").collect():
         assert r.n == len(r.parent) and r.parent[0] == -1 and all(0 <= p < i for i, p in enumerate(r.parent) if i)
+
+
+@pytest.mark.parametrize("held", [modular.HELD, 500])
+def test_values_without_coefficients(spark, monkeypatch, held):
+    monkeypatch.setattr(modular, "HELD", held)
+    rng, points = random.Random(6), ((3, 2147483647), (1234567, 2147483629), (1, 97))
+    parents = [tree(rng, n) for n in (1, 40, 2, 7, 1, 90, 40, 3, 15)]
+    got = modular.polynomial_values(pa.array([None, *parents], pa.list_(pa.int32()))[1:], 8, points)
+    coeffs = [unpack(packed_polynomial(p, 8), len(p), 8) for p in parents]
+    assert got.tolist() == [[sum(c * pow(x, i, q) for i, c in enumerate(cs)) % q for x, q in points] for cs in coeffs]
+    assert modular.polynomial_values(pa.array([], pa.list_(pa.int32())), 8, points).shape == (0, 3)
+
+
+def test_stacked_query_makes_no_coefficients(spark, monkeypatch):
+    """The coefficients of a stacked tree took a hundred times what its values take."""
+    from sylva import catalog
+
+    monkeypatch.setattr(catalog.P, "wide_polynomials", None)
+    d = "/root/testdata/sf0.001"
+    got = {r.tree_id: r for r in catalog.stacked_polynomials(spark, d).collect()}
+    for t in stacked_forest(spark, d).limit(20).collect():
+        c = unpack(packed_polynomial(t.parent, catalog.STACK_COLOURS), t.n, catalog.STACK_COLOURS)
+        want = [sum(x * pow(at, i, p) for i, x in enumerate(c)) % p for at, p in catalog.POINTS]
+        assert list(got[t.tree_id]) == [t.tree_id, t.n, *want]
